@@ -48,15 +48,15 @@ def with_row_index(
         *keys,
         "_bucket",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*keys)).alias("_total"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_key_rows"),
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     out = tagged.join(starts, [*keys, "_bucket"]).withColumn(
         idx, F.col("_start") + F.row_number().over(inside) - 1
     )
     if total:
-        out = out.withColumn(total, F.col("_total"))
-    return out.drop("_bucket", "_start", "_total")
+        out = out.withColumn(total, F.col("_key_rows"))
+    return out.drop("_bucket", "_start", "_key_rows")
 
 
 @dataclass(frozen=True)
@@ -91,6 +91,41 @@ class Blocks:
     def last(self, n: int) -> WindowSpec:
         return self.rows.rowsBetween(-(n - 1), 0)
 
+    # The same windows as SQL text. A wide job is built from text, since every Column
+    # call is a round trip to the JVM.
+
+    @property
+    def _parts(self) -> str:
+        return ", ".join([*(f"`{k}`" for k in self.keys), BLK])
+
+    @property
+    def over_rows(self) -> str:
+        return f"OVER (PARTITION BY {self._parts} ORDER BY {SEG}, {IDX})"
+
+    @property
+    def over_segment(self) -> str:
+        return (
+            f"OVER (PARTITION BY {self._parts}, {SEG} ORDER BY {IDX} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+        )
+
+    def over_segment_before(self, n: int) -> str:
+        return (
+            f"OVER (PARTITION BY {self._parts} ORDER BY {SEG} "
+            f"RANGE BETWEEN {n} PRECEDING AND {n} PRECEDING)"
+        )
+
+    def over_last(self, n: int) -> str:
+        return (
+            f"OVER (PARTITION BY {self._parts} ORDER BY {SEG}, {IDX} "
+            f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        )
+
+    def add_sql(self, cols: dict[str, str], drop: list[str] | None = None) -> "Blocks":
+        """Add columns given as SQL text; ``drop`` leaves out columns that are used up."""
+        kept = ["*"] if not drop else [f"`{n}`" for n in self.df.columns if n not in drop]
+        return self.with_df(self.df.selectExpr(*kept, *[f"{e} AS `{n}`" for n, e in cols.items()]))
+
     def with_df(self, df: DataFrame) -> "Blocks":
         return Blocks(df, self.keys, self.block_rows, self.segment_rows, self.back)
 
@@ -103,11 +138,6 @@ class Blocks:
         return own.drop(BLK, SEG, OWN) if keep_index else own.drop(BLK, SEG, OWN, IDX)
 
 
-def full(n: int, col: Column) -> Column:
-    """Null until the frame of ``n`` rows is complete."""
-    return F.when(F.col(IDX) >= n - 1, col)
-
-
 def cut(
     df: DataFrame,
     keys: list[str],

@@ -7,10 +7,7 @@ same blocks, a whole feature job needs one shuffle and one sort after indexing.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from candlewake.operators import scan
 from candlewake.operators.blocks import (
@@ -18,7 +15,6 @@ from candlewake.operators.blocks import (
     IDX,
     Blocks,
     day_of,
-    full,
     indexed_blocks,
 )
 
@@ -47,23 +43,29 @@ FEATURE_BACK = max(scan.reach(1 - 2.0 / 201), scan.reach(_WILDER, _WILDER) + 64)
 FEATURE_AHEAD = KIJUN
 
 
-def c(name: str) -> Column:
-    return F.col(name)
-
-
-def flag(cond: Column) -> Column:
+def flag(cond: str) -> str:
     """1 when true; 0 when false or unknown."""
-    return F.coalesce(cond, F.lit(False)).cast("int")
+    return f"int(coalesce({cond}, false))"
 
 
-def side(cond: Column) -> Column:
+def side(cond: str) -> str:
     """1 when true; -1 when false or unknown."""
-    return F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(-1)
+    return f"CASE WHEN {cond} THEN 1 ELSE -1 END"
 
 
-def ratio(a: Column, b: Column) -> Column:
+def ratio(a: str, b: str) -> str:
     """Division that yields null for a zero divisor."""
-    return F.try_divide(a, b)
+    return f"try_divide({a}, {b})"
+
+
+def guarded(a: str, b: str, scale: str = "100D") -> str:
+    """Scaled division that yields 0 for a zero divisor."""
+    return f"CASE WHEN {b} = 0 THEN 0D ELSE {scale} * try_divide({a}, {b}) END"
+
+
+def since(row: int, expr: str) -> str:
+    """Null before the given row position."""
+    return f"CASE WHEN {IDX} >= {row} THEN {expr} END"
 
 
 def feature_blocks(
@@ -87,25 +89,18 @@ def feature_blocks(
 
 def with_moves(b: Blocks) -> Blocks:
     """Bar-to-bar inputs of the smoothed indicators."""
-    prev = {
-        "_pc": F.lag("close").over(b.rows),
-        "_ph": F.lag("high").over(b.rows),
-        "_pl": F.lag("low").over(b.rows),
-    }
-    diff, up, down = c("close") - c("_pc"), c("high") - c("_ph"), c("_pl") - c("low")
-    zero = F.lit(0.0)
-    b = b.add(prev).add(
+    b = b.add_sql({f"_p{n[0]}": f"lag({n}) {b.over_rows}" for n in ("close", "high", "low")})
+    up, down = "high - _ph", "_pl - low"
+    return b.add_sql(
         {
-            "_gain": F.greatest(diff, zero),
-            "_loss": F.greatest(-diff, zero),
-            "_tr": F.greatest(
-                c("high") - c("low"), F.abs(c("high") - c("_pc")), F.abs(c("low") - c("_pc"))
-            ),
-            "_pdm": F.when((up > down) & (up > 0), up).otherwise(zero),
-            "_mdm": F.when((down > up) & (down > 0), down).otherwise(zero),
-        }
+            "_gain": "greatest(close - _pc, 0D)",
+            "_loss": "greatest(_pc - close, 0D)",
+            "_tr": "greatest(high - low, abs(high - _pc), abs(low - _pc))",
+            "_pdm": f"CASE WHEN {up} > {down} AND {up} > 0 THEN {up} ELSE 0D END",
+            "_mdm": f"CASE WHEN {down} > {up} AND {down} > 0 THEN {down} ELSE 0D END",
+        },
+        drop=["_pc", "_ph", "_pl"],
     )
-    return b.with_df(b.df.drop("_ph", "_pl"))
 
 
 def smoothed(b: Blocks, names: set[str] | None = None) -> Blocks:
@@ -129,113 +124,67 @@ def smoothed(b: Blocks, names: set[str] | None = None) -> Blocks:
     return scan.apply(b, [r for r in every if names is None or r.name in names])
 
 
-def rsi_value() -> Column:
-    total = c("_avg_gain") + c("_avg_loss")
-    return F.when(total == 0, 0.0).otherwise(100.0 * ratio(c("_avg_gain"), total))
+RSI = guarded("_avg_gain", "(_avg_gain + _avg_loss)")
+MACD_LINE = "_ema_fast - _ema_slow"
 
 
 def directional(b: Blocks) -> Blocks:
     """+DI, -DI and the directional index they span."""
+    b = b.add_sql({"plus_di": guarded("_spdm", "_str"), "minus_di": guarded("_smdm", "_str")})
+    return b.add_sql({"_dx": guarded("abs(plus_di - minus_di)", "(plus_di + minus_di)")})
 
-    def share(x: str) -> Column:
-        return F.when(c("_str") == 0, 0.0).otherwise(100.0 * ratio(c(x), c("_str")))
 
-    total = c("plus_di") + c("minus_di")
-    return b.add({"plus_di": share("_spdm"), "minus_di": share("_smdm")}).add(
-        {
-            "_dx": F.when(total == 0, 0.0).otherwise(
-                100.0 * ratio(F.abs(c("plus_di") - c("minus_di")), total)
-            )
-        }
-    )
+ADX = scan.wilder("adx", "_dx", ADX_PERIOD, first=ADX_PERIOD)
+SIGNAL = scan.ema("macd_signal", "_macd", MACD_SIGNAL, first=MACD_SLOW - 1)
 
 
-def adx_recursion(name: str = "adx") -> scan.Recursion:
-    return scan.wilder(name, "_dx", ADX_PERIOD, first=ADX_PERIOD)
+def rolling(b: Blocks) -> Blocks:
+    """Trailing frames on raw prices; nothing here depends on a recursion."""
 
+    def middle(n: int) -> str:
+        return since(n - 1, f"(max(high) {b.over_last(n)} + min(low) {b.over_last(n)}) / 2")
 
-def second_level(b: Blocks) -> Blocks:
-    """Recursions that smooth a smoothed series: MACD signal and ADX."""
-    return scan.apply(
-        b,
-        [
-            scan.ema("macd_signal", "_macd", MACD_SIGNAL, first=MACD_SLOW - 1),
-            adx_recursion(),
-        ],
+    far = [n for n in RETURN_STEPS if n not in LAGS]
+    b = b.add_sql(
+        {
+            "_tp": "(high + low + close) / 3D",
+            "bb_middle": since(BB_PERIOD - 1, f"avg(close) {b.over_last(BB_PERIOD)}"),
+            "_bb_sd": since(BB_PERIOD - 1, f"stddev_pop(close) {b.over_last(BB_PERIOD)}"),
+            "_hh": since(WILLR_PERIOD - 1, f"max(high) {b.over_last(WILLR_PERIOD)}"),
+            "_ll": since(WILLR_PERIOD - 1, f"min(low) {b.over_last(WILLR_PERIOD)}"),
+            "ichi_tenkan": middle(TENKAN),
+            "ichi_kijun": middle(KIJUN),
+            "_span_b": middle(SENKOU),
+            "ichi_chikou": f"lead(close, {KIJUN}) {b.over_rows}",
+            "_pc_roc": f"lag(close, {ROC_PERIOD}) {b.over_rows}",
+        }
+        | {f"{x}_lag_{n}": f"lag({x}, {n}) {b.over_rows}" for n in LAGS for x in ("close", "volume")}
+        | {f"_pc_{n}": f"lag(close, {n}) {b.over_rows}" for n in far}
     )
-
-
-def rolling(b: Blocks) -> Blocks:
-    """Trailing frames on raw prices; nothing here depends on a recursion."""
-    tp = (c("high") + c("low") + c("close")) / 3.0
-    b = b.add({"_tp": tp})
-
-    def hh(n: int) -> Column:
-        return full(n, F.max("high").over(b.last(n)))
-
-    def ll(n: int) -> Column:
-        return full(n, F.min("low").over(b.last(n)))
-
-    cols = {
-        "bb_middle": full(BB_PERIOD, F.avg("close").over(b.last(BB_PERIOD))),
-        "_bb_sd": full(BB_PERIOD, F.stddev_pop("close").over(b.last(BB_PERIOD))),
-        "_hh14": hh(WILLR_PERIOD),
-        "_ll14": ll(WILLR_PERIOD),
-        "ichi_tenkan": (hh(TENKAN) + ll(TENKAN)) / 2,
-        "ichi_kijun": (hh(KIJUN) + ll(KIJUN)) / 2,
-        "_span_b": (hh(SENKOU) + ll(SENKOU)) / 2,
-        "ichi_chikou": F.lead("close", KIJUN).over(b.rows),
-        "_tps": F.collect_list("_tp").over(b.last(CCI_PERIOD)),
-        "_pc12": F.lag("close", ROC_PERIOD).over(b.rows),
-    }
-    cols |= {f"close_lag_{n}": F.lag("close", n).over(b.rows) for n in LAGS}
-    cols |= {f"volume_lag_{n}": F.lag("volume", n).over(b.rows) for n in LAGS}
-    cols |= {f"_pc_{n}": F.lag("close", n).over(b.rows) for n in RETURN_STEPS if n not in LAGS}
-    b = b.add(cols)
-
-    def past(n: int) -> Column:
-        return c(f"close_lag_{n}" if n in LAGS else f"_pc_{n}")
-
-    spread = c("_hh14") - c("_ll14")
-    tp_mean = F.aggregate("_tps", F.lit(0.0), lambda a, x: a + x) / CCI_PERIOD
-    returns = {f"return_{n}": ratio(c("close"), past(n)) - 1 for n in RETURN_STEPS}
-    b = b.add(
-        returns
+    past = {n: f"close_lag_{n}" if n in LAGS else f"_pc_{n}" for n in RETURN_STEPS}
+    b = b.add_sql(
+        {f"return_{n}": f"{ratio('close', past[n])} - 1" for n in RETURN_STEPS}
         | {
-            "log_return_1": F.ln(ratio(c("close"), c("close_lag_1"))),
-            "_span_a": (c("ichi_tenkan") + c("ichi_kijun")) / 2,
-            "_tp_mean": full(CCI_PERIOD, tp_mean),
-            "_fastk": F.when(spread == 0, 0.0).otherwise(
-                100.0 * ratio(c("close") - c("_ll14"), spread)
-            ),
-            "willr": F.when(spread == 0, 0.0).otherwise(
-                -100.0 * ratio(c("_hh14") - c("close"), spread)
-            ),
-            "roc": (ratio(c("close"), c("_pc12")) - 1) * 100.0,
+            "log_return_1": f"ln({ratio('close', past[1])})",
+            "_span_a": "(ichi_tenkan + ichi_kijun) / 2",
+            "_tps": f"collect_list(_tp) {b.over_last(CCI_PERIOD)}",
+            "_tp_mean": since(CCI_PERIOD - 1, f"avg(_tp) {b.over_last(CCI_PERIOD)}"),
+            "_fastk": guarded("(close - _ll)", "(_hh - _ll)"),
+            "willr": guarded("(_hh - close)", "(_hh - _ll)", "-100D"),
+            "roc": f"({ratio('close', '_pc_roc')} - 1) * 100D",
         }
     )
-    mean_dev = (
-        F.aggregate("_tps", F.lit(0.0), lambda a, x: a + F.abs(x - c("_tp_mean"))) / CCI_PERIOD
-    )
-    return b.add({"_mean_dev": full(CCI_PERIOD, mean_dev)}).add(
+    deviation = f"aggregate(_tps, 0D, (a, x) -> a + abs(x - _tp_mean)) / {CCI_PERIOD}"
+    k_from = STOCH_FASTK + STOCH_SLOWK - 2
+    return b.add_sql(
         {
-            "cci": F.when(c("_mean_dev") == 0, 0.0).otherwise(
-                ratio(c("_tp") - c("_tp_mean"), 0.015 * c("_mean_dev"))
-            ),
-            "ichi_senkou_a": F.lag("_span_a", KIJUN).over(b.rows),
-            "ichi_senkou_b": F.lag("_span_b", KIJUN).over(b.rows),
-            "_slowk": F.when(
-                c(IDX) >= STOCH_FASTK + STOCH_SLOWK - 2, F.avg("_fastk").over(b.last(STOCH_SLOWK))
-            ),
+            "_mean_dev": since(CCI_PERIOD - 1, deviation),
+            "ichi_senkou_a": f"lag(_span_a, {KIJUN}) {b.over_rows}",
+            "ichi_senkou_b": f"lag(_span_b, {KIJUN}) {b.over_rows}",
+            "_slowk": since(k_from, f"avg(_fastk) {b.over_last(STOCH_SLOWK)}"),
         }
-    )
-
-
-def volatility_of_returns(b: Blocks) -> Blocks:
-    """Sample deviation of one-bar returns; a window needs that many returns."""
-    return b.add(
-        {
-            f"realized_vol_{n}": full(n + 1, F.stddev_samp("return_1").over(b.last(n)))
+        | {
+            f"realized_vol_{n}": since(n, f"stddev_samp(return_1) {b.over_last(n)}")
             for n in VOL_WINDOWS
         }
     )
@@ -246,69 +195,56 @@ def derived(b: Blocks) -> Blocks:
     stoch_from = STOCH_FASTK + STOCH_SLOWK + STOCH_SLOWD - 3
     macd_from = MACD_SLOW + MACD_SIGNAL - 2
     atr_from = ATR_PERIOD + ATR_NORM_PERIOD - 1
-    b = b.add(
+    b = b.add_sql(
         {
-            "stoch_k": F.when(c(IDX) >= stoch_from, c("_slowk")),
-            "stoch_d": F.when(c(IDX) >= stoch_from, F.avg("_slowk").over(b.last(STOCH_SLOWD))),
-            "atr_ma": F.when(c(IDX) >= atr_from, F.avg("atr_14").over(b.last(ATR_NORM_PERIOD))),
-            "atr_std": F.when(
-                c(IDX) >= atr_from, F.stddev_samp("atr_14").over(b.last(ATR_NORM_PERIOD))
-            ),
-            "ema_200_slope": c("ema_200") - F.lag("ema_200").over(b.rows),
+            "stoch_k": since(stoch_from, "_slowk"),
+            "stoch_d": since(stoch_from, f"avg(_slowk) {b.over_last(STOCH_SLOWD)}"),
+            "atr_ma": since(atr_from, f"avg(atr_14) {b.over_last(ATR_NORM_PERIOD)}"),
+            "atr_std": since(atr_from, f"stddev_samp(atr_14) {b.over_last(ATR_NORM_PERIOD)}"),
+            "ema_200_slope": f"ema_200 - lag(ema_200) {b.over_rows}",
+            "rsi": RSI,
+            "macd": since(macd_from, "_macd"),
+            "cci": guarded("(_tp - _tp_mean)", "(0.015D * _mean_dev)", "1D"),
+            "bb_upper": f"bb_middle + {BB_WIDTH}D * _bb_sd",
+            "bb_lower": f"bb_middle - {BB_WIDTH}D * _bb_sd",
+            "kc_middle": "_ema_kc",
+            "kc_upper": f"_ema_kc + {KC_WIDTH}D * _atr_kc",
+            "kc_lower": f"_ema_kc - {KC_WIDTH}D * _atr_kc",
         }
     )
-    zero, one = F.lit(0.0), F.lit(1.0)
-    above_cloud = (c("close") > c("ichi_senkou_a")) & (c("close") > c("ichi_senkou_b"))
-    below_cloud = (c("close") < c("ichi_senkou_a")) & (c("close") < c("ichi_senkou_b"))
-    cols = {
-        f"ema_{n}_dist_norm": ratio(c("close") - c(f"ema_{n}"), c("atr_14")) for n in EMA_PERIODS
-    }
-    cols |= {
-        "ema_50_100_cross": side(c("ema_50") > c("ema_100")),
-        "ema_50_200_cross": side(c("ema_50") > c("ema_200")),
-        "price_vs_ema_200_dist_norm": ratio(c("close") - c("ema_200"), c("atr_14")),
-        "rsi": rsi_value(),
-        "stoch_cross": side(c("stoch_k") > c("stoch_d")),
-        "macd": F.when(c(IDX) >= macd_from, c("_macd")),
-        "atr_zscore": F.coalesce(ratio(c("atr_14") - c("atr_ma"), c("atr_std")), zero),
-        "bb_upper": c("bb_middle") + BB_WIDTH * c("_bb_sd"),
-        "bb_lower": c("bb_middle") - BB_WIDTH * c("_bb_sd"),
-        "strong_uptrend_adx": flag((c("adx") > TREND_ADX) & (c("plus_di") > c("minus_di"))),
-        "strong_downtrend_adx": flag((c("adx") > TREND_ADX) & (c("minus_di") > c("plus_di"))),
-        "ichi_trend_bullish": flag(above_cloud),
-        "ichi_trend_bearish": flag(below_cloud),
-        "ichi_tk_cross": side(c("ichi_tenkan") > c("ichi_kijun")),
-        "kc_middle": c("_ema_kc"),
-        "kc_upper": c("_ema_kc") + KC_WIDTH * c("_atr_kc"),
-        "kc_lower": c("_ema_kc") - KC_WIDTH * c("_atr_kc"),
-    }
-    cols |= {
-        f"realized_vol_{n}_ann": c(f"realized_vol_{n}") * math.sqrt(252) for n in VOL_WINDOWS
-    }
-    b = b.add(cols)
-    bb_span = c("bb_upper") - c("bb_lower")
-    kc_span = c("kc_upper") - c("kc_lower")
-    position = ratio(c("close") - c("bb_lower"), bb_span)
-    b = b.add(
+    position = ratio("close - bb_lower", "bb_upper - bb_lower")
+    b = b.add_sql(
         {
-            "rsi_norm": c("rsi") / 100.0,
-            "rsi_overbought": flag(c("rsi") > 70),
-            "rsi_oversold": flag(c("rsi") < 30),
-            "macd_hist": c("macd") - c("macd_signal"),
-            "macd_cross": side(c("macd") > c("macd_signal")),
-            "bb_width": ratio(bb_span, c("bb_middle")),
-            "bb_position": F.when(position.isNotNull(), F.least(one, F.greatest(zero, position))),
-            "kc_position": ratio(c("close") - c("kc_lower"), kc_span),
-            "squeeze_on": flag(
-                (c("bb_upper") < c("kc_upper")) & (c("bb_lower") > c("kc_lower"))
-            ),
+            f"ema_{n}_dist_norm": ratio(f"close - ema_{n}", "atr_14") for n in EMA_PERIODS
+        }
+        | {
+            "ema_50_100_cross": side("ema_50 > ema_100"),
+            "ema_50_200_cross": side("ema_50 > ema_200"),
+            "price_vs_ema_200_dist_norm": ratio("close - ema_200", "atr_14"),
+            "rsi_norm": "rsi / 100D",
+            "rsi_overbought": flag("rsi > 70"),
+            "rsi_oversold": flag("rsi < 30"),
+            "stoch_cross": side("stoch_k > stoch_d"),
+            "macd_hist": "macd - macd_signal",
+            "macd_cross": side("macd > macd_signal"),
+            "atr_zscore": f"coalesce({ratio('atr_14 - atr_ma', 'atr_std')}, 0D)",
+            "bb_width": ratio("bb_upper - bb_lower", "bb_middle"),
+            "bb_position": f"CASE WHEN bb_upper > bb_lower THEN least(1D, greatest(0D, {position})) END",
+            "strong_uptrend_adx": flag(f"adx > {TREND_ADX} AND plus_di > minus_di"),
+            "strong_downtrend_adx": flag(f"adx > {TREND_ADX} AND minus_di > plus_di"),
+            "ichi_trend_bullish": flag("close > ichi_senkou_a AND close > ichi_senkou_b"),
+            "ichi_trend_bearish": flag("close < ichi_senkou_a AND close < ichi_senkou_b"),
+            "ichi_tk_cross": side("ichi_tenkan > ichi_kijun"),
+            "kc_position": ratio("close - kc_lower", "kc_upper - kc_lower"),
+            "squeeze_on": flag("bb_upper < kc_upper AND bb_lower > kc_lower"),
         }
+        | {f"realized_vol_{n}_ann": f"realized_vol_{n} * sqrt(252D)" for n in VOL_WINDOWS}
     )
-    return b.add(
+    return b.add_sql(
         {
-            "rsi_atr_cross": c("rsi_norm") * c("atr_zscore"),
-            "macd_vol_cross": c("macd_hist") * c("realized_vol_10"),
-            "bb_rsi_cross": c("bb_position") * c("rsi_norm"),
+            "rsi_atr_cross": "rsi_norm * atr_zscore",
+            "macd_vol_cross": "macd_hist * realized_vol_10",
+            "bb_rsi_cross": "bb_position * rsi_norm",
         }
     )
 
@@ -348,9 +284,8 @@ def base_features(
     """
     passed = bars.columns
     b = feature_blocks(bars, ts=ts, bucket=bucket, block_rows=block_rows)
-    b = rolling(smoothed(with_moves(b)))
-    b = directional(volatility_of_returns(b)).add({"_macd": c("_ema_fast") - c("_ema_slow")})
-    b = derived(second_level(b))
+    b = directional(rolling(smoothed(with_moves(b)))).add_sql({"_macd": MACD_LINE})
+    b = derived(scan.apply(b, [SIGNAL, ADX]))
     names = [
         n
         for n in BASE_FEATURES + CROSS_FEATURES
@@ -368,18 +303,18 @@ def htf_features(bars: DataFrame, timeframe: str, block_rows: int = BLOCK_ROWS)
         with_moves(feature_blocks(bars, block_rows=block_rows)),
         {"ema_50", "ema_200", "_avg_gain", "_avg_loss", "_str", "_spdm", "_smdm"},
     )
-    b = scan.apply(directional(b), [adx_recursion()]).add({"rsi": rsi_value()})
-    out = b.close().select("symbol", "ts", *[c(n).alias(f"{n}_{timeframe}") for n in HTF_NAMES])
-    return out.withColumns(regime_flags(timeframe))
+    b = scan.apply(directional(b), [ADX]).add_sql({"rsi": RSI})
+    named = [f"{n} AS {n}_{timeframe}" for n in HTF_NAMES]
+    out = b.close().selectExpr("symbol", "ts", *named)
+    return out.selectExpr("*", *[f"{e} AS {n}" for n, e in regime_flags(timeframe).items()])
 
 
-def regime_flags(timeframe: str) -> dict[str, Column]:
+def regime_flags(timeframe: str) -> dict[str, str]:
     """Trending/ranging and bullish/bearish flags; unknown inputs give 0 in both."""
-    adx = c(f"adx_{timeframe}")
-    fast, slow = c(f"ema_50_{timeframe}"), c(f"ema_200_{timeframe}")
+    fast, slow = f"ema_50_{timeframe}", f"ema_200_{timeframe}"
     return {
-        f"regime_trending_{timeframe}": flag(adx > TREND_ADX),
-        f"regime_ranging_{timeframe}": flag(adx <= TREND_ADX),
-        f"regime_bullish_{timeframe}": flag(fast > slow),
-        f"regime_bearish_{timeframe}": flag(fast < slow),
+        f"regime_trending_{timeframe}": flag(f"adx_{timeframe} > {TREND_ADX}"),
+        f"regime_ranging_{timeframe}": flag(f"adx_{timeframe} <= {TREND_ADX}"),
+        f"regime_bullish_{timeframe}": flag(f"{fast} > {slow}"),
+        f"regime_bearish_{timeframe}": flag(f"{fast} < {slow}"),
     }

@@ -17,10 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from candlewake.operators.blocks import IDX, SEG, SEGMENT_ROWS, Blocks
+from candlewake.operators.blocks import IDX, SEGMENT_ROWS, Blocks
 
 NEGLIGIBLE = 1e-30
 
@@ -85,49 +82,53 @@ def segment_rows_for(*betas: float) -> int:
 def apply(blocks: Blocks, recursions: list[Recursion]) -> Blocks:
     """Add one column per recursion; recursions of one call share their windows."""
     size = blocks.segment_rows
-    idx = F.col(IDX)
-    k = (idx % size).cast("double")
+    k = f"CAST({IDX} % {size} AS DOUBLE)"
 
-    def term(r: Recursion) -> Column:
+    def term(r: Recursion) -> str:
         if r.seed_at >= size:
             raise ValueError(f"{r.name}: seed of {r.seed_at + 1} rows exceeds a segment")
-        beta = F.lit(r.beta)
-        seed = F.when(idx >= r.first, F.col(r.x) * (r.beta**-r.seed_at / r.seed_div))
-        return F.when(idx <= r.seed_at, seed).otherwise(
-            F.col(r.x) * F.lit(r.gain) * F.pow(beta, -k)
+        seed_weight = r.beta**-r.seed_at / r.seed_div
+        return (
+            f"CASE WHEN {IDX} < {r.first} THEN NULL "
+            f"WHEN {IDX} <= {r.seed_at} THEN `{r.x}` * {number(seed_weight)} "
+            f"ELSE `{r.x}` * {number(r.gain)} * power({number(r.beta)}, -{k}) END"
         )
 
-    local = {
-        f"_loc_{r.name}": F.sum(term(r)).over(blocks.segment) * F.pow(F.lit(r.beta), k)
-        for r in recursions
-    }
-    at_end = idx % size == size - 1
-    blocks = blocks.add(local)
+    blocks = blocks.add_sql(
+        {
+            f"_loc_{r.name}": f"sum({term(r)}) {blocks.over_segment} * power({number(r.beta)}, {k})"
+            for r in recursions
+        }
+    )
 
-    def carry(r: Recursion) -> Column:
+    def carry(r: Recursion) -> str:
         terms = max(1, math.ceil(math.log(NEGLIGIBLE) / (size * math.log(r.beta))))
-        total = F.lit(0.0)
-        for j in range(1, terms + 1):
-            end = F.sum(F.when(at_end, F.col(f"_loc_{r.name}"))).over(blocks.segments_before(j))
-            total = total + F.coalesce(end, F.lit(0.0)) * (r.beta ** (size * (j - 1)))
-        return total
+        end = f"CASE WHEN {IDX} % {size} = {size - 1} THEN `_loc_{r.name}` END"
+        return " + ".join(
+            f"coalesce(sum({end}) {blocks.over_segment_before(j)}, 0D) "
+            f"* {number(r.beta ** (size * (j - 1)))}"
+            for j in range(1, terms + 1)
+        )
 
     out = {}
     for r in recursions:
         show = r.seed_at if r.show_from is None else r.show_from
-        value = F.col(f"_loc_{r.name}") + carry(r) * F.pow(F.lit(r.beta), k + 1)
-        out[r.name] = F.when(idx >= show, value)
-    return blocks.with_df(
-        blocks.add(out).df.drop(*[f"_loc_{r.name}" for r in recursions])
-    )
+        value = f"`_loc_{r.name}` + ({carry(r)}) * power({number(r.beta)}, {k} + 1)"
+        out[r.name] = f"CASE WHEN {IDX} >= {show} THEN {value} END"
+    return blocks.add_sql(out, drop=[f"_loc_{r.name}" for r in recursions])
+
+
+def number(x: float) -> str:
+    """A double literal with all its digits."""
+    return f"{x!r}D"
 
 
 __all__ = [
     "Recursion",
-    "SEG",
     "apply",
     "ema",
     "ema_unseeded",
+    "number",
     "reach",
     "segment_rows_for",
     "wilder",

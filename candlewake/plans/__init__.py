@@ -1,0 +1 @@
+"""Whole jobs, the registered queries, and their SQL twins."""

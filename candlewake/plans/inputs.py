@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candlewake.functions.scoring import argmax_class, class_name
 from candlewake.operators.resample import ticks_to_bars
-from candlewake.schema import PAIRS
+from candlewake.schema import CURRENCY_COUNTRY, PAIRS
 from candlewake.session import configure
 
 
@@ -61,3 +62,94 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars of eight pairs from the event log, with natural gaps."""
+    t = ticks(spark, sf_dir).withColumn("symbol", pair_of("user_id"))
+    return ticks_to_bars(t, "1 hour", ["ts", "event_id"])
+
+
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calendar events from purchases."""
+    countries = F.array(*[F.lit(c) for c in CURRENCY_COUNTRY.values()])
+    t = ticks(spark, sf_dir).where(F.col("symbol") == "purchase")
+    return t.select(
+        "event_id",
+        "ts",
+        F.concat(F.lit("release "), F.col("user_id") % 6).alias("event_name"),
+        F.element_at(countries, (F.col("user_id") % 8 + 1).cast("int")).alias("country"),
+        F.col("value").alias("actual_value"),
+        F.col("k").cast("double").alias("consensus_forecast"),
+        (F.col("event_id") % 100).cast("double").alias("previous_value"),
+        (F.col("event_id") % 3 + 1).cast("int").alias("impact_level"),
+    )
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated texts per currency from documents."""
+    currencies = F.array(*[F.lit(c) for c in CURRENCY_COUNTRY])
+    seconds = F.lit(1704067200) + F.col("doc_id") % 30 * 86400 + F.col("doc_id") % 24 * 3600
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.timestamp_seconds(seconds).alias("ts"),
+        F.element_at(currencies, (F.col("doc_id") % 8 + 1).cast("int")).alias("currency"),
+        "text",
+        "lang",
+    )
+
+
+def symbol_number():
+    names = F.array(*[F.lit(p) for p in PAIRS])
+    return F.array_position(names, F.col("symbol"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class probabilities for every daily bar, by plain arithmetic on day and symbol."""
+    d = F.unix_date(F.to_date("ts"))
+    s = symbol_number()
+    w = lambda a, b: F.pow(1 + (d * a + s * b) % 11, F.lit(3))
+    b = bars(spark, sf_dir).withColumns({"_b": w(7, 13), "_s": w(5, 7), "_h": w(3, 11)})
+    total = F.col("_b") + F.col("_s") + F.col("_h")
+    return b.select(
+        "symbol",
+        "ts",
+        "close",
+        (F.col("_b") / total).alias("pred_buy_prob"),
+        (F.col("_s") / total).alias("pred_sell_prob"),
+        (F.col("_h") / total).alias("pred_hold_prob"),
+    ).withColumns(
+        {
+            "predicted_class": argmax_class(
+                F.col("pred_buy_prob"), F.col("pred_sell_prob"), F.col("pred_hold_prob")
+            ),
+            "confidence": F.greatest("pred_buy_prob", "pred_sell_prob", "pred_hold_prob"),
+        }
+    ).withColumn("signal", class_name(F.col("predicted_class")))
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed positions from orders."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("ticket"),
+        pair_of("o_custkey").alias("symbol"),
+        F.when(key % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+        F.col("o_orderdate").alias("open_ts"),
+        F.timestamp_seconds(F.unix_seconds("o_orderdate") + (key % 5 + 1) * 86400).alias("close_ts"),
+        (key % 201 - 100).cast("double").alias("profit"),
+    )
+
+
+def symbol_specs(spark: SparkSession) -> DataFrame:
+    """Contract sizes of the configured pairs (a fixed dimension of eight rows)."""
+    rows = []
+    for i, p in enumerate(PAIRS):
+        point = 0.001 if "JPY" in p else 0.00001
+        rows.append((p, point, point, 1.0, 0.01, 50.0, 0.01, 20.0, 3 if "JPY" in p else 5, 1000.0, 0.5 + i))
+    return spark.createDataFrame(
+        rows,
+        "symbol string, point double, tick_size double, tick_value double, volume_min double, "
+        "volume_max double, volume_step double, stops_level double, digits int, "
+        "margin_initial double, spread double",
+    )

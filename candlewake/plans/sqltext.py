@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from candlewake.schema import PAIRS
+from candlewake.schema import CURRENCY_COUNTRY, PAIRS
 
 PAIR_LIST = "[" + ", ".join(f"'{p}'" for p in PAIRS) + "]"
 
@@ -241,3 +241,62 @@ FEATURES = f"{BARS},\n{smoothed()},\n{features()}"
 
 def with_(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(ctes)
+
+
+HOURS = f"""{TICKS},
+hours AS MATERIALIZED (
+  SELECT {pair_of('user_id')} AS symbol, date_trunc('hour', t.ts)::TIMESTAMP AS ts,
+         first(price ORDER BY t.ts, event_id) AS open, max(price) AS high, min(price) AS low,
+         last(price ORDER BY t.ts, event_id) AS close, sum(size)::BIGINT AS volume
+  FROM ticks t GROUP BY ALL)"""
+
+COUNTRY_LIST = "[" + ", ".join(f"'{c}'" for c in CURRENCY_COUNTRY.values()) + "]"
+CURRENCY_LIST = "[" + ", ".join(f"'{c}'" for c in CURRENCY_COUNTRY) + "]"
+
+CALENDAR = f"""calendar AS (
+  SELECT event_id, ts, 'release ' || (user_id % 6) AS event_name,
+         {COUNTRY_LIST}[(user_id % 8 + 1)::INT] AS country, value AS actual_value,
+         json_extract_string(props, '$.k')::DOUBLE AS consensus_forecast,
+         (event_id % 100)::DOUBLE AS previous_value, (event_id % 3 + 1)::INT AS impact_level
+  FROM events WHERE event_type = 'purchase')"""
+
+NEWS = f"""news AS (
+  SELECT doc_id, make_timestamp((1704067200 + doc_id % 30 * 86400 + doc_id % 24 * 3600) * 1000000) AS ts,
+         {CURRENCY_LIST}[(doc_id % 8 + 1)::INT] AS currency, text, lang
+  FROM documents)"""
+
+_W = lambda a, b: f"pow(1 + (d * {a} + s * {b}) % 11, 3)"
+
+PREDICTIONS = f"""predictions AS MATERIALIZED (
+  SELECT symbol, ts, close, wb / (wb + ws + wh) AS pred_buy_prob,
+         ws / (wb + ws + wh) AS pred_sell_prob, wh / (wb + ws + wh) AS pred_hold_prob,
+         CASE WHEN wb >= ws AND wb >= wh THEN 0 WHEN ws >= wh THEN 1 ELSE 2 END AS predicted_class,
+         greatest(pred_buy_prob, pred_sell_prob, pred_hold_prob) AS confidence,
+         CASE predicted_class WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' ELSE 'HOLD' END AS signal
+  FROM (SELECT *, {_W(7, 13)} AS wb, {_W(5, 7)} AS ws, {_W(3, 11)} AS wh
+        FROM (SELECT *, datediff('day', DATE '1970-01-01', ts::DATE) AS d,
+                     list_position({PAIR_LIST}, symbol) AS s FROM bars)))"""
+
+POSITIONS = f"""positions AS (
+  SELECT o_orderkey AS ticket, {pair_of('o_custkey')} AS symbol,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side,
+         o_orderdate AS open_ts,
+         o_orderdate + to_days((o_orderkey % 5 + 1)::INT) AS close_ts,
+         (o_orderkey % 201 - 100)::DOUBLE AS profit
+  FROM orders)"""
+
+
+def _spec_rows() -> str:
+    rows = []
+    for i, p in enumerate(PAIRS):
+        point = "0.001" if "JPY" in p else "0.00001"
+        digits = 3 if "JPY" in p else 5
+        rows.append(
+            f"('{p}', {point}::DOUBLE, {point}::DOUBLE, 1.0::DOUBLE, 0.01::DOUBLE, 50.0::DOUBLE, "
+            f"0.01::DOUBLE, 20.0::DOUBLE, {digits}, 1000.0::DOUBLE, {0.5 + i}::DOUBLE)"
+        )
+    return ", ".join(rows)
+
+
+SPECS = f"""specs(symbol, point, tick_size, tick_value, volume_min, volume_max, volume_step,
+  stops_level, digits, margin_initial, spread) AS (VALUES {_spec_rows()})"""
