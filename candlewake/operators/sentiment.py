@@ -21,6 +21,17 @@ EMA_SPANS = (3, 7, 14)
 POSITIVE_WORDS = ["gain", "growth", "improve", "profit", "rise", "strong", "surge", "the", "un"]
 NEGATIVE_WORDS = ["crisis", "decline", "drop", "fall", "loss", "weak", "worthless", "that", "ou"]
 
+# English stop words longer than three characters.
+STOP_WORDS = [
+    "about", "above", "after", "again", "against", "because", "been", "before", "being", "below",
+    "between", "both", "could", "does", "doing", "down", "during", "each", "from", "further",
+    "have", "having", "here", "hers", "herself", "himself", "into", "itself", "just", "more",
+    "most", "myself", "once", "only", "other", "ours", "ourselves", "over", "same", "should",
+    "some", "such", "than", "that", "their", "theirs", "them", "themselves", "then", "there",
+    "these", "they", "this", "those", "through", "under", "until", "very", "were", "what", "when",
+    "where", "which", "while", "whom", "will", "with", "your", "yours", "yourself", "yourselves",
+]
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
 
 
@@ -40,6 +51,18 @@ def lexicon_label(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns({"label": label, "score": score}).drop("_pos", "_neg")
 
 
+def word_scorer(texts: pd.Series) -> pd.DataFrame:
+    """The word rule as a scorer, in the shape that any other model would have."""
+    words = texts.fillna("").str.lower().str.split(r"[^a-z]+", regex=True)
+    pos = words.map(lambda ws: sum(w in POSITIVE_WORDS for w in ws))
+    neg = words.map(lambda ws: sum(w in NEGATIVE_WORDS for w in ws))
+    total = pos + neg
+    score = (0.5 + (pos - neg).abs() / total.where(total > 0) / 2).fillna(1.0)
+    label = pd.Series("neutral", index=texts.index)
+    label = label.mask(pos > neg, "positive").mask(neg > pos, "negative")
+    return pd.DataFrame({"label": label, "score": score.astype("float64")})
+
+
 def scored_by(df: DataFrame, scorer: Scorer, text: str = "text", batch: int = 32) -> DataFrame:
     """Label and score from any model; ``scorer`` maps a series of texts to two columns.
 

@@ -129,6 +129,7 @@ def around_events(
     weight: str | None = None,
     decay_per_hour: float = 0.0,
     bucket_us: int = DAY,
+    salts: int = 1,
 ) -> DataFrame:
     """Time to the nearest event on both sides and the decayed sum of recent weights.
 
@@ -141,10 +142,19 @@ def around_events(
     its window touches twice, once with its weight and once, when its window ends, with
     the weight taken back. A running sum over rows and marks gives the decayed sum, so
     the cost is linear and no (row, event) pair is ever formed.
+
+    Rows do not affect each other, so ``salts`` may split a crowded (key, bucket) into
+    that many groups, each with its own copy of the bucket's few marks.
     """
     w_col = F.col(weight) if weight else F.lit(0.0)
     merged = events.groupBy(*keys, micros(event_ts).alias("_te")).agg(F.sum(w_col).alias("_w"))
     placed = into_buckets(merged, before_us, after_us, bucket_us)
+    columns = rows.columns
+    if salts > 1:
+        keys = [*keys, "_salt"]
+        placed = placed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        spread = F.pmod(F.xxhash64(*[F.col(n) for n in columns]), F.lit(salts))
+        rows = rows.withColumn("_salt", spread.cast("int"))
     hours = lambda us: (us - F.col("_b") * bucket_us) / F.lit(float(HOUR))
     grown = F.col("_w") * F.exp(decay_per_hour * hours(F.col("_te")))
     starts = placed.select(
@@ -174,7 +184,7 @@ def around_events(
     age = F.col("_t") - F.col("_before")
     wait = F.col("_after") - F.col("_t")
     return swept.where(F.col("_side") == 1).select(
-        *rows.columns,
+        *columns,
         F.when(age < after_us, age).alias("_prev"),
         F.when(wait <= before_us, wait).alias("_next"),
         F.when(
@@ -220,12 +230,13 @@ def outside_blackout(
     before_min: int = 30,
     after_min: int = 30,
     bucket_us: int = DAY,
+    salts: int = 1,
 ) -> DataFrame:
     """Rows with no event of their key within the given minutes on either side, ends included."""
     minute = 60_000_000
     near = around_events(
         rows, events, keys, before_min * minute, after_min * minute + 1,
-        bucket_us=bucket_us,
+        bucket_us=bucket_us, salts=salts,
     )
     return near.where(F.col("_prev").isNull() & F.col("_next").isNull()).select(*rows.columns)
 

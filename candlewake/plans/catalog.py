@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from candlewake.plans import bar_queries
+from candlewake.plans import bar_queries, event_queries, signal_queries
 from candlewake.plans.registry import Query
 
-MODULES = (bar_queries,)
+MODULES = (bar_queries, event_queries, signal_queries)
 
 
 def queries() -> dict[str, Query]:
