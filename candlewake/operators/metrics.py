@@ -111,7 +111,7 @@ def compare_models(old: DataFrame, new: DataFrame, pair: str = "pair") -> DataFr
     improved = F.coalesce(F.col("improvement_score") > MIN_IMPROVEMENT, F.lit(False))
     reason = (
         F.when(F.col("improvement_score").isNull(), "Missing metrics")
-        .when(improved, F.concat(F.format_number(F.col("improvement_score") * 100, "0.00"), F.lit("% improvement")))
+        .when(improved, F.format_string("%.2f%% improvement", F.col("improvement_score") * 100))
         .otherwise("Insufficient improvement")
     )
     return scored.select(

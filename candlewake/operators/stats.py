@@ -2,42 +2,98 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CORRELATION = 0.95
 PAIRS_PER_PASS = 200
+SUM_NAMES = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
 def feature_correlation(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
     """Absolute Pearson correlation of every pair of features, long form.
 
-    Each pass is one aggregate that combines on the map side; rows are never paired.
+    Few features are one aggregate that combines on the map side. Many would be too wide
+    for that; then each task reduces its batches to sums of products, which Spark adds up.
+    Rows are never paired in either case.
     """
     keys = keys or ["symbol"]
-    pos = {n: i for i, n in enumerate(features)}
-    pairs = list(combinations(features, 2))
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start : start + PAIRS_PER_PASS]
+    pairs = list(combinations(range(len(features)), 2))
+    if len(pairs) > PAIRS_PER_PASS:
+        long = _correlation_sums(df, features, keys)
+    else:
         wide = df.groupBy(*keys).agg(
             *[
-                F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{pos[a]}_{pos[b]}")
-                for a, b in part
+                F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(
+                    f"_{i}_{j}"
+                )
+                for i, j in pairs
             ]
         )
         rows = [
-            F.struct(
-                F.lit(pos[a]).alias("i"), F.lit(pos[b]).alias("j"), F.lit(a).alias("a"),
-                F.lit(b).alias("b"), F.abs(F.col(f"_{pos[a]}_{pos[b]}")).alias("r"),
-            )
-            for a, b in part
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{i}_{j}").alias("_r"))
+            for i, j in pairs
         ]
         long = wide.select(*keys, F.inline(F.array(*rows)))
-        out = long if out is None else out.unionByName(long)
-    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+    names = F.array(*[F.lit(n) for n in features])
+    return long.select(
+        *keys,
+        "i",
+        "j",
+        F.element_at(names, F.col("i") + 1).alias("a"),
+        F.element_at(names, F.col("j") + 1).alias("b"),
+        F.abs(F.when(~F.isnan("_r"), F.col("_r"))).alias("r"),
+    )
+
+
+def _correlation_sums(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """Pairwise-complete sums per batch and key, added up per pair.
+
+    Values are shifted by the mean of their key first, which keeps the sums accurate.
+    """
+    means = df.groupBy(*keys).agg(
+        F.array(*[F.coalesce(F.avg(F.col(n).cast("double")), F.lit(0.0)) for n in features]).alias("_m")
+    )
+    values = F.transform(
+        F.arrays_zip(F.array(*[F.col(n).cast("double") for n in features]).alias("v"), F.col("_m").alias("m")),
+        lambda z: z["v"] - z["m"],
+    )
+    shifted = df.join(means, keys).select(*keys, values.alias("_x"))
+    first, second = np.triu_indices(len(features), 1)
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, group in batch.groupby(keys, sort=False):
+                x = np.array(group["_x"].tolist(), dtype="float64")
+                have = ~np.isnan(x)
+                x, m = np.where(have, x, 0.0), have.astype("float64")
+                sums = [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+                out.append([*key, *[s[first, second] for s in sums]])
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, *SUM_NAMES])
+
+    key_schema = ", ".join(f"{k} {t}" for k, t in df.select(*keys).dtypes)
+    partial = shifted.mapInPandas(
+        reduce, f"{key_schema}, " + ", ".join(f"{n} array<double>" for n in SUM_NAMES)
+    )
+    flat = partial.select(*keys, F.posexplode(F.arrays_zip(*SUM_NAMES))).groupBy(*keys, "pos").agg(
+        *[F.sum(f"col.{n}").alias(n) for n in SUM_NAMES]
+    )
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUM_NAMES)
+    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    at = lambda a: F.element_at(F.array(*[F.lit(int(v)) for v in a]), F.col("pos") + 1)
+    return flat.select(
+        *keys,
+        at(first).alias("i"),
+        at(second).alias("j"),
+        F.try_divide(n * sxy - sx * sy, spread).alias("_r"),
+    )
 
 
 def correlated_features(
@@ -89,5 +145,6 @@ def scale_standard(df: DataFrame, fitted: DataFrame, features: list[str], keys:
     )
 
 
-def top_n(df: DataFrame, by: str, n: int) -> DataFrame:
-    return df.orderBy(F.desc(by), *[c for c in df.columns if c != by][:1]).limit(n)
+def top_n(df: DataFrame, by: str, n: int, then: str) -> DataFrame:
+    """The ``n`` largest; ties by ``then``."""
+    return df.orderBy(F.desc(by), then).limit(n)

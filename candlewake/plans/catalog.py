@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from candlewake.plans import bar_queries, event_queries, signal_queries
+from candlewake.plans import (
+    bar_queries,
+    event_queries,
+    live_queries,
+    signal_queries,
+    source_queries,
+    validation_queries,
+)
 from candlewake.plans.registry import Query
 
-MODULES = (bar_queries, event_queries, signal_queries)
+MODULES = (
+    source_queries,
+    bar_queries,
+    event_queries,
+    signal_queries,
+    validation_queries,
+    live_queries,
+)
 
 
 def queries() -> dict[str, Query]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.functions.scoring import argmax_class, class_name
+from candlewake.functions.scoring import class_name
 from candlewake.operators.resample import ticks_to_bars
 from candlewake.schema import CURRENCY_COUNTRY, PAIRS
 from candlewake.session import configure
@@ -108,24 +108,26 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class probabilities for every daily bar, by plain arithmetic on day and symbol."""
     d = F.unix_date(F.to_date("ts"))
     s = symbol_number()
-    w = lambda a, b: F.pow(1 + (d * a + s * b) % 11, F.lit(3))
-    b = bars(spark, sf_dir).withColumns({"_b": w(7, 13), "_s": w(5, 7), "_h": w(3, 11)})
-    total = F.col("_b") + F.col("_s") + F.col("_h")
-    return b.select(
+    raw = lambda a, b: 1 + (d * a + s * b) % 11
+    w = bars(spark, sf_dir).select(
+        "symbol", "ts", "close",
+        raw(7, 13).alias("_b"), raw(5, 7).alias("_s"), raw(3, 11).alias("_h"),
+    )
+    b, s_, h = F.col("_b"), F.col("_s"), F.col("_h")
+    cube = lambda x: (x * x * x).cast("double")
+    total = cube(b) + cube(s_) + cube(h)
+    cls = F.when((b >= s_) & (b >= h), 0).when(s_ >= h, 1).otherwise(2)
+    return w.select(
         "symbol",
         "ts",
         "close",
-        (F.col("_b") / total).alias("pred_buy_prob"),
-        (F.col("_s") / total).alias("pred_sell_prob"),
-        (F.col("_h") / total).alias("pred_hold_prob"),
-    ).withColumns(
-        {
-            "predicted_class": argmax_class(
-                F.col("pred_buy_prob"), F.col("pred_sell_prob"), F.col("pred_hold_prob")
-            ),
-            "confidence": F.greatest("pred_buy_prob", "pred_sell_prob", "pred_hold_prob"),
-        }
-    ).withColumn("signal", class_name(F.col("predicted_class")))
+        (cube(b) / total).alias("pred_buy_prob"),
+        (cube(s_) / total).alias("pred_sell_prob"),
+        (cube(h) / total).alias("pred_hold_prob"),
+        cls.alias("predicted_class"),
+        (cube(F.greatest(b, s_, h)) / total).alias("confidence"),
+        class_name(cls).alias("signal"),
+    )
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

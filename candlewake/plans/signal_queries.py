@@ -443,10 +443,10 @@ def orders_to_size(spark: SparkSession, sf: str) -> DataFrame:
 _STOP_COLS = ["atr_stop", "pip_stop", "percent_stop"]
 
 
-@R.add(f"{_TRADE_SQL}, {_STOPS} SELECT symbol, ts, regime, {q.rounded(_STOP_COLS, 1)} FROM stops")
+@R.add(f"{_TRADE_SQL}, {_STOPS} SELECT symbol, ts, regime, pip_stop, percent_stop, {q.r('atr_stop', 1)} AS atr_stop FROM stops")
 def stop_distance(spark: SparkSession, sf: str) -> DataFrame:
     out = orders_to_size(spark, sf).select("symbol", "ts", "regime", *_STOP_COLS)
-    return rounded(out, _STOP_COLS, 1)
+    return rounded(out, ["atr_stop"], 1)
 
 
 @R.add(f"{_TRADE_SQL}, {_STOPS}, {_RISK} SELECT symbol, ts, losses, {q.r('risk_percent', 6)} AS risk_percent FROM risks")
