@@ -14,7 +14,6 @@ from candlewake.sources import bars as bar_source
 from candlewake.sources import feeds, sinks
 
 R = Registry()
-MONTH = F.trunc("ts", "month")
 
 
 def _iso(ts: str) -> object:
@@ -62,7 +61,7 @@ def nested_candles(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("volume") % 7 != 0, F.col("volume")).alias("volume"),
         F.struct(price("open"), price("high"), price("low"), price("close")).alias("mid"),
     )
-    raw = inputs.bars(spark, sf).groupBy("symbol", MONTH.alias("m")).agg(
+    raw = inputs.bars(spark, sf).groupBy("symbol", F.trunc("ts", "month").alias("m")).agg(
         F.to_json(F.struct(F.collect_list(candle).alias("candles"))).alias("body")
     )
     return bar_source.flatten_candles(raw)
@@ -233,13 +232,13 @@ def predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    f"""{q.with_(q.BARS, q.PREDICTIONS)} SELECT symbol, ts, ts::DATE AS date, signal AS action, close AS entry, close * 0.99 AS sl, close * 1.02 AS tp
-    FROM predictions WHERE signal <> 'HOLD' AND ts >= TIMESTAMP '2001-01-01'"""
+    f"""{q.with_(q.BARS, q.PREDICTIONS)} SELECT symbol, ts, strftime(ts, '%Y-%m') AS month, signal AS action, close AS entry, close * 0.99 AS sl, close * 1.02 AS tp
+    FROM predictions WHERE signal <> 'HOLD'"""
 )
 def trade_log(spark: SparkSession, sf: str) -> DataFrame:
     """Two appends to the log, read back."""
     path = fresh_path(spark, "tradelog")
-    p = inputs.predictions(spark, sf).where("signal <> 'HOLD' AND ts >= '2001-01-01'")
+    p = inputs.predictions(spark, sf).where("signal <> 'HOLD'")
     none = F.lit(None).cast("double")
     log = p.select(
         "ts", "symbol", F.col("signal").alias("action"), "confidence", F.col("close").alias("entry"),
@@ -247,10 +246,10 @@ def trade_log(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("").alias("ob_context"), F.lit("").alias("fvg_context"), F.lit("MEDIUM").alias("regime"),
         none.alias("atr"), none.alias("spread"),
     )
-    by_day = log.repartition(F.to_date("ts"))
-    sinks.append_trade_log(by_day.where(scoring.direction(F.col("action")) == 1), path)
-    sinks.append_trade_log(by_day.where(scoring.direction(F.col("action")) == -1), path)
-    return sinks.read_trade_log(spark, path).select("symbol", "ts", "date", "action", "entry", "sl", "tp")
+    by_month = log.repartition(F.trunc("ts", "month"))
+    sinks.append_trade_log(by_month.where(scoring.direction(F.col("action")) == 1), path)
+    sinks.append_trade_log(by_month.where(scoring.direction(F.col("action")) == -1), path)
+    return sinks.read_trade_log(spark, path).select("symbol", "ts", "month", "action", "entry", "sl", "tp")
 
 
 @R.add(

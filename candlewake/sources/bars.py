@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewake.functions.gates import pair_name
@@ -54,7 +54,7 @@ def read_bar_files(spark: SparkSession, pattern: str, timeframe: str) -> DataFra
     """Bars from files named ``<symbol>_<timeframe>...``; the symbol comes from the name."""
     columns = "ts timestamp, open double, high double, low double, close double, volume bigint"
     df = spark.read.schema(columns).parquet(pattern)
-    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)_{timeframe}[^/]*(?:/[^/]*)?$", 1)
+    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/=]+)_{timeframe}[^/]*(?:/[^/]*)?$", 1)
     return df.select(
         pair_name(F.replace(stem, F.lit("_"), F.lit(""))).alias("symbol"),
         F.lit(timeframe).alias("timeframe"),
@@ -126,12 +126,11 @@ def request_bars(requests: DataFrame, key: str = "request_id", min_bars: int = M
     ok = F.col("pair").isNotNull() & F.col("events").isNotNull()
     for n in frames.values():
         ok = ok & (F.coalesce(F.size(n), F.lit(0)) >= min_bars)
-    tagged = F.concat(
-        *[
-            F.transform(n, lambda b, tf=tf: F.struct(F.lit(tf).alias("timeframe"), b.alias("bar")))
-            for tf, n in frames.items()
-        ]
-    )
+    def tag(name: str, timeframe: str) -> Column:
+        named = lambda b: F.struct(F.lit(timeframe).alias("timeframe"), b.alias("bar"))
+        return F.transform(name, named)
+
+    tagged = F.concat(*[tag(n, tf) for tf, n in frames.items()])
     return (
         requests.where(ok)
         .select(key, F.col("pair").alias("symbol"), F.inline(tagged))

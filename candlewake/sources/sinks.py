@@ -31,15 +31,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_trade_log(trades: DataFrame, path: str) -> None:
-    """Add orders to the log, one folder per day."""
+    """Add orders to the log, one folder per month."""
     fields = [f.split()[0] for f in TRADE_LOG.split(", ")]
-    trades.select(*fields).withColumn("date", F.to_date("ts")).write.mode("append").partitionBy(
-        "date"
-    ).parquet(path)
+    trades.select(*fields).withColumn("month", F.date_format("ts", "yyyy-MM")).write.mode(
+        "append"
+    ).partitionBy("month").parquet(path)
 
 
 def read_trade_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRADE_LOG + ", date date").parquet(path)
+    return spark.read.schema(TRADE_LOG + ", month string").parquet(path)
 
 
 def write_profile(profile: DataFrame, path: str) -> None:

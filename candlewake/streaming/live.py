@@ -64,7 +64,8 @@ def _take_first(
             day = ts.toordinal()
             taken.append((key[0], key[1], ts, ident))
     state.update((int(day), int(losses)))
-    yield pd.DataFrame(taken, columns=["symbol", "side", "ts", "id"])
+    if taken:
+        yield pd.DataFrame(taken, columns=["symbol", "side", "ts", "id"])
 
 
 def daily_limit(moves: DataFrame) -> DataFrame:
