@@ -99,7 +99,7 @@ def with_moves(b: Blocks) -> Blocks:
             "_pdm": f"CASE WHEN {up} > {down} AND {up} > 0 THEN {up} ELSE 0D END",
             "_mdm": f"CASE WHEN {down} > {up} AND {down} > 0 THEN {down} ELSE 0D END",
         },
-        drop=["_pc", "_ph", "_pl"],
+        drop=["_ph", "_pl"],
     )
 
 
@@ -139,54 +139,66 @@ SIGNAL = scan.ema("macd_signal", "_macd", MACD_SIGNAL, first=MACD_SLOW - 1)
 
 
 def rolling(b: Blocks) -> Blocks:
-    """Trailing frames on raw prices; nothing here depends on a recursion."""
-
-    def middle(n: int) -> str:
-        return since(n - 1, f"(max(high) {b.over_last(n)} + min(low) {b.over_last(n)}) / 2")
+    """Trailing frames on prices, returns and ATR; takes the blocks of :func:`with_moves`.
 
+    All frames sit in one window pass, where those of equal length share their work; the
+    second pass only reads values of earlier rows.
+    """
     far = [n for n in RETURN_STEPS if n not in LAGS]
+    atr_from = ATR_PERIOD + ATR_NORM_PERIOD - 1
+    b = b.add_sql(
+        {"_tp": "(high + low + close) / 3D", "return_1": f"{ratio('close', '_pc')} - 1"}
+    )
+
+    def frame(n: int, expr: str, first: int | None = None) -> str:
+        return since(n - 1 if first is None else first, f"{expr} {b.over_last(n)}")
+
     b = b.add_sql(
         {
-            "_tp": "(high + low + close) / 3D",
-            "bb_middle": since(BB_PERIOD - 1, f"avg(close) {b.over_last(BB_PERIOD)}"),
-            "_bb_sd": since(BB_PERIOD - 1, f"stddev_pop(close) {b.over_last(BB_PERIOD)}"),
-            "_hh": since(WILLR_PERIOD - 1, f"max(high) {b.over_last(WILLR_PERIOD)}"),
-            "_ll": since(WILLR_PERIOD - 1, f"min(low) {b.over_last(WILLR_PERIOD)}"),
-            "ichi_tenkan": middle(TENKAN),
-            "ichi_kijun": middle(KIJUN),
-            "_span_b": middle(SENKOU),
+            "bb_middle": frame(BB_PERIOD, "avg(close)"),
+            "_bb_sd": frame(BB_PERIOD, "stddev_pop(close)"),
+            "_tps": f"collect_list(_tp) {b.over_last(CCI_PERIOD)}",
+            "_tp_mean": frame(CCI_PERIOD, "avg(_tp)"),
+            "atr_ma": frame(ATR_NORM_PERIOD, "avg(atr_14)", atr_from),
+            "atr_std": frame(ATR_NORM_PERIOD, "stddev_samp(atr_14)", atr_from),
             "ichi_chikou": f"lead(close, {KIJUN}) {b.over_rows}",
             "_pc_roc": f"lag(close, {ROC_PERIOD}) {b.over_rows}",
+            "ema_200_slope": f"ema_200 - lag(ema_200) {b.over_rows}",
         }
+        | {f"_hh{n}": frame(n, "max(high)") for n in (TENKAN, WILLR_PERIOD, KIJUN)}
+        | {f"_ll{n}": frame(n, "min(low)") for n in (TENKAN, WILLR_PERIOD, KIJUN)}
+        | {f"realized_vol_{n}": frame(n, "stddev_samp(return_1)", n) for n in VOL_WINDOWS}
         | {f"{x}_lag_{n}": f"lag({x}, {n}) {b.over_rows}" for n in LAGS for x in ("close", "volume")}
         | {f"_pc_{n}": f"lag(close, {n}) {b.over_rows}" for n in far}
     )
     past = {n: f"close_lag_{n}" if n in LAGS else f"_pc_{n}" for n in RETURN_STEPS}
+    hh, ll = f"_hh{WILLR_PERIOD}", f"_ll{WILLR_PERIOD}"
+    deviation = f"aggregate(_tps, 0D, (a, x) -> a + abs(x - _tp_mean)) / {CCI_PERIOD}"
     b = b.add_sql(
-        {f"return_{n}": f"{ratio('close', past[n])} - 1" for n in RETURN_STEPS}
+        {f"return_{n}": f"{ratio('close', past[n])} - 1" for n in RETURN_STEPS if n != 1}
         | {
             "log_return_1": f"ln({ratio('close', past[1])})",
-            "_span_a": "(ichi_tenkan + ichi_kijun) / 2",
-            "_tps": f"collect_list(_tp) {b.over_last(CCI_PERIOD)}",
-            "_tp_mean": since(CCI_PERIOD - 1, f"avg(_tp) {b.over_last(CCI_PERIOD)}"),
-            "_fastk": guarded("(close - _ll)", "(_hh - _ll)"),
-            "willr": guarded("(_hh - close)", "(_hh - _ll)", "-100D"),
+            "ichi_tenkan": f"(_hh{TENKAN} + _ll{TENKAN}) / 2",
+            "ichi_kijun": f"(_hh{KIJUN} + _ll{KIJUN}) / 2",
+            "_mean_dev": since(CCI_PERIOD - 1, deviation),
+            "_fastk": guarded(f"(close - {ll})", f"({hh} - {ll})"),
+            "willr": guarded(f"({hh} - close)", f"({hh} - {ll})", "-100D"),
             "roc": f"({ratio('close', '_pc_roc')} - 1) * 100D",
-        }
+        },
+        drop=["_tps", "_pc_roc", *[f"_pc_{n}" for n in far]],
     )
-    deviation = f"aggregate(_tps, 0D, (a, x) -> a + abs(x - _tp_mean)) / {CCI_PERIOD}"
+    # The long span covers twice the middle one: its extremes are those of two halves.
+    older = lambda x: f"lag({x}, {KIJUN}) {b.over_rows}"
+    oldest = lambda x: f"lag({x}, {2 * KIJUN}) {b.over_rows}"
     k_from = STOCH_FASTK + STOCH_SLOWK - 2
+    top = f"greatest({older(f'_hh{KIJUN}')}, {oldest(f'_hh{KIJUN}')})"
+    low = f"least({older(f'_ll{KIJUN}')}, {oldest(f'_ll{KIJUN}')})"
     return b.add_sql(
         {
-            "_mean_dev": since(CCI_PERIOD - 1, deviation),
-            "ichi_senkou_a": f"lag(_span_a, {KIJUN}) {b.over_rows}",
-            "ichi_senkou_b": f"lag(_span_b, {KIJUN}) {b.over_rows}",
+            "ichi_senkou_a": f"({older('ichi_tenkan')} + {older('ichi_kijun')}) / 2",
+            "ichi_senkou_b": since(SENKOU + KIJUN - 1, f"({top} + {low}) / 2"),
             "_slowk": since(k_from, f"avg(_fastk) {b.over_last(STOCH_SLOWK)}"),
         }
-        | {
-            f"realized_vol_{n}": since(n, f"stddev_samp(return_1) {b.over_last(n)}")
-            for n in VOL_WINDOWS
-        }
     )
 
 
@@ -194,14 +206,10 @@ def derived(b: Blocks) -> Blocks:
     """Everything that only combines columns of the same or the previous row."""
     stoch_from = STOCH_FASTK + STOCH_SLOWK + STOCH_SLOWD - 3
     macd_from = MACD_SLOW + MACD_SIGNAL - 2
-    atr_from = ATR_PERIOD + ATR_NORM_PERIOD - 1
     b = b.add_sql(
         {
             "stoch_k": since(stoch_from, "_slowk"),
             "stoch_d": since(stoch_from, f"avg(_slowk) {b.over_last(STOCH_SLOWD)}"),
-            "atr_ma": since(atr_from, f"avg(atr_14) {b.over_last(ATR_NORM_PERIOD)}"),
-            "atr_std": since(atr_from, f"stddev_samp(atr_14) {b.over_last(ATR_NORM_PERIOD)}"),
-            "ema_200_slope": f"ema_200 - lag(ema_200) {b.over_rows}",
             "rsi": RSI,
             "macd": since(macd_from, "_macd"),
             "cci": guarded("(_tp - _tp_mean)", "(0.015D * _mean_dev)", "1D"),
@@ -284,8 +292,9 @@ def base_features(
     """
     passed = bars.columns
     b = feature_blocks(bars, ts=ts, bucket=bucket, block_rows=block_rows)
-    b = directional(rolling(smoothed(with_moves(b)))).add_sql({"_macd": MACD_LINE})
-    b = derived(scan.apply(b, [SIGNAL, ADX]))
+    # Recursions come first, while the rows that every window pass copies are narrow.
+    b = directional(smoothed(with_moves(b))).add_sql({"_macd": MACD_LINE})
+    b = derived(rolling(scan.apply(b, [SIGNAL, ADX])))
     names = [
         n
         for n in BASE_FEATURES + CROSS_FEATURES

@@ -82,7 +82,12 @@ def segment_rows_for(*betas: float) -> int:
 def apply(blocks: Blocks, recursions: list[Recursion]) -> Blocks:
     """Add one column per recursion; recursions of one call share their windows."""
     size = blocks.segment_rows
-    k = f"CAST({IDX} % {size} AS DOUBLE)"
+    betas = sorted({r.beta for r in recursions})
+    weight = {beta: f"_w{i}" for i, beta in enumerate(betas)}
+    position = f"CAST({IDX} % {size} AS DOUBLE)"
+    blocks = blocks.add_sql(
+        {weight[beta]: f"power({number(beta)}, {position})" for beta in betas}
+    )
 
     def term(r: Recursion) -> str:
         if r.seed_at >= size:
@@ -91,12 +96,12 @@ def apply(blocks: Blocks, recursions: list[Recursion]) -> Blocks:
         return (
             f"CASE WHEN {IDX} < {r.first} THEN NULL "
             f"WHEN {IDX} <= {r.seed_at} THEN `{r.x}` * {number(seed_weight)} "
-            f"ELSE `{r.x}` * {number(r.gain)} * power({number(r.beta)}, -{k}) END"
+            f"ELSE `{r.x}` * {number(r.gain)} / {weight[r.beta]} END"
         )
 
     blocks = blocks.add_sql(
         {
-            f"_loc_{r.name}": f"sum({term(r)}) {blocks.over_segment} * power({number(r.beta)}, {k})"
+            f"_loc_{r.name}": f"sum({term(r)}) {blocks.over_segment} * {weight[r.beta]}"
             for r in recursions
         }
     )
@@ -106,16 +111,17 @@ def apply(blocks: Blocks, recursions: list[Recursion]) -> Blocks:
         end = f"CASE WHEN {IDX} % {size} = {size - 1} THEN `_loc_{r.name}` END"
         return " + ".join(
             f"coalesce(sum({end}) {blocks.over_segment_before(j)}, 0D) "
-            f"* {number(r.beta ** (size * (j - 1)))}"
+            f"* {number(r.beta ** (size * (j - 1) + 1))}"
             for j in range(1, terms + 1)
         )
 
     out = {}
     for r in recursions:
         show = r.seed_at if r.show_from is None else r.show_from
-        value = f"`_loc_{r.name}` + ({carry(r)}) * power({number(r.beta)}, {k} + 1)"
+        value = f"`_loc_{r.name}` + ({carry(r)}) * {weight[r.beta]}"
         out[r.name] = f"CASE WHEN {IDX} >= {show} THEN {value} END"
-    return blocks.add_sql(out, drop=[f"_loc_{r.name}" for r in recursions])
+    used = [*weight.values(), *[f"_loc_{r.name}" for r in recursions]]
+    return blocks.add_sql(out, drop=used)
 
 
 def number(x: float) -> str:
