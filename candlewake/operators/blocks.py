@@ -38,7 +38,8 @@ def with_row_index(
     ``bucket`` must not decrease along ``order`` (a day, an hour). Rows are counted
     per bucket, the counts are summed along the key, and rows are numbered inside
     their bucket only. The table that is ordered per key has one row per bucket, so
-    it grows with the calendar and not with the data.
+    it grows with the calendar and not with the data. Rows without a time or key have no
+    position and drop out; split them off before (``quality.split_required``).
     """
     tagged = df.withColumn("_bucket", bucket)
     counts = tagged.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -112,7 +112,7 @@ def time_series_folds(
     indexed = with_row_index(df, keys, order, bucket, idx="row", total="_total")
     size = F.floor(F.col("_total") / (n_splits + 1))
     first = F.col("_total") - n_splits * size
-    fold = F.when(F.col("row") < first, -1).otherwise(F.floor((F.col("row") - first) / size))
+    fold = F.when(F.col("row") < first, -1).otherwise(F.floor(F.try_divide(F.col("row") - first, size)))
     return indexed.withColumn("fold", fold.cast("int")).drop("_total")
 
 

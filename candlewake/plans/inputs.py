@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from candlewake.functions.scoring import class_name
 from candlewake.operators.resample import ticks_to_bars
 from candlewake.schema import CURRENCY_COUNTRY, PAIRS
-from candlewake.session import configure
+from candlewake.session import configure, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,7 +105,11 @@ def symbol_number():
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class probabilities for every daily bar, by plain arithmetic on day and symbol."""
+    """Class probabilities for every daily bar, by plain arithmetic on day and symbol.
+
+    Written once, as a scoring job would: otherwise filters on the probabilities move below
+    the bar aggregate and are evaluated for every tick.
+    """
     d = F.unix_date(F.to_date("ts"))
     s = symbol_number()
     raw = lambda a, b: 1 + (d * a + s * b) % 11
@@ -117,7 +121,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = lambda x: (x * x * x).cast("double")
     total = cube(b) + cube(s_) + cube(h)
     cls = F.when((b >= s_) & (b >= h), 0).when(s_ >= h, 1).otherwise(2)
-    return w.select(
+    out = w.select(
         "symbol",
         "ts",
         "close",
@@ -128,6 +132,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (cube(F.greatest(b, s_, h)) / total).alias("confidence"),
         class_name(cls).alias("signal"),
     )
+    return stage(out, "predictions")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
