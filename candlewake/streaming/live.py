@@ -118,7 +118,10 @@ def score_each_batch(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        # The batch is read several times; what is lost with an executor is read again.
+        batch = batch.persist()
         if batch.isEmpty():
+            batch.unpersist()
             return
         new = batch.select("symbol", "ts")
         start = batch.select(F.min("ts") - F.expr(f"INTERVAL {horizon}")).first()[0]
@@ -127,6 +130,7 @@ def score_each_batch(
         together = known.unionByName(batch.select(*history.columns))
         scored = score(together).join(new, ["symbol", "ts"], "left_semi")
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.unpersist()
 
     return run
 

@@ -25,7 +25,8 @@ def test_asof_matches_far_and_equal_times(spark):
         {
             "symbol": ["a"] * 5 + ["b"] * 2,
             "ts": pd.to_datetime(
-                ["2024-01-02", "2024-01-03 05:00", "2024-01-20", "2024-01-20 01:00", "2024-02-05", "2024-01-10", "2024-01-11"]
+                ["2024-01-02", "2024-01-03 05:00", "2024-01-20", "2024-01-20 01:00", "2024-02-05", "2024-01-10", "2024-01-11"],
+                format="mixed",
             ),
             "v": range(7),
         }
