@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+#: Folders this process has staged tables in, by application.
+_made: dict[str, set[str]] = {}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -21,8 +23,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables and stream checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, since there every task sees the same disk.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, only a
+    local master is served, from its warehouse folder.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
@@ -31,14 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="candlewake-")
-    return _local_dirs[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/candlewake/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/candlewake/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = set()
+        atexit.register(_at_exit, spark)
+    _made[app].add(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    # The JVM may be gone already; a cluster's shared folder is then cleaned by its owner.
+    with contextlib.suppress(Exception):
+        discard(spark, *_made.get(spark.sparkContext.applicationId, set()).copy())
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
