@@ -14,8 +14,8 @@ from candlewake.llm.common import WORD, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»›•·"
-#: A sentence end, perhaps inside quotes or brackets.
-SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+#: A sentence end, perhaps inside quotes or brackets. A line that holds one is prose, though it may break off later.
+SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
 BOILERPLATE = (
     r"(?i)(javascript|cookies?\b|terms of (use|service)|privacy policy|all rights reserved|copyright|"
     r"licen[cs]ed under|released under the|lorem ipsum|click here|subscribe|sign up|log ?in\b|share this)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import line_quality, mixing
+from candlewake.llm import line_quality, mixing, secret_scan
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -67,7 +67,7 @@ lw AS (
   FROM l
 ), d AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
-         sum(n) FILTER (regexp_matches(line, '[.!?…。！？]["''”’»)\]]*[\x20\x09-\x0D]*$')
+         sum(n) FILTER (regexp_matches(line, '[.!?…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)')
            AND NOT seps >= greatest(2.0, n * 0.25) AND NOT syms >= greatest(2.0, n * 0.3)
            AND NOT (upper(line) = line AND lower(line) <> line AND n >= 4)
            AND NOT (n <= 25 AND regexp_matches(line, '(?i)(javascript|cookies?\b|terms of (use|service)|privacy policy|all rights reserved|copyright|licen[cs]ed under|released under the|lorem ipsum|click here|subscribe|sign up|log ?in\b|share this)'))
@@ -90,3 +90,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
     return judged.select("doc_id", *[F.col(f"__quality.{n}") for n in names])
+
+
+@R.add()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", secret_scan.spans(F.col("text")).alias("found"))
+    number = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
+    base = F.filter("found", lambda x: x["kind"].isin(*[r.kind for r in secret_scan.BASE]))
+    return docs.select(
+        "doc_id",
+        *[number(r.kind).alias(f"n_{r.kind}") for r in secret_scan.BASE],
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("found")).alias("spans"),
+    )
