@@ -112,12 +112,18 @@ def compile_rules(patterns: list[str], search: bool = True, backwards: bool = Fa
     kinds = {s: i for i, s in enumerate(dict.fromkeys(signature))}
     example = {kinds[s]: b for b, s in enumerate(signature)}
     begin = nfa.closure([root])
+    reach = [nfa.closure([s]) for s in range(len(nfa.empty))]
+    steps: list[list[frozenset[int]]] = [
+        [frozenset().union(*(reach[t] for chars, t in moves if example[c] in chars)) for c in range(len(kinds))]
+        for moves in nfa.moves
+    ]
+    moving = {s for s, moves in enumerate(nfa.moves) if moves}
+    again = begin if search else frozenset()
     number, order, rows = {begin: 0}, [begin], []
     for states in order:
-        row = []
+        live, row = states & moving, []
         for c in range(len(kinds)):
-            step = {t for s in states for chars, t in nfa.moves[s] if example[c] in chars}
-            nxt = nfa.closure(step | ({root} if search else set()))
+            nxt = again.union(*(steps[s][c] for s in live))
             if nxt not in number:
                 number[nxt] = len(order)
                 order.append(nxt)

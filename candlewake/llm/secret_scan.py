@@ -1,9 +1,9 @@
 """Secret scanning with one automaton for all rules.
 
-The rules are compiled together into a transition table, and each text is run
-through it once, byte by byte. Where the mask of a rule ends, the automaton of
-that rule's reversed strings finds the leftmost start. A rule's last part takes
-all it can, so that a match is fixed by its end.
+A rule is a core and a class of characters that may follow it in any number. The
+cores are compiled together into one transition table, and each text is run through
+it once, byte by byte. Where a core ends, the automaton of its reversed strings
+finds the leftmost start, and the match takes all characters of the class.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from candlewake.llm.common import let
 
 @dataclass(frozen=True)
 class Rule:
-    """``group`` of a match, or all of it, must have ``least`` characters; shorter matches still use up their text."""
+    """A match is ``core`` and then all characters of the class ``tail``.
+
+    ``group`` of a match, or all of it, must have ``least`` characters; shorter matches still use up their text.
+    """
 
     kind: str
-    pattern: str
+    core: str
+    tail: str = ""
     least: int = 0
     group: int = 0
 
@@ -35,33 +39,48 @@ def any_case(text: str) -> str:
 
 
 _NAMES = "|".join(any_case(n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+_VALUE = "[A-Za-z0-9+/_.=-]"
+_ALNUM = "[A-Za-z0-9]"
+_BASE64URL = "[A-Za-z0-9_-]"
 
 #: The kinds of the contract, in its order.
 BASE = (
-    Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
-    Rule("access", "AKIA[A-Z0-9]+", 18),
-    Rule("hex", "[0-9a-f]+", 16),
+    Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?({_VALUE})""", _VALUE, 12, 2),
+    Rule("access", "AKIA[A-Z0-9]", "[A-Z0-9]", 18),
+    Rule("hex", "[0-9a-f]{16}", "[0-9a-f]"),
 )
 #: Published token formats of common services, and keys inside texts.
 MORE = (
     Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 40),
-    Rule("slack", "xox[abprs]-[A-Za-z0-9-]+", 15),
-    Rule("google", "AIza[A-Za-z0-9_-]+", 39),
-    Rule("stripe", "[sr]k_live_[A-Za-z0-9]+", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
-    Rule("bearer", rf"{any_case('bearer')}\x20+([A-Za-z0-9+/_.=-]+)", 20, 1),
-    Rule("url_login", r"://[A-Za-z0-9_.-]+:[A-Za-z0-9_.!$%^*+-]+@[A-Za-z0-9.-]+"),
+    Rule("github", f"gh[pousr]_{_ALNUM}", _ALNUM, 40),
+    Rule("slack", f"xox[abprs]-{_ALNUM}", "[A-Za-z0-9-]", 15),
+    Rule("google", f"AIza{_BASE64URL}", _BASE64URL, 39),
+    Rule("stripe", f"[sr]k_live_{_ALNUM}", _ALNUM, 24),
+    Rule("jwt", rf"eyJ{_BASE64URL}+\.eyJ", "[A-Za-z0-9_.-]", 30),
+    Rule("bearer", rf"{any_case('bearer')}\x20+({_VALUE})", _VALUE, 20, 1),
 )
 RULES = BASE + MORE
 
 SPANS = "array<struct<kind:string,start:long,end:long>>"
 
 
+@dataclass(frozen=True)
+class _Compiled:
+    forward: Automaton
+    back: list[Automaton]
+    tails: list[bytes]
+    cores: list[re.Pattern]
+
+
 @functools.lru_cache(maxsize=8)
-def _compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[Automaton]]:
-    forward = compile_rules([r.pattern for r in rules])
-    return forward, [compile_rules([r.pattern], search=False, backwards=True) for r in rules]
+def _compiled(rules: tuple[Rule, ...]) -> _Compiled:
+    chars = [bytes(b for b in range(128) if r.tail and re.match(r.tail, chr(b))) for r in rules]
+    return _Compiled(
+        compile_rules([r.core for r in rules]),
+        [compile_rules([r.core], search=False, backwards=True) for r in rules],
+        chars,
+        [re.compile(r.core.encode()) for r in rules],
+    )
 
 
 def _start(back: Automaton, data: bytes, end: int, floor: int) -> int:
@@ -76,35 +95,34 @@ def _start(back: Automaton, data: bytes, end: int, floor: int) -> int:
     return found
 
 
-def find(text: bytes, rules: tuple[Rule, ...], compiled=None) -> list[tuple[int, int, int]]:
+def find(text: bytes, rules: tuple[Rule, ...], compiled: _Compiled | None = None) -> list[tuple[int, int, int]]:
     """(start, end, index of the rule) of the matches in UTF-8 bytes, leftmost and apart for each rule."""
-    forward, back = compiled or _compiled(rules)
-    table, s, accepting = forward.table, forward.start, forward.accepting
+    compiled = compiled or _compiled(rules)
+    table, s, accepting = compiled.forward.table, compiled.forward.start, compiled.forward.accepting
     hits = []
-    for i, c in enumerate(text.translate(forward.classes)):
+    for i, c in enumerate(text.translate(compiled.forward.classes)):
         s = table[s + c]
         if s >= accepting:
-            hits.append((i, s))
+            hits.append((i + 1, s))
     found = []
     floors = [0] * len(rules)
     shifted: dict[int, bytes] = {}
-    for j, (i, s) in enumerate(hits):
-        after = forward.masks[hits[j + 1][1]] if j + 1 < len(hits) and hits[j + 1][0] == i + 1 else 0
-        over = forward.masks[s] & ~after
-        for k in range(len(rules)) if over else ():
-            if not over >> k & 1:
+    for core_end, s in hits:
+        mask = compiled.forward.masks[s]
+        for k, rule in enumerate(rules):
+            if not mask >> k & 1 or core_end <= floors[k]:
                 continue
             if k not in shifted:
-                shifted[k] = text.translate(back[k].classes)
-            if (start := _start(back[k], shifted[k], i + 1, floors[k])) < 0:
+                shifted[k] = text.translate(compiled.back[k].classes)
+            if (start := _start(compiled.back[k], shifted[k], core_end, floors[k])) < 0:
                 continue
-            floors[k] = i + 1
-            length = i + 1 - start
-            if rules[k].group:
-                m = re.compile(rules[k].pattern.encode()).fullmatch(text, start, i + 1)
-                length = m.end(rules[k].group) - m.start(rules[k].group)
-            if length >= rules[k].least:
-                found.append((start, i + 1, k))
+            end, tail = core_end, compiled.tails[k]
+            while end < len(text) and text[end] in tail:
+                end += 1
+            floors[k] = end
+            first = compiled.cores[k].fullmatch(text, start, core_end).start(rule.group) if rule.group else start
+            if end - first >= rule.least:
+                found.append((start, end, k))
     return sorted(found, key=lambda m: (m[0], m[2]))
 
 
