@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import line_quality, mixing, secret_scan, warc
+from candlewake.llm import line_quality, mixing, near_dedup, secret_scan, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -119,3 +119,8 @@ FROM p LEFT JOIN f USING (digest)
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read(warc.write(table(spark, sf_dir, "pages")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@R.add()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
