@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import line_quality, mixing, near_dedup, secret_scan, warc
+from candlewake.llm import decontamination, line_quality, mixing, near_dedup, secret_scan, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -124,3 +124,24 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_OP4 = r"""
+WITH d AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark
+), ds AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+bs AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
+c AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS n_common FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_common, n.n AS n_shingles FROM c JOIN n ON n.id = item_id WHERE 100 * n_common >= 75 * n.n
+"""
+
+
+@R.add(_OP4)
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items).withColumnRenamed("id", "doc_id")
