@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, line_quality, mixing, near_dedup, secret_scan, warc
+from candlewake.llm import decontamination, lattice_lm, line_quality, mixing, near_dedup, secret_scan, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -145,3 +145,8 @@ SELECT doc_id, item_id, n_common, n.n AS n_shingles FROM c JOIN n ON n.id = item
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.contaminated(docs, items).withColumnRenamed("id", "doc_id")
+
+
+@R.add()
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
