@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, lattice_lm, line_quality, mixing, near_dedup, secret_scan, warc
+from candlewake.llm import decontamination, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -150,3 +150,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@R.add()
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels).withColumnRenamed("id", "doc_id")
+
+
+@R.add()
+def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
