@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, warc
+from candlewake.llm import decontamination, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -161,3 +161,8 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_crf.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@R.add()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
