@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders this process has staged tables in, by application.
 _made: dict[str, set[str]] = {}
+_kept: set[str] = set()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -62,7 +64,16 @@ def _at_exit(spark: SparkSession) -> None:
         discard(spark, *_made.get(spark.sparkContext.applicationId, set()).copy())
 
 
-def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside, but for tables staged with ``keep``."""
+    before = set(_made.get(spark.sparkContext.applicationId, ()))
+    yield
+    inside = _made.get(spark.sparkContext.applicationId, set()) - before
+    discard(spark, *(inside - _kept))
+
+
+def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` once and read it back, so that several consumers share one run.
 
     Unlike a cache the table survives the loss of executors, and unlike an RDD
@@ -70,6 +81,8 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if keep:
+        _kept.add(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
