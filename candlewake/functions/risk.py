@@ -65,25 +65,36 @@ def lot_size(
     balance: Column, risk: Column, stop: Column, spec: dict[str, Column],
     max_margin_percent: float | None = None,
 ) -> Column:
-    """Lots whose loss at the stop is the risked share of the balance."""
+    """Lots whose loss at the stop is the risked share of the balance.
+
+    A contract whose sizes are zero or unknown gets the smallest lot.
+    """
     low, high, step = spec["volume_min"], spec["volume_max"], spec["volume_step"]
+    over = F.try_divide
     stop = F.when(stop <= 0, 0.001).otherwise(stop)
-    per_lot = stop * (spec["point"] / spec["tick_size"]) * spec["tick_value"]
-    raw = F.when(per_lot > 0, balance * risk / 100.0 / per_lot).otherwise(low)
-    lots = clamp(F.floor(raw / step) * step, low, high)
+    per_lot = stop * over(spec["point"], spec["tick_size"]) * spec["tick_value"]
+    raw = F.when(per_lot > 0, over(balance * risk / 100.0, per_lot)).otherwise(low)
+    lots = clamp(F.floor(over(raw, step)) * step, low, high)
     if max_margin_percent is not None:
         room = balance * (max_margin_percent / 100.0)
-        fits = F.greatest(F.floor(room / spec["margin_initial"] / step) * step, low)
+        fits = F.greatest(F.floor(over(over(room, spec["margin_initial"]), step)) * step, low)
         lots = F.when(lots * spec["margin_initial"] > room, fits).otherwise(lots)
     lots = F.when(balance < 10, low).otherwise(lots)
-    return clamp(F.round(lots / step) * step, low, high)
+    return clamp(F.coalesce(F.round(over(lots, step)) * step, low), low, high)
+
+
+def to_digits(price: Column, digits: Column) -> Column:
+    """A price rounded half up to the digits its symbol is quoted with."""
+    scale = F.pow(F.lit(10.0), digits)
+    return F.floor(price * scale + 0.5) / scale
 
 
 def levels(
-    side: Column, ask: Column, bid: Column, stop: Column, point: Column
+    side: Column, ask: Column, bid: Column, stop: Column, point: Column, digits: Column
 ) -> tuple[Column, Column, Column]:
-    """Entry, stop and target price; null for HOLD."""
+    """Entry, stop and target price in the symbol's digits; null for HOLD."""
     sign = F.when(side == "BUY", 1).when(side == "SELL", -1)
     entry = F.when(side == "BUY", ask).when(side == "SELL", bid)
     distance = stop * point
-    return entry, entry - sign * distance, entry + sign * distance * REWARD_RATIO
+    prices = entry, entry - sign * distance, entry + sign * distance * REWARD_RATIO
+    return tuple(to_digits(p, digits) for p in prices)

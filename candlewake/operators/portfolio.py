@@ -107,13 +107,13 @@ def signal_correlation(predictions: DataFrame, symbols: list[str]) -> DataFrame:
     )
     common = by_time.dropna(how="any", subset=symbols)
     pairs = list(combinations(symbols, 2))
-    wide = common.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs]
+    value = lambda c: F.col(c).cast("double")
+    corr = lambda a, b: F.try_divide(
+        F.covar_pop(value(a), value(b)), F.stddev_pop(value(a)) * F.stddev_pop(value(b))
     )
+    wide = common.agg(F.count(F.lit(1)).alias("_n"), *[corr(a, b).alias(f"{a}|{b}") for a, b in pairs]).where("_n > 0")
     rows = [
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}|{b}").alias("r"))
         for a, b in pairs
     ]
-    return wide.select(F.inline(F.array(*rows))).withColumn(
-        "r", F.when(F.isnan("r"), None).otherwise(F.col("r"))
-    )
+    return wide.select(F.inline(F.array(*rows)))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -11,53 +10,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_CORRELATION = 0.95
-PAIRS_PER_PASS = 200
+CONSTANT = 1e-12
 SUM_NAMES = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
 
 def feature_correlation(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
-    """Absolute Pearson correlation of every pair of features, long form.
+    """Absolute Pearson correlation of every pair of features, long form; null with a constant feature.
 
-    Few features are one aggregate that combines on the map side. Many would be too wide
-    for that; then each task reduces its batches to sums of products, which Spark adds up.
-    Rows are never paired in either case.
+    Each task reduces its batches to sums of products, which Spark adds up. Rows are
+    never paired.
     """
     keys = keys or ["symbol"]
-    pairs = list(combinations(range(len(features)), 2))
-    if len(pairs) > PAIRS_PER_PASS:
-        long = _correlation_sums(df, features, keys)
-    else:
-        wide = df.groupBy(*keys).agg(
-            *[
-                F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(
-                    f"_{i}_{j}"
-                )
-                for i, j in pairs
-            ]
-        )
-        rows = [
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{i}_{j}").alias("_r"))
-            for i, j in pairs
-        ]
-        long = wide.select(*keys, F.inline(F.array(*rows)))
     names = F.array(*[F.lit(n) for n in features])
-    return long.select(
+    return _correlation_sums(df, features, keys).select(
         *keys,
         "i",
         "j",
         F.element_at(names, F.col("i") + 1).alias("a"),
         F.element_at(names, F.col("j") + 1).alias("b"),
-        F.abs(F.when(~F.isnan("_r"), F.col("_r"))).alias("r"),
+        F.abs("_r").alias("r"),
     )
 
 
 def _correlation_sums(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """Pairwise-complete sums per batch and key, added up per pair.
 
-    Values are shifted by the mean of their key first, which keeps the sums accurate.
+    Values are shifted by the mean of their key first, which keeps the sums accurate; a
+    constant feature has none, and so no sums.
     """
+    value = lambda n: F.col(n).cast("double")
     means = df.groupBy(*keys).agg(
-        F.array(*[F.coalesce(F.avg(F.col(n).cast("double")), F.lit(0.0)) for n in features]).alias("_m")
+        F.array(
+            *[F.when(F.min(value(n)) < F.max(value(n)), F.avg(value(n))) for n in features]
+        ).alias("_m")
     )
     values = F.transform(
         F.arrays_zip(F.array(*[F.col(n).cast("double") for n in features]).alias("v"), F.col("_m").alias("m")),
@@ -86,7 +71,9 @@ def _correlation_sums(df: DataFrame, features: list[str], keys: list[str]) -> Da
         *[F.sum(f"col.{n}").alias(n) for n in SUM_NAMES]
     )
     n, sx, sy, sxx, syy, sxy = (F.col(c) for c in SUM_NAMES)
-    spread = F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))
+    # What is left of a constant after rounding is no variance.
+    varies = lambda s, ss: F.when(n * ss - s * s > CONSTANT * n * ss, n * ss - s * s)
+    spread = F.sqrt(varies(sx, sxx) * varies(sy, syy))
     at = lambda a: F.element_at(F.array(*[F.lit(int(v)) for v in a]), F.col("pos") + 1)
     return flat.select(
         *keys,

@@ -31,29 +31,55 @@ def asof_join(
     right_ts: str = "ts",
     direction: str = "backward",
     bucket_us: int = DAY,
+    tie: list[str] | None = None,
 ) -> DataFrame:
     """Attach ``cols`` of the nearest right row at or before (``forward``: after) each left row.
 
     The last right row of earlier buckets enters a bucket as one extra row, so a match
-    may lie any number of buckets away.
+    may lie any number of buckets away. Of right rows of one time the last by ``tie`` counts.
+    """
+    row = {"_m": F.struct(*[F.col(n).alias(n) for n in cols])}
+    out = asof_cells(left, right, keys, row, ts, right_ts, direction, bucket_us, tie)
+    return out.select(*left.columns, *[F.col(f"_m.{n}").alias(n) for n in cols])
+
+
+def asof_cells(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    cells: dict[str, Column],
+    ts: str = "ts",
+    right_ts: str = "ts",
+    direction: str = "backward",
+    bucket_us: int = DAY,
+    tie: list[str] | None = None,
+) -> DataFrame:
+    """Attach to each left row the nearest value of each of ``cells`` that is not null.
+
+    The cells are expressions over ``right`` and are looked up one by one, in one pass.
     """
     sign = 1 if direction == "backward" else -1
     at = micros(ts) * sign
     rat = micros(right_ts) * sign
-    pack = F.struct(*[F.col(n).alias(n) for n in cols])
     bucket = lambda t: bucket_number(t, bucket_us)
-    r = right.select(*keys, rat.alias("_t"), pack.alias("_m")).withColumn("_b", bucket(F.col("_t")))
+    order = {f"_o{i}": F.col(n) for i, n in enumerate(tie or [])}
+    r = right.select(
+        *keys, rat.alias("_t"), *[c.alias(n) for n, c in order.items()], *[c.alias(n) for n, c in cells.items()]
+    ).withColumn("_b", bucket(F.col("_t")))
     lt = left.withColumn("_t", at).withColumn("_b", bucket(F.col("_t")))
 
-    ends = r.groupBy(*keys, "_b").agg(F.max_by("_m", "_t").alias("_m"))
-    wanted = lt.select(*keys, "_b").distinct().withColumn("_m", F.lit(None).cast(r.schema["_m"].dataType))
-    per_bucket = ends.unionByName(wanted).groupBy(*keys, "_b").agg(
-        F.first("_m", ignorenulls=True).alias("_m")
+    rank = F.struct("_t", *order)
+    ends = r.groupBy(*keys, "_b").agg(
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), rank)).alias(n) for n in cells]
+    )
+    wanted = lt.select(*keys, "_b").distinct()
+    per_bucket = ends.unionByName(wanted, allowMissingColumns=True).groupBy(*keys, "_b").agg(
+        *[F.first(n, ignorenulls=True).alias(n) for n in cells]
     )
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(
-        *keys, "_b", F.last("_m", ignorenulls=True).over(earlier).alias("_m")
-    ).where(F.col("_m").isNotNull())
+        *keys, "_b", *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in cells]
+    ).where(" OR ".join(f"`{n}` IS NOT NULL" for n in cells))
 
     line = (
         lt.withColumn("_side", F.lit(2))
@@ -65,13 +91,13 @@ def asof_join(
     )
     w = (
         Window.partitionBy(*keys, "_b")
-        .orderBy(F.col("_t").asc_nulls_first(), "_side")
+        .orderBy(F.col("_t").asc_nulls_first(), "_side", *order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        line.withColumn("_m", F.last("_m", ignorenulls=True).over(w))
+        line.withColumns({n: F.last(n, ignorenulls=True).over(w) for n in cells})
         .where(F.col("_side") == 2)
-        .select(*left.columns, *[F.col(f"_m.{n}").alias(n) for n in cols])
+        .select(*left.columns, *cells)
     )
 
 
@@ -226,19 +252,32 @@ def event_proximity(
 def outside_blackout(
     rows: DataFrame,
     events: DataFrame,
-    keys: list[str],
+    keys: list[str] | None = None,
     before_min: int = 30,
     after_min: int = 30,
-    bucket_us: int = DAY,
-    salts: int = 1,
+    bucket_us: int = HOUR,
 ) -> DataFrame:
-    """Rows with no event of their key within the given minutes on either side, ends included."""
+    """Rows with no event of their key within the given minutes on either side, ends included.
+
+    Each event is listed under the hours it blocks, which makes the range an equality on
+    the hour with an exact check behind it: a join, which Spark can split where an hour is
+    crowded. Without ``keys`` every event blocks all rows.
+    """
+    keys = keys or []
     minute = 60_000_000
-    near = around_events(
-        rows, events, keys, before_min * minute, after_min * minute + 1,
-        bucket_us=bucket_us, salts=salts,
+    times = events.select(*keys, micros("ts").alias("_te")).distinct()
+    # An event blocks the rows from before_min ahead of it to after_min past it.
+    marks = into_buckets(times, before_min * minute, after_min * minute, bucket_us)
+    marks = marks.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_te", "_b")
+    at = micros(rows["ts"])
+    near = (
+        (bucket_number(at, bucket_us) == F.col("_b"))
+        & (at >= F.col("_te") - before_min * minute)
+        & (at <= F.col("_te") + after_min * minute)
     )
-    return near.where(F.col("_prev").isNull() & F.col("_next").isNull()).select(*rows.columns)
+    for k in keys:
+        near = near & (rows[k] == F.col(f"_k_{k}"))
+    return rows.join(marks, near, "left_anti")
 
 
 def with_grid(
@@ -271,27 +310,23 @@ def fill_gaps(
     method: str = "ffill",
     keys: list[str] | None = None,
 ) -> DataFrame:
-    """Bars on the regular grid, missing ones filled forward, backward or by time."""
+    """Bars on the regular grid and at their own times, missing cells filled forward, backward or by time.
+
+    Each column is filled from its own values, so a bar with a null cell keeps the others.
+    """
     keys = keys or ["symbol"]
-    grid = with_grid(bars, step_seconds, keys)
     src = bars.select(*keys, "ts", *cols)
+    grid = with_grid(bars, step_seconds, keys).union(bars.select(*keys, "ts")).distinct()
     if method in ("ffill", "bfill"):
         way = "backward" if method == "ffill" else "forward"
-        return asof_join(grid, src, keys, cols, direction=way)
-    before = src.select(*keys, "ts", F.col("ts").alias("_t0"), *[F.col(n).alias(f"_a_{n}") for n in cols])
-    after = src.select(*keys, "ts", F.col("ts").alias("_t1"), *[F.col(n).alias(f"_z_{n}") for n in cols])
-    near = asof_join(grid, before, keys, ["_t0", *[f"_a_{n}" for n in cols]])
-    near = asof_join(
-        near, after, keys, ["_t1", *[f"_z_{n}" for n in cols]], direction="forward"
-    )
-    part = F.try_divide(micros("ts") - micros("_t0"), micros("_t1") - micros("_t0"))
-    return near.select(
-        *keys,
-        "ts",
-        *[
-            F.coalesce(
-                F.col(f"_a_{n}") + (F.col(f"_z_{n}") - F.col(f"_a_{n}")) * part, F.col(f"_a_{n}")
-            ).alias(n)
-            for n in cols
-        ],
-    )
+        return asof_cells(grid, src, keys, {n: F.col(n) for n in cols}, direction=way)
+    cell = lambda n: F.when(F.col(n).isNotNull(), F.struct(micros("ts").alias("t"), F.col(n).alias("v")))
+    near = asof_cells(grid, src, keys, {f"_a_{n}": cell(n) for n in cols})
+    near = asof_cells(near, src, keys, {f"_z_{n}": cell(n) for n in cols}, direction="forward")
+
+    def between(n: str) -> Column:
+        a, z = F.col(f"_a_{n}"), F.col(f"_z_{n}")
+        part = F.try_divide(micros("ts") - a["t"], z["t"] - a["t"])
+        return F.coalesce(a["v"] + (z["v"] - a["v"]) * part, a["v"])
+
+    return near.select(*keys, "ts", *[between(n).alias(n) for n in cols])

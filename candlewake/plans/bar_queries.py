@@ -160,31 +160,50 @@ def regular_grid(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_HOLES = f"""{q.with_(q.HOURS)}, holes AS (SELECT symbol, CASE WHEN hour(ts) % 7 = 3 THEN ts + INTERVAL 30 MINUTE ELSE ts END AS ts,
+  CASE WHEN hour(ts) % 5 <> 1 THEN close END AS close, CASE WHEN hour(ts) % 4 <> 2 THEN volume END AS volume FROM hours),
+span AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM holes GROUP BY symbol),
+grid AS (SELECT symbol, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS ts FROM span UNION SELECT symbol, ts FROM holes),
+line AS (SELECT g.symbol, g.ts, close, volume, epoch_us(g.ts) AS t FROM grid g LEFT JOIN holes h ON g.symbol = h.symbol AND g.ts = h.ts)"""
+
+
+def _holes(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars of which some lie on the half hour and some miss the close or the volume."""
+    hour = F.hour("ts")
+    return inputs.hours(spark, sf).select(
+        "symbol",
+        F.when(hour % 7 == 3, F.col("ts") + F.expr("INTERVAL 30 MINUTES")).otherwise(F.col("ts")).alias("ts"),
+        F.when(hour % 5 != 1, F.col("close")).alias("close"),
+        F.when(hour % 4 != 2, F.col("volume")).alias("volume"),
+    )
+
+
 @R.add(
-    f"""{_GRID} SELECT g.symbol, g.ts, h.close, h.volume
-    FROM grid g ASOF LEFT JOIN hours h ON g.symbol = h.symbol AND g.ts >= h.ts"""
+    f"""{_HOLES} SELECT symbol, ts, last_value(close IGNORE NULLS) OVER w AS close, last_value(volume IGNORE NULLS) OVER w AS volume
+    FROM line WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def gap_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
-    return timeline.fill_gaps(inputs.hours(spark, sf), 3600, ["close", "volume"])
+    return timeline.fill_gaps(_holes(spark, sf), 3600, ["close", "volume"])
 
 
 @R.add(
-    f"""{_GRID} SELECT g.symbol, g.ts, h.close, h.volume
-    FROM grid g ASOF LEFT JOIN hours h ON g.symbol = h.symbol AND g.ts <= h.ts"""
+    f"""{_HOLES} SELECT symbol, ts, first_value(close IGNORE NULLS) OVER w AS close, first_value(volume IGNORE NULLS) OVER w AS volume
+    FROM line WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
 )
 def gap_fill_backward(spark: SparkSession, sf: str) -> DataFrame:
-    return timeline.fill_gaps(inputs.hours(spark, sf), 3600, ["close", "volume"], "bfill")
+    return timeline.fill_gaps(_holes(spark, sf), 3600, ["close", "volume"], "bfill")
 
 
 @R.add(
-    f"""{_GRID} SELECT g.symbol, g.ts, {q.r('''CASE WHEN b.ts = a.ts THEN a.close
-      ELSE a.close + (b.close - a.close) * (epoch(g.ts) - epoch(a.ts)) / (epoch(b.ts) - epoch(a.ts)) END''', 7)} AS close
-    FROM grid g ASOF LEFT JOIN hours a ON g.symbol = a.symbol AND g.ts >= a.ts
-    ASOF LEFT JOIN hours b ON g.symbol = b.symbol AND g.ts <= b.ts"""
+    f"""{_HOLES}, ends AS (SELECT symbol, ts, t, last_value(close IGNORE NULLS) OVER a AS ca, last_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER a AS ta,
+      first_value(close IGNORE NULLS) OVER z AS cz, first_value(CASE WHEN close IS NOT NULL THEN t END IGNORE NULLS) OVER z AS tz
+    FROM line WINDOW a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      z AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT symbol, ts, {q.r('CASE WHEN ta = tz OR tz IS NULL THEN ca ELSE ca + (cz - ca) * ((t - ta) / (tz - ta)) END', 10)} AS close FROM ends"""
 )
 def gap_fill_by_time(spark: SparkSession, sf: str) -> DataFrame:
-    out = timeline.fill_gaps(inputs.hours(spark, sf), 3600, ["close"], "time")
-    return rounded(out, ["close"], 7)
+    out = timeline.fill_gaps(_holes(spark, sf), 3600, ["close"], "time")
+    return rounded(out, ["close"], 10)
 
 
 # Indicators --------------------------------------------------------------------------
@@ -471,7 +490,7 @@ def new_bar_detection(spark: SparkSession, sf: str) -> DataFrame:
     return trading.new_bar_rows(t, "5 minutes", ["ts", "event_id"]).drop("event_id")
 
 
-_CORR = ["rsi", "macd", "adx", "cci", "willr", "bb_position", "stoch_k", "rsi_norm", "atr_14", "ema_50", "ema_100", "ema_200"]
+_CORR = ["rsi", "macd", "adx", "cci", "willr", "bb_position", "stoch_k", "rsi_norm", "atr_14", "ema_50", "ema_100", "ema_200", "flat"]
 
 
 def _corr_rows() -> str:
@@ -479,16 +498,17 @@ def _corr_rows() -> str:
     for j, b in enumerate(_CORR):
         for i, a in enumerate(_CORR[:j]):
             parts.append(
-                f"SELECT symbol, {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS r FROM clean GROUP BY symbol"
+                f"SELECT symbol, {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, CASE WHEN min({a}) < max({a}) AND min({b}) < max({b}) THEN abs(corr({a}, {b})) END AS r FROM clean GROUP BY symbol"
             )
     return " UNION ALL ".join(parts)
 
 
-_CLEAN = f"clean AS MATERIALIZED (SELECT symbol, {', '.join(_CORR)} FROM feats WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _CORR)})"
+_CLEAN = f"clean AS MATERIALIZED (SELECT symbol, {', '.join(_CORR)} FROM (SELECT *, 0.1::DOUBLE AS flat FROM feats) WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _CORR)})"
 
 
 def _correlations(spark: SparkSession, sf: str) -> DataFrame:
-    feats = ind.base_features(inputs.bars(spark, sf)).select("symbol", *_CORR)
+    """Correlations of features, a constant one among them."""
+    feats = ind.base_features(inputs.bars(spark, sf)).withColumn("flat", F.lit(0.1)).select("symbol", *_CORR)
     return stats.feature_correlation(quality.drop_null_rows(feats), _CORR)
 
 

@@ -157,12 +157,8 @@ def news_blackout(spark: SparkSession, sf: str) -> DataFrame:
     marked = inputs.calendar(spark, sf).where(
         mentions(F.col("event_name"), "release 1;release 4") & F.col("country").isin("US", "EU")
     )
-    day = lambda df: df.withColumn("day", F.lit("all"))
     t = inputs.ticks(spark, sf).select("event_id", "symbol", "ts")
-    near = timeline.outside_blackout(
-        day(t), day(marked).select("day", "ts"), ["day"], bucket_us=timeline.HOUR, salts=16
-    )
-    return near.drop("day")
+    return timeline.outside_blackout(t, marked.select("ts"))
 
 
 @R.add(

@@ -98,8 +98,11 @@ def live_scoring(spark: SparkSession, sf: str) -> DataFrame:
     hours = stage(inputs.hours(spark, sf), "hours")
     history = hours.where("ts < '2024-01-25'")
     path = fresh_path(spark, "arriving")
-    hours.where("ts >= '2024-01-25'").write.parquet(path)
-    arriving = spark.readStream.schema(hours.schema).parquet(path)
+    # Some days at a time, in order, one file for each micro-batch.
+    for first, end in (("2024-01-25", "2024-01-27"), ("2024-01-27", "2024-01-29"), ("2024-01-29", "9999-01-01")):
+        part = hours.where(F.col("ts").between(first, end) & (F.col("ts") < end))
+        part.coalesce(1).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(hours.schema).option("maxFilesPerTrigger", 1).parquet(path)
     out = fresh_path(spark, "live-scores")
 
     def rsi_and_atr(bars: DataFrame) -> DataFrame:
@@ -107,6 +110,6 @@ def live_scoring(spark: SparkSession, sf: str) -> DataFrame:
         b = ind.smoothed(ind.with_moves(ind.feature_blocks(bars)), names)
         return b.add_sql({"rsi": ind.RSI}).close().select("symbol", "ts", "rsi", "atr_14")
 
-    live.run_batches(arriving, "live-scores", live.score_each_batch(history, rsi_and_atr, out, "60 days"))
+    live.run_batches(arriving, "live-scores", live.score_each_batch(history, rsi_and_atr, out, fresh_path(spark, "live-known")))
     scored = spark.read.schema("symbol string, ts timestamp, rsi double, atr_14 double").parquet(out)
     return rounded(rounded(scored.select("symbol", "ts", "rsi", "atr_14"), ["rsi"]), ["atr_14"], 6)

@@ -306,11 +306,14 @@ def common_timestamps(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(
     f"""{q.with_(q.BARS, q.PREDICTIONS, _COMMON)}, n AS (SELECT ts, symbol, list_position({q.PAIR_LIST}, symbol) AS i,
-      CASE signal WHEN 'BUY' THEN 1.0 WHEN 'SELL' THEN -1.0 ELSE 0.0 END::DOUBLE AS v FROM common)
-    SELECT x.symbol AS a, y.symbol AS b, {q.r('corr(x.v, y.v)', 6)} AS r FROM n x JOIN n y ON x.ts = y.ts AND x.i < y.i GROUP BY ALL"""
+      CASE WHEN symbol = '{PAIRS[-1]}' THEN 0.0 WHEN signal = 'BUY' THEN 1.0 WHEN signal = 'SELL' THEN -1.0 ELSE 0.0 END::DOUBLE AS v FROM common)
+    SELECT x.symbol AS a, y.symbol AS b, CASE WHEN min(x.v) < max(x.v) AND min(y.v) < max(y.v) THEN {q.r('corr(x.v, y.v)', 6)} END AS r FROM n x JOIN n y ON x.ts = y.ts AND x.i < y.i GROUP BY ALL"""
 )
 def signal_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(portfolio.signal_correlation(inputs.predictions(spark, sf), PAIRS), ["r"], 6)
+    """One symbol never signals: its correlations are null."""
+    p = inputs.predictions(spark, sf)
+    p = p.withColumn("signal", F.when(F.col("symbol") == PAIRS[-1], "HOLD").otherwise(F.col("signal")))
+    return rounded(portfolio.signal_correlation(p, PAIRS), ["r"], 6)
 
 
 # Deals and positions -----------------------------------------------------------------
@@ -485,16 +488,21 @@ def lot_size(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("symbol", "ts", "balance", F.round(lots, 2).alias("lots"))
 
 
+_DIGITS = lambda x: q.r(f"floor(({x}) * power(10.0::DOUBLE, digits) + 0.5) / power(10.0::DOUBLE, digits)", 6)
+
+
 @R.add(
-    f"""{_TRADE_SQL}, {_STOPS} SELECT symbol, ts, side, entry, entry - sgn * 200 * point AS sl_raw, entry + sgn * 400 * point AS tp_raw
+    f"""{_TRADE_SQL}, {_STOPS} SELECT symbol, ts, side, {_DIGITS('entry')} AS entry,
+      {_DIGITS('entry - sgn * (atr_stop * point)')} AS stop_loss, {_DIGITS('entry + sgn * (atr_stop * point) * 2.0::DOUBLE')} AS take_profit
     FROM (SELECT *, CASE side WHEN 'BUY' THEN close + spread ELSE close END AS entry, CASE side WHEN 'BUY' THEN 1 ELSE -1 END AS sgn FROM stops)"""
 )
 def stop_and_target_levels(spark: SparkSession, sf: str) -> DataFrame:
     df = orders_to_size(spark, sf)
     c = F.col
     entry, sl, tp = risk.levels(
-        c("side"), c("close") + c("spread"), c("close"), F.lit(200.0), c("point")
+        c("side"), c("close") + c("spread"), c("close"), c("atr_stop"), c("point"), c("digits")
     )
-    return df.select(
-        "symbol", "ts", "side", entry.alias("entry"), sl.alias("sl_raw"), tp.alias("tp_raw")
+    out = df.select(
+        "symbol", "ts", "side", entry.alias("entry"), sl.alias("stop_loss"), tp.alias("take_profit")
     )
+    return rounded(out, ["entry", "stop_loss", "take_profit"], 6)

@@ -192,7 +192,8 @@ def scoring_request_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(
-    f"""{_REQ} SELECT request_id, 'release' AS event_name, 'US' AS country, y::DOUBLE AS actual, TIMESTAMP '2024-01-01' AS ts FROM req"""
+    f"""{_REQ} SELECT request_id, 'release' AS event_name, 'US' AS country, y::DOUBLE AS actual, TIMESTAMP '2024-01-01' AS ts FROM req
+    WHERE y NOT IN (1997, 1998) AND n >= 250 AND n4 >= 250"""
 )
 def scoring_request_events(spark: SparkSession, sf: str) -> DataFrame:
     return bar_source.request_events(_requests(spark, sf)).select(

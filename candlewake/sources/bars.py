@@ -23,7 +23,8 @@ def read_bars(
     """Bars from a table partitioned by timeframe and symbol.
 
     ``snapshot='latest'`` keeps the newest ``snapshot_date`` partition. Filters reach the
-    partition columns, so other partitions are not listed for reading.
+    partition columns, so other partitions are not listed for reading. A symbol asked for
+    without any bars is an error.
     """
     schema = BAR if snapshot is None else BAR + ", snapshot_date string"
     df = spark.read.schema(schema).parquet(path)
@@ -36,7 +37,7 @@ def read_bars(
         df = df.where(F.col("snapshot_date") == newest)
     elif snapshot:
         df = df.where(F.col("snapshot_date") == snapshot)
-    return df
+    return require_symbols(df, symbols) if symbols else df
 
 
 def require_symbols(bars: DataFrame, symbols: list[str]) -> DataFrame:
@@ -105,9 +106,19 @@ def parse_requests(raw: DataFrame, json: str = "body", key: str = "request_id")
     return raw.select(key, F.from_json(json, SCORING_REQUEST).alias("r")).select(key, "r.*")
 
 
+FRAMES = {"M5": "ohlcv_m5", "H1": "ohlcv_h1", "H4": "ohlcv_h4"}
+
+
+def _accepted(min_bars: int) -> Column:
+    ok = F.col("pair").isNotNull() & F.col("events").isNotNull()
+    for n in FRAMES.values():
+        ok = ok & (F.coalesce(F.size(n), F.lit(0)) >= min_bars)
+    return ok
+
+
 def request_rejects(requests: DataFrame, key: str = "request_id", min_bars: int = MIN_REQUEST_BARS) -> DataFrame:
     """Requests that cannot be scored, with the reason."""
-    frames = ["ohlcv_m5", "ohlcv_h1", "ohlcv_h4"]
+    frames = list(FRAMES.values())
     missing = F.array_compact(
         F.array(*[F.when(F.col(n).isNull(), F.lit(n)) for n in ["pair", *frames, "events"]])
     )
@@ -122,17 +133,15 @@ def request_rejects(requests: DataFrame, key: str = "request_id", min_bars: int
 
 def request_bars(requests: DataFrame, key: str = "request_id", min_bars: int = MIN_REQUEST_BARS) -> DataFrame:
     """Bar rows of the requests that pass; validity is a property of the row, no join needed."""
-    frames = {"M5": "ohlcv_m5", "H1": "ohlcv_h1", "H4": "ohlcv_h4"}
-    ok = F.col("pair").isNotNull() & F.col("events").isNotNull()
-    for n in frames.values():
-        ok = ok & (F.coalesce(F.size(n), F.lit(0)) >= min_bars)
+    frames = FRAMES
+
     def tag(name: str, timeframe: str) -> Column:
         named = lambda b: F.struct(F.lit(timeframe).alias("timeframe"), b.alias("bar"))
         return F.transform(name, named)
 
     tagged = F.concat(*[tag(n, tf) for tf, n in frames.items()])
     return (
-        requests.where(ok)
+        requests.where(_accepted(min_bars))
         .select(key, F.col("pair").alias("symbol"), F.inline(tagged))
         .select(
             key, "symbol", "timeframe", F.timestamp_seconds("bar.time").alias("ts"),
@@ -141,8 +150,9 @@ def request_bars(requests: DataFrame, key: str = "request_id", min_bars: int = M
     )
 
 
-def request_events(requests: DataFrame, key: str = "request_id") -> DataFrame:
-    return requests.select(key, F.inline("events")).withColumn(
+def request_events(requests: DataFrame, key: str = "request_id", min_bars: int = MIN_REQUEST_BARS) -> DataFrame:
+    """Event rows of the requests that pass."""
+    return requests.where(_accepted(min_bars)).select(key, F.inline("events")).withColumn(
         "ts", F.timestamp_seconds("time")
     ).drop("time")
 

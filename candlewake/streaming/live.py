@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candlewake.session import fresh_path
 
@@ -38,9 +39,13 @@ def live_bars(
 
 
 def without_repeats(signals: DataFrame, every: str, delay: str) -> DataFrame:
-    """At most one signal per symbol, side and bar."""
+    """At most one signal per symbol, side and bar.
+
+    The state of a bar lives as long as the watermark's delay, so the delay is a bar at least.
+    """
     binned = signals.withColumn("bar_ts", F.window("ts", every).start)
-    return binned.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
+    lasting = max(every, delay, key=pd.Timedelta)
+    return binned.withWatermark("ts", lasting).dropDuplicatesWithinWatermark(
         ["symbol", "side", "bar_ts"]
     )
 
@@ -108,13 +113,15 @@ def score_each_batch(
     history: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     out: str,
-    horizon: str,
+    known: str,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that scores new bars with the history they need.
+    """A ``foreachBatch`` function that scores new bars like one job over all bars so far.
 
-    ``horizon`` bounds the history that is read (the warm-up of the slowest indicator).
-    Each batch owns one folder of ``out``, so a batch that is run again replaces its own
-    output and nothing else.
+    The history of a batch is ``history`` and what earlier batches brought, which is kept
+    in the folder ``known``; of it the whole series of the batch's symbols are read, since
+    recursions reach back without an end. Each batch owns one folder of ``out`` and of
+    ``known``, so a batch that is run again replaces its own and nothing else. A bar that
+    comes again replaces what is known of its time.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -124,10 +131,16 @@ def score_each_batch(
             batch.unpersist()
             return
         new = batch.select("symbol", "ts")
-        start = batch.select(F.min("ts") - F.expr(f"INTERVAL {horizon}")).first()[0]
-        known = history.where(F.col("ts") >= F.lit(start))
-        known = known.join(new, ["symbol", "ts"], "left_anti")
-        together = known.unionByName(batch.select(*history.columns))
+        bars = batch.select(*history.columns)
+        bars.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
+        schema = StructType([*bars.schema, StructField("_batch", LongType()), StructField("batch", LongType())])
+        stored = batch.sparkSession.read.schema(schema).parquet(known)
+        stored = stored.where(F.col("batch") < batch_id)
+        row = F.struct("_batch", *bars.columns)
+        earlier = history.withColumn("_batch", F.lit(-1)).unionByName(stored.drop("batch"))
+        earlier = earlier.join(new, ["symbol", "ts"], "left_anti").join(new.select("symbol").distinct(), "symbol", "left_semi")
+        earlier = earlier.groupBy("symbol", "ts").agg(F.max_by(row, "_batch").alias("_row"))
+        together = earlier.select(*[F.col(f"_row.{n}").alias(n) for n in bars.columns]).unionByName(bars)
         scored = score(together).join(new, ["symbol", "ts"], "left_semi")
         scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.unpersist()

@@ -1,9 +1,5 @@
-"""Registered queries against their SQL on the smallest scale.
+"""All registered queries against their SQL on the smallest scale."""
 
-By default a cross-section runs; CANDLEWAKE_ALL=1 runs every query.
-"""
-
-import os
 
 import duckdb
 import pandas as pd
@@ -13,15 +9,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
-SAMPLE = [
-    "bars_daily", "bar_quality_report", "bar_accuracy_report", "regular_grid", "feature_crosses",
-    "class_distribution", "event_proximity", "surprise_zscore", "news_blackout", "sentiment_ema",
-    "quality_score", "portfolio_vote", "loss_counter", "recovery_depth", "exit_matching", "lot_size",
-    "walk_forward_folds", "fold_metrics", "model_comparison", "scoring_request_rejects", "live_bars",
-    "live_daily_limit",
-]
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-NAMES = [n for n in SQL if os.environ.get("CANDLEWAKE_ALL") or n in SAMPLE]
+NAMES = list(SQL)
 
 
 @pytest.fixture(scope="module")

@@ -3,8 +3,10 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+from candlewake.operators import indicators as ind
 from candlewake.session import fresh_path
 from candlewake.streaming import live
+from tests.helpers import random_bars, same
 
 
 def feed(spark, parts, schema):
@@ -76,7 +78,36 @@ def test_a_repeated_batch_replaces_its_own_output(spark):
     history = spark.createDataFrame([("a", ts("00:00"), 1.0)], schema)
     batch = spark.createDataFrame([("a", ts("01:00"), 3.0)], schema)
     out = fresh_path(spark, "t-each")
-    each = live.score_each_batch(history, lambda df: df.withColumn("n", F.lit(1)), out, "1 day")
+    each = live.score_each_batch(history, lambda df: df.withColumn("n", F.lit(1)), out, fresh_path(spark, "t-known"))
     each(batch, 0)
     each(batch, 0)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_scores_of_a_stream_equal_the_batch_job(spark):
+    """Four batches over 600 bars, far more than any warm-up."""
+    bars = random_bars(600, ["a", "b"])
+    table = spark.createDataFrame(bars)
+
+    def score(df):
+        b = ind.smoothed(ind.with_moves(ind.feature_blocks(df)), {"_avg_gain", "_avg_loss", "atr_14"})
+        return b.add_sql({"rsi": ind.RSI}).close().select("symbol", "ts", "rsi", "atr_14")
+
+    cuts = [bars.ts.sort_values().unique()[i] for i in (200, 330, 331, 480)]
+    out, known = fresh_path(spark, "t-scores"), fresh_path(spark, "t-known")
+    each = live.score_each_batch(table.where(F.col("ts") < F.lit(cuts[0])), score, out, known)
+    for i, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], None])):
+        part = bars[(bars.ts >= lo) & ((bars.ts < hi) if hi is not None else True)]
+        each(spark.createDataFrame(part), i)
+        each(spark.createDataFrame(part), i)
+    got = spark.read.parquet(out).orderBy("symbol", "ts").toPandas()
+    want = score(table).where(F.col("ts") >= F.lit(cuts[0])).orderBy("symbol", "ts").toPandas()
+    assert len(got) == len(want) == 800
+    same(got["rsi"], want["rsi"])
+    same(got["atr_14"], want["atr_14"])
+
+
+def test_repeats_in_a_bar_longer_than_the_delay_are_dropped(spark):
+    parts = [[("a", "BUY", ts("00:01"))], [("a", "BUY", ts("00:20"))], [("a", "BUY", ts("00:40"))], [("a", "BUY", ts("00:59"))]]
+    out = live.without_repeats(feed(spark, parts, "symbol string, side string, ts timestamp"), "1 hour", "5 minutes")
+    assert live.run_to_table(out, "t-repeat-long").count() == 1
