@@ -62,11 +62,24 @@ def fold_sizes(
 ) -> DataFrame:
     """Usable folds with their row counts; the list ends before the first one that is too small."""
     bounds = fold_bounds(df, keys, **lengths)
-    counts = assign_folds(df.select(*keys, "ts"), bounds, keys).groupBy(*keys, "fold").agg(
-        F.count_if(F.col("role") == "train").alias("train_rows"),
-        F.count_if(F.col("role") == "test").alias("test_rows"),
+    # Rows are counted by time first; what is laid beside the folds is a row per key and time step.
+    packed = bounds.groupBy(*keys).agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.array("train_start", "test_start", "test_end"))))).alias("_at")
+    )
+    passed = F.size(F.filter("_at", lambda t: t <= F.col("ts")))
+    steps = df.join(packed, keys).groupBy(*keys, passed.alias("_step")).agg(F.count(F.lit(1)).alias("_n"))
+    steps = steps.groupBy(*keys).agg(F.collect_list(F.struct("_step", "_n")).alias("_steps"))
+    number = lambda c: F.array_position("_at", F.col(c)).cast("int")
+    between = lambda a, b: F.aggregate(
+        F.filter("_steps", lambda s: (s["_step"] >= number(a)) & (s["_step"] < number(b))),
+        F.lit(0).cast("bigint"),
+        lambda n, s: n + s["_n"],
+    )
+    sized = bounds.join(packed, keys).join(steps, keys).select(
+        *bounds.columns,
+        between("train_start", "test_start").alias("train_rows"),
+        between("test_start", "test_end").alias("test_rows"),
     )
-    sized = bounds.join(counts, [*keys, "fold"])
     upto = Window.partitionBy(*keys).orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)
     return (
         sized.withColumn("_min", F.min("train_rows").over(upto))

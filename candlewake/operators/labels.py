@@ -94,9 +94,20 @@ def sequences(
     return full_only.close().select(*keys, "ts", "sequence", *([label] if label else []))
 
 
+#: Spark limits ranks before a shuffle up to this number (spark.sql.optimizer.windowGroupLimitThreshold).
+RANKED = 1000
+
+
 def latest_rows(df: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """The last ``n`` rows per key; the rank limit is applied before the shuffle."""
+    """The last ``n`` rows per key.
+
+    Up to ``RANKED`` rows the rank is limited before the shuffle; more are cut by position,
+    so that no task sorts a whole key.
+    """
     keys = keys or ["symbol"]
+    if n > RANKED:
+        placed = with_row_index(df, keys, ["ts"], F.to_date("ts"), idx="_at", total="_of")
+        return placed.where(F.col("_at") >= F.col("_of") - n).drop("_at", "_of")
     w = Window.partitionBy(*keys).orderBy(F.desc("ts"))
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 

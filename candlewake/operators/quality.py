@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlewake.operators.blocks import day_of, indexed_blocks
+from candlewake.operators.timeline import DAY, HOUR
 
 OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -14,24 +14,37 @@ def _count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def _with_step(bars: DataFrame, keys: list[str]) -> DataFrame:
-    """Seconds since the previous bar of the key."""
-    b = indexed_blocks(bars, keys, ["ts"], day_of("ts"), back=1)
-    step = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(b.rows))
-    return b.add({"_step": step / 1e6}).close()
+def _with_step(bars: DataFrame, keys: list[str], bucket_us: int) -> DataFrame:
+    """Seconds since the previous bar of the key; null for the first and for bars without a time or key.
+
+    Inside a bucket the previous bar is a ``lag``; the first one of a bucket follows the
+    last time of the buckets before, which a table with a row per key and bucket carries.
+    """
+    placed = F.col("ts").isNotNull()
+    for k in keys:
+        placed = placed & F.col(k).isNotNull()
+    at = F.unix_micros("ts")
+    timed = bars.where(placed).withColumn("_b", F.floor(at / bucket_us))
+    ends = timed.groupBy(*keys, "_b").agg(F.max(at).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy("_b")
+    ends = ends.select(*keys, "_b", F.lag("_end").over(before).alias("_last"))
+    inside = F.lag(at).over(Window.partitionBy(*keys, "_b").orderBy("ts"))
+    stepped = timed.join(ends, [*keys, "_b"]).withColumn("_step", (at - F.coalesce(inside, "_last")) / 1e6)
+    rest = bars.where(~placed).withColumn("_step", F.lit(None).cast("double"))
+    return stepped.drop("_b", "_last").unionByName(rest)
 
 
 def quality_report(
-    bars: DataFrame, expected_seconds: int, keys: list[str] | None = None
+    bars: DataFrame, expected_seconds: int, keys: list[str] | None = None, bucket_us: int = HOUR
 ) -> DataFrame:
-    """Counts of missing values, repeated times, inverted bars, empty volume and gaps."""
+    """Counts of missing values, repeated times, inverted bars, empty volume and gaps.
+
+    Bars without a time or key count as rows with one more missing value.
+    """
     keys = keys or ["symbol"]
-    distinct = (
-        bars.groupBy(*keys, "ts").count().groupBy(*keys).agg(F.sum(F.col("count") - 1).alias("_d"))
-    )
-    missing = sum(F.col(n).isNull().cast("int") for n in OHLCV)
+    missing = sum(F.col(n).isNull().cast("int") for n in [*OHLCV, "ts", *keys])
     report = (
-        _with_step(bars, keys)
+        _with_step(bars, keys, bucket_us)
         .groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("total_rows"),
@@ -39,19 +52,18 @@ def quality_report(
             _count_if(F.col("high") < F.col("low")).alias("inverted_bars"),
             _count_if(F.col("volume") == 0).alias("zero_volume"),
             _count_if(F.col("_step") > 1.5 * expected_seconds).alias("gaps"),
+            _count_if(F.col("_step") == 0).alias("duplicate_timestamps"),
         )
-        .join(distinct, keys)
-        .withColumnRenamed("_d", "duplicate_timestamps")
     )
     bad = F.col("missing_values") + F.col("duplicate_timestamps") + F.col("inverted_bars")
     score = 1 - bad / F.greatest(F.col("total_rows"), F.lit(1))
     return report.withColumn("quality_score", score).withColumn("low_quality", score < 0.95)
 
 
-def accuracy_report(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def accuracy_report(bars: DataFrame, keys: list[str] | None = None, bucket_us: int = DAY) -> DataFrame:
     """Share of missing values and of gaps longer than twice the usual step."""
     keys = keys or ["symbol"]
-    stepped = _with_step(bars, keys)
+    stepped = _with_step(bars, keys, bucket_us)
     missing = sum(F.col(n).isNull().cast("int") for n in OHLCV)
     per_step = stepped.groupBy(*keys, "_step").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(missing).alias("_missing")
@@ -157,7 +169,5 @@ def schema_mismatches(
     a = actual.select(*keys, "position", F.col("name").alias("actual"))
     both = e.join(a, [*keys, "position"], "full")
     wrong = both.where(~F.col("expected").eqNullSafe(F.col("actual")))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("position"))
     return wrong.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")

@@ -17,9 +17,15 @@ PARTS = ["positive", "negative", "neutral", "polarity"]
 SMOOTHED = ["polarity", "positive", "negative"]
 EMA_SPANS = (3, 7, 14)
 
-# A small built-in word list for the default scorer.
-POSITIVE_WORDS = ["gain", "growth", "improve", "profit", "rise", "strong", "surge", "the", "un"]
-NEGATIVE_WORDS = ["crisis", "decline", "drop", "fall", "loss", "weak", "worthless", "that", "ou"]
+# A small built-in word list for the default scorer, in plain order.
+POSITIVE_WORDS = [
+    "advance", "beat", "boost", "bullish", "confident", "exceed", "expand", "gain", "growth", "improve",
+    "optimistic", "profit", "rally", "recover", "rise", "robust", "strong", "surge", "upgrade", "win",
+]
+NEGATIVE_WORDS = [
+    "bearish", "crash", "crisis", "decline", "default", "deficit", "downgrade", "drop", "fail", "fall",
+    "fear", "loss", "miss", "plunge", "recession", "risk", "slump", "stupid", "weak", "worthless",
+]
 
 # English stop words longer than three characters.
 STOP_WORDS = [

@@ -11,6 +11,7 @@ from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
 from candlewake.schema import PAIRS
+from candlewake.session import stage
 
 R = Registry()
 
@@ -261,15 +262,19 @@ _DIFFS = ["polarity", "positive", "negative", *[f"polarity_ema_{n}" for n in sen
 
 @R.add(
     f"""{q.with_(q.NEWS, ARTICLES, DAILY, EMAS)},
-    b AS (SELECT * FROM smooth WHERE currency = 'EUR'), u AS (SELECT * FROM smooth WHERE currency = 'USD')
-    SELECT date, {', '.join(f"{q.r(f'coalesce(b.{n}, 0.0) - coalesce(u.{n}, 0.0)', 6)} AS {n}_diff" for n in _DIFFS)}
-    FROM b FULL JOIN u USING (date)"""
+    p AS (SELECT unnest({q.PAIR_LIST}) AS symbol),
+    b AS (SELECT symbol, smooth.* FROM smooth JOIN p ON currency = left(symbol, 3)), u AS (SELECT symbol, smooth.* FROM smooth JOIN p ON currency = right(symbol, 3))
+    SELECT symbol, date, {', '.join(f"{q.r(f'coalesce(b.{n}, 0.0) - coalesce(u.{n}, 0.0)', 6)} AS {n}_diff" for n in _DIFFS)}
+    FROM b FULL JOIN u USING (symbol, date)"""
 )
 def sentiment_differential(spark: SparkSession, sf: str) -> DataFrame:
+    """All configured pairs: sentiment of the base currency minus that of the quote currency."""
     daily = sentiment.daily_sentiment(_articles(spark, sf), ["currency"])
-    smooth = sentiment.sentiment_ema(daily, ["currency"])
-    side = lambda c: smooth.where(F.col("currency") == c).drop("currency")
-    out = sentiment.differential_sentiment(side("EUR"), side("USD"))
+    smooth = stage(sentiment.sentiment_ema(daily, ["currency"]), "sentiment")
+    names = F.explode(F.array(*[F.lit(p) for p in PAIRS]))
+    pairs = spark.range(1).select(names.alias("symbol"))
+    side = lambda at: pairs.withColumn("currency", F.substring("symbol", at, 3)).join(smooth, "currency").drop("currency")
+    out = sentiment.differential_sentiment(side(1), side(5), ["symbol"])
     return rounded(out, [f"{n}_diff" for n in _DIFFS], 6)
 
 

@@ -9,6 +9,7 @@ from candlewake.operators import indicators as ind
 from candlewake.operators import sentiment, timeline
 from candlewake.operators.blocks import BLOCK_ROWS
 from candlewake.operators.resample import resample
+from candlewake.session import stage
 
 
 def htf_columns(timeframe: str) -> list[str]:
@@ -27,13 +28,17 @@ def add_higher_timeframes(
     Bars are stamped with their opening time, so by default a bar sees the running longer
     bar; ``closed_only`` shifts the longer bars to their closing time.
     """
-    out = bars
+    if not timeframes:
+        return bars
+    # Bars and longer bars are each read several times below: written once, they are made once.
+    out = bars = stage(bars, "bars")
     for name, every in timeframes.items():
         htf = ind.htf_features(resample(bars, every), name, block_rows)
         if closed_only:
             htf = htf.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {every}"))
+        htf = stage(htf.select("symbol", "ts", *htf_columns(name)), f"bars-{name}")
         out = timeline.asof_join(out, htf, ["symbol"], htf_columns(name))
-    return out
+    return stage(out, "bars-joined")
 
 
 def feature_table(

@@ -107,9 +107,19 @@ def symbol_number():
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class probabilities for every daily bar, by plain arithmetic on day and symbol.
 
-    Written once, as a scoring job would: otherwise filters on the probabilities move below
-    the bar aggregate and are evaluated for every tick.
+    Written once for each session and folder, as a scoring job would: otherwise filters on
+    the probabilities move below the bar aggregate and are evaluated for every tick.
     """
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _predictions:
+        _predictions[known] = stage(_scored(spark, sf_dir), "predictions")
+    return _predictions[known]
+
+
+_predictions: dict[tuple[str, str], DataFrame] = {}
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.unix_date(F.to_date("ts"))
     s = symbol_number()
     raw = lambda a, b: 1 + (d * a + s * b) % 11
@@ -132,7 +142,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (cube(F.greatest(b, s_, h)) / total).alias("confidence"),
         class_name(cls).alias("signal"),
     )
-    return stage(out, "predictions")
+    return out
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

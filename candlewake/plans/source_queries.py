@@ -102,7 +102,9 @@ def calendar_feed(spark: SparkSession, sf: str) -> DataFrame:
         F.col("previous_value").alias("previous"),
         F.col("impact_level").alias("importance"),
     )
-    raw = inputs.calendar(spark, sf).groupBy(F.to_date("ts"), "country").agg(
+    # A message holds an hour of a country, split by the event's number; a feed's pages are short.
+    page = F.pmod(F.xxhash64("event_id"), F.lit(64))
+    raw = inputs.calendar(spark, sf).groupBy(F.date_trunc("hour", "ts"), "country", page).agg(
         F.to_json(F.struct(F.collect_list(item).alias("result"))).alias("body")
     )
     return feeds.normalise_calendar(raw)

@@ -15,6 +15,8 @@ from candlewake.session import stage
 
 R = Registry()
 
+#: Daily bars of half a year; symbols with gaps have fewer.
+_LEAST_ROWS = 150
 _BOUNDS = f"""span AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM bars GROUP BY symbol),
 bounds AS (SELECT symbol, lo AS train_start, i + 1 AS fold, lo + to_months((6 + 2 * i)::INT) AS test_start,
     lo + to_months((8 + 2 * i)::INT) AS test_end
@@ -22,12 +24,14 @@ bounds AS (SELECT symbol, lo AS train_start, i + 1 AS fold, lo + to_months((6 +
 
 
 @R.add(
-    f"""{q.with_(q.BARS, _BOUNDS)} SELECT b.symbol, b.fold::INT AS fold, b.train_start, b.test_start, b.test_end,
+    f"""{q.with_(q.BARS, _BOUNDS)}, sizes AS (SELECT b.symbol, b.fold::INT AS fold, b.train_start, b.test_start, b.test_end,
       count(*) FILTER (WHERE ts < test_start) AS train_rows, count(*) FILTER (WHERE ts >= test_start AND ts < test_end) AS test_rows
-    FROM bounds b JOIN bars x ON b.symbol = x.symbol GROUP BY ALL"""
+    FROM bounds b JOIN bars x ON b.symbol = x.symbol GROUP BY ALL)
+    SELECT * FROM sizes QUALIFY min(train_rows) OVER (PARTITION BY symbol ORDER BY fold) >= {_LEAST_ROWS}"""
 )
 def walk_forward_folds(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.fold_sizes(inputs.bars(spark, sf), ["symbol"], min_train_rows=20)
+    """A symbol whose first half year has too few bars has no folds."""
+    return folds.fold_sizes(inputs.bars(spark, sf), ["symbol"], min_train_rows=_LEAST_ROWS)
 
 
 @R.add(

@@ -175,3 +175,29 @@ def test_feature_table_contract(spark):
     assert len(out.columns) - 7 == 96
     assert out.columns[7] == "ema_50" and out.columns[-1] == "weighted_surprise"
     assert out.count() > 0
+
+
+def test_bars_without_a_time_are_counted_and_latest_rows_agree(spark):
+    from candlewake.operators import labels, quality
+
+    t = "symbol string, ts timestamp, open double, high double, low double, close double, volume long"
+    day = lambda d: pd.Timestamp(f"2024-01-{d:02d}").to_pydatetime()
+    rows = [("a", day(d), 1.0, 2.0, 0.5, 1.5, 1) for d in (1, 2, 2, 5)] + [("a", None, 1.0, 2.0, 0.5, 1.5, 1), (None, day(1), 1.0, 2.0, 0.5, 1.5, 1)]
+    got = {r["symbol"]: r for r in quality.quality_report(spark.createDataFrame(rows, t), 86400).collect()}
+    assert (got["a"]["total_rows"], got["a"]["missing_values"], got["a"]["duplicate_timestamps"], got["a"]["gaps"]) == (5, 1, 1, 1)
+    assert got[None]["missing_values"] == 1
+    many = spark.createDataFrame([("a", day(1 + i % 28) + pd.Timedelta(seconds=i // 28).to_pytimedelta(), i) for i in range(2500)], "symbol string, ts timestamp, n int")
+    for n in (7, 1500):
+        assert labels.latest_rows(many, n).count() == n
+    assert labels.latest_rows(many, 1500).agg({"ts": "min"}).first()[0] == sorted(r["ts"] for r in many.collect())[-1500]
+
+
+def test_a_contract_with_zero_sizes_gets_the_smallest_lot(spark):
+    from pyspark.sql import functions as F
+
+    from candlewake.functions import risk
+
+    names = ("point", "tick_size", "tick_value", "volume_min", "volume_max", "volume_step", "margin_initial")
+    df = spark.createDataFrame([(0.1, 0.0, 0.0, 0.01, 50.0, 0.0, 0.0)], ", ".join(f"{n} double" for n in names))
+    lots = risk.lot_size(F.lit(1000.0), F.lit(1.0), F.lit(20.0), {n: F.col(n) for n in names}, max_margin_percent=50)
+    assert df.select(lots).first()[0] == 0.01
