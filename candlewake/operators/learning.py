@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import (
+    GBTClassifier,
+    MultilayerPerceptronClassifier,
+    OneVsRest,
+    RandomForestClassifier,
+)
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer, MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +18,7 @@ from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewake.operators.labels import sequences
+from candlewake.operators.labels import sequences, time_series_folds
 from candlewake.operators.metrics import summary_metrics
 from candlewake.schema import CLASS_BUY, CLASS_HOLD, CLASS_SELL
 
@@ -23,6 +30,28 @@ UNIFORM = 1.0 / 3
 PROBS = ["p_buy", "p_sell", "p_hold"]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """Sizes of the models; the defaults are the sizes of a full training."""
+
+    splits: int = 5
+    trees: int = 300
+    depth: int = 6
+    meta_trees: int = 100
+    meta_depth: int = 3
+    hidden: int = 16
+    iterations: int = 100
+    boosts: int = 100
+    topic_iterations: int = 20
+    #: Words of the topic model, by frequency; the vocabulary is held by the driver.
+    topic_words: int = 1 << 18
+    #: Share of a training period, at its end, that selects parameters.
+    holdout: float = 0.2
+
+
+FULL = Settings()
+
+
 def class_weight(cls: Column) -> Column:
     out = F.lit(None).cast("double")
     for c, w in CLASS_WEIGHTS.items():
@@ -31,12 +60,12 @@ def class_weight(cls: Column) -> Column:
 
 
 def tabular_learner(
-    features: list[str], label: str = "target_class", trees: int = 20, depth: int = 5, seed: int = 42
+    features: list[str], label: str = "target_class", trees: int = FULL.trees, depth: int = FULL.depth, seed: int = 42
 ) -> Pipeline:
     """Weighted tree ensemble on three classes."""
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=features, outputCol="_features", handleInvalid="skip"),
+            VectorAssembler(inputCols=features, outputCol="_features"),
             RandomForestClassifier(
                 featuresCol="_features", labelCol=label, weightCol="_weight", numTrees=trees,
                 maxDepth=depth, seed=seed, probabilityCol="_probability",
@@ -47,13 +76,31 @@ def tabular_learner(
 
 
 def fit_tabular(train: DataFrame, features: list[str], label: str = "target_class", **kw: int) -> PipelineModel:
-    weighted = train.withColumn("_weight", class_weight(F.col(label)))
+    """Fitted on the complete rows of ``train``."""
+    complete = train.dropna(subset=[*features, label])
+    weighted = complete.withColumn("_weight", class_weight(F.col(label)))
     return tabular_learner(features, label, **kw).fit(weighted)
 
 
+def fit_boosted(
+    train: DataFrame, features: list[str], label: str = "target_class",
+    boosts: int = FULL.boosts, depth: int = FULL.depth, seed: int = 42,
+) -> PipelineModel:
+    """Boosted trees, one class against the others, beside the forest."""
+    complete = train.dropna(subset=[*features, label])
+    weighted = complete.withColumn("_weight", class_weight(F.col(label)))
+    one = GBTClassifier(maxIter=boosts, maxDepth=depth, seed=seed, featuresCol="_features", labelCol=label)
+    every = OneVsRest(
+        classifier=one, featuresCol="_features", labelCol=label, weightCol="_weight",
+        rawPredictionCol="_raw", predictionCol="_prediction",
+    )
+    assemble = VectorAssembler(inputCols=features, outputCol="_features")
+    return Pipeline(stages=[assemble, every]).fit(weighted)
+
+
 def fit_sequence(
     train: DataFrame, features: list[str], label: str = "target_class", length: int = SEQUENCE_ROWS,
-    hidden: int = 16, max_iter: int = 20, seed: int = 42,
+    hidden: int = FULL.hidden, max_iter: int = FULL.iterations, seed: int = 42,
 ) -> PipelineModel:
     """Perceptron on the scaled, flattened rows of a sequence (a table of :func:`flat_sequences`)."""
     return Pipeline(
@@ -78,14 +125,32 @@ def flat_sequences(
 
 
 def score(model: PipelineModel, df: DataFrame, prefix: str = "") -> DataFrame:
-    """Class probabilities and the most likely class of every row."""
-    out = model.transform(df)
-    p = vector_to_array("_probability")
-    return out.select(
+    """Class probabilities and the most likely class of every row.
+
+    Rows with a null among the model's inputs get one third for each class, and no class.
+    """
+    first = model.stages[0]
+    needed = first.getInputCols() if isinstance(first, VectorAssembler) else [first.getInputCol()]
+    whole = F.lit(True)
+    for n in needed:
+        whole = whole & F.col(n).isNotNull()
+    out = model.transform(df.where(whole))
+    if "_probability" in out.columns:
+        p = vector_to_array("_probability")
+    else:  # one against the others: the margins as chances of their own, made to add up
+        own = F.transform(vector_to_array("_raw"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        p = F.transform(own, lambda x: x / F.aggregate(own, F.lit(0.0), lambda a, v: a + v))
+    scored = out.select(
         *df.columns,
         *[p[i].alias(prefix + n) for i, n in enumerate(PROBS)],
         F.col("_prediction").cast("int").alias(prefix + "predicted"),
     )
+    rest = df.where(~whole).select(
+        *df.columns,
+        *[F.lit(UNIFORM).alias(prefix + n) for n in PROBS],
+        F.lit(None).cast("int").alias(prefix + "predicted"),
+    )
+    return scored.unionByName(rest)
 
 
 def pad_probabilities(rows: DataFrame, scored: DataFrame, keys: list[str], prefix: str = "") -> DataFrame:
@@ -102,6 +167,8 @@ def out_of_fold(
 ) -> DataFrame:
     """Probabilities of both base learners for every row, each from a model of earlier rows.
 
+    Folds are cut at dates that all symbols share (:func:`common_folds`).
+
     ``folded`` carries ``fold`` (-1 before the first test fold); rows of fold -1 have no
     earlier model and get zeros. The loop is over folds, which are few and fixed.
     """
@@ -127,7 +194,18 @@ META = [p + n for p in ("tab_", "seq_") for n in PROBS]
 
 def fit_stack(oof: DataFrame, label: str = "target_class", **kw: int) -> PipelineModel:
     """Second classifier on the six out-of-fold probabilities."""
-    return fit_tabular(oof, META, label, **kw)
+    return fit_tabular(oof, META, label, **{"trees": FULL.meta_trees, "depth": FULL.meta_depth} | kw)
+
+
+def common_folds(df: DataFrame, n_splits: int, ts: str = "ts") -> DataFrame:
+    """``fold`` of each row by its time, the same for all symbols.
+
+    The distinct times are cut into equal test folds; so no model sees a time at or
+    after its test fold, of whatever symbol.
+    """
+    times = df.select(ts, F.lit(0).alias("_all")).distinct()
+    cut = time_series_folds(times, n_splits, ["_all"], [ts], F.to_date(ts)).select(ts, "fold", "row")
+    return df.join(cut.withColumnRenamed("row", "time_row"), ts)
 
 
 def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
@@ -141,40 +219,67 @@ def feature_importance(model: PipelineModel, features: list[str]) -> DataFrame:
 
 def search(
     folded: DataFrame, features: list[str], grid: list[dict[str, int]], n_splits: int,
-    objective: str = "balanced_accuracy", label: str = "target_class",
+    objective: str = "balanced_accuracy", label: str = "target_class", holdout: float = FULL.holdout,
 ) -> DataFrame:
-    """Every parameter row on every fold, trained on earlier rows only, ranked by its mean."""
-    results = None
-    for i, params in enumerate(grid):
-        for fold in range(n_splits):
-            model = fit_tabular(folded.where(F.col("fold") < fold), features, label, **params)
-            test = score(model, folded.where(F.col("fold") == fold))
-            one = summary_metrics(
-                test.select(F.lit(i).alias("trial"), F.lit(fold).alias("fold"),
-                            F.col(label).alias("truth"), F.col("predicted").alias("pred")),
-                ["trial", "fold"],
-            )
-            results = one if results is None else results.unionByName(one)
+    """The best parameter row of each fold, and how it does on the fold's test rows.
+
+    ``folded`` is a table of :func:`common_folds`. Of the times before a fold the last
+    share ``holdout`` selects among the rows of ``grid``; the test rows only judge the
+    model that is then fitted on all earlier rows. Folds and grid are short lists.
+    """
+    judge = lambda df: summary_metrics(
+        df.where(F.col("predicted").isNotNull()).select(
+            "trial", "fold", F.col(label).alias("truth"), F.col("predicted").alias("pred")
+        ),
+        ["trial", "fold"],
+    )
     text = F.create_map(*[
         x for i, p in enumerate(grid)
         for x in (F.lit(i), F.lit(", ".join(f"{k}={v}" for k, v in sorted(p.items()))))
     ])
-    return results.groupBy("trial").agg(
-        F.avg(objective).alias(objective), F.count(F.lit(1)).alias("folds")
-    ).withColumn("params", text[F.col("trial")])
+    out = None
+    for fold in range(n_splits):
+        earlier = folded.where(F.col("fold") < fold)
+        times = earlier.agg(F.count_distinct("ts")).first()[0]
+        split = int(times * (1 - holdout))
+        fit, select = earlier.where(F.col("time_row") < split), earlier.where(F.col("time_row") >= split)
+        tried = None
+        for i, params in enumerate(grid):
+            scored = score(fit_tabular(fit, features, label, **params), select)
+            scored = scored.withColumns({"trial": F.lit(i), "fold": F.lit(fold)})
+            tried = scored if tried is None else tried.unionByName(scored)
+        ranked = judge(tried).select("trial", "samples", objective).collect()  # a row per parameter row
+        best = max(ranked, key=lambda r: (r[objective], -r["trial"]))
+        model = fit_tabular(earlier, features, label, **grid[best["trial"]])
+        test = score(model, folded.where(F.col("fold") == fold)).withColumn("trial", F.lit(best["trial"]))
+        one = judge(test).select(
+            "fold",
+            "trial",
+            F.lit(best["samples"]).alias("selection_rows"),
+            F.lit(best[objective]).alias("selection_" + objective),
+            F.col("samples").alias("test_rows"),
+            F.col(objective).alias("test_" + objective),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("params", text[F.col("trial")])
 
 
 def fit_topics(
-    docs: DataFrame, tokens: str = "tokens", topics: int = TOPICS, max_iter: int = 10
+    docs: DataFrame, tokens: str = "tokens", topics: int = TOPICS, max_iter: int = FULL.topic_iterations,
+    words: int = FULL.topic_words,
 ) -> PipelineModel:
-    """Topic model on token arrays; rare and too common words are left out."""
+    """Topic model on token arrays; rare and too common words are left out.
+
+    Every iteration takes all documents. The ``words`` most frequent words count.
+    """
     return Pipeline(
         stages=[
             CountVectorizer(
-                inputCol=tokens, outputCol="_counts", minDF=TOPIC_MIN_DOCS, maxDF=TOPIC_MAX_SHARE
+                inputCol=tokens, outputCol="_counts", minDF=TOPIC_MIN_DOCS, maxDF=TOPIC_MAX_SHARE,
+                vocabSize=words,
             ),
             LDA(k=topics, seed=TOPIC_SEED, maxIter=max_iter, featuresCol="_counts",
-                topicDistributionCol="_topics"),
+                optimizer="online", subsamplingRate=1.0, topicDistributionCol="_topics"),
         ]
     ).fit(docs)
 

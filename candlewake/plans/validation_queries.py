@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
@@ -172,73 +172,146 @@ def deploy_decision(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.deploy_decision(_compared(spark, sf))
 
 
-# Learned models: checked by rows only, since two libraries never grow the same trees --
+# Learned models. Two libraries never grow the same trees, so the twins check what any model must fulfil.
 
 FEATURES = ["rsi", "macd_hist", "adx", "bb_position", "atr_zscore", "return_5", "realized_vol_10", "stoch_k"]
 SEQUENCE_FEATURES = ["return_1", "rsi_norm", "bb_position"]
-SPLITS = 2
+SIZES = learning.FULL
+SPLITS = SIZES.splits
+_WANTED = list(dict.fromkeys([*FEATURES, *SEQUENCE_FEATURES, "atr_14"]))
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled, complete feature rows with their test fold, written once for all fits."""
-    feats = ind.base_features(inputs.bars(spark, sf))
-    wanted = list(dict.fromkeys([*FEATURES, *SEQUENCE_FEATURES, "atr_14"]))
-    rows = feats.select("symbol", "ts", "close", *wanted).dropna(how="any")
-    labelled = labels.forward_label(rows, 6, atr_multiplier=1.0)
-    cols = ["symbol", "ts", *wanted, "target_class"]
-    folded = labels.time_series_folds(labelled.select(*cols), SPLITS, ["symbol"], ["ts"], F.to_date("ts"))
-    return stage(folded, "training")
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _training:
+        feats = ind.base_features(inputs.bars(spark, sf))
+        rows = feats.select("symbol", "ts", "close", *_WANTED).dropna(how="any")
+        labelled = labels.forward_label(rows, 6, atr_multiplier=1.0)
+        labelled = stage(labelled.select("symbol", "ts", *_WANTED, "target_class"), "labelled")
+        _training[known] = stage(learning.common_folds(labelled, SPLITS), "training")
+    return _training[known]
 
 
-@R.add()
+_training: dict[tuple[str, str], DataFrame] = {}
+
+_ROWS = f"""clean AS (SELECT symbol, ts, close, {', '.join(_WANTED)} FROM feats WHERE {' AND '.join(f'{n} IS NOT NULL' for n in _WANTED)}),
+labelled AS MATERIALIZED (SELECT symbol, ts FROM clean QUALIFY lead(close, 6) OVER (PARTITION BY symbol ORDER BY ts) IS NOT NULL),
+times AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS row, count(*) OVER () AS n, n // {SPLITS + 1} AS size, n - {SPLITS} * size AS first
+  FROM (SELECT DISTINCT ts FROM labelled)),
+training AS MATERIALIZED (SELECT symbol, ts, row, (CASE WHEN row < first THEN -1 ELSE (row - first) // nullif(size, 0) END)::INT AS fold FROM labelled JOIN times USING (ts))"""
+
+
+def _checked(df: DataFrame, *more: str) -> DataFrame:
+    """What holds for the probabilities of any model: they add up, and the class is the likeliest."""
+    p = [F.col(n) for n in learning.PROBS]
+    names = F.array(*[F.round(x, 9) for x in p])
+    likeliest = F.element_at(names, F.col("predicted") + 1) == F.array_max(names)
+    return df.select("symbol", "ts", *more, F.round(p[0] + p[1] + p[2], 6).alias("total"), likeliest.alias("likeliest"))
+
+
+@R.add(f"{q.with_(q.FEATURES, _ROWS)} SELECT symbol, ts, fold, 1.0::DOUBLE AS total, true AS likeliest FROM training")
 def tabular_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     rows = training_rows(spark, sf)
-    model = learning.fit_tabular(rows.where(F.col("fold") < SPLITS - 1), FEATURES, trees=10, depth=4)
-    scored = learning.score(model, rows)
-    return scored.select("symbol", "ts", *learning.PROBS, "predicted")
+    model = learning.fit_tabular(rows.where(F.col("fold") < SPLITS - 1), FEATURES, trees=SIZES.trees, depth=SIZES.depth)
+    return _checked(learning.score(model, rows), "fold")
 
 
-@R.add()
+@R.add(
+    f"""{q.with_(q.FEATURES, _ROWS)} SELECT symbol, ts, 1.0::DOUBLE AS total,
+      row_number() OVER (PARTITION BY symbol ORDER BY ts) < {learning.SEQUENCE_ROWS} AS padded FROM training"""
+)
 def sequence_model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities of the sequence learner; the warm-up rows get one third each."""
     rows = training_rows(spark, sf)
     seq = learning.flat_sequences(rows, SEQUENCE_FEATURES)
     early = seq.join(rows.where(F.col("fold") < SPLITS - 1).select("symbol", "ts"), ["symbol", "ts"], "left_semi")
-    model = learning.fit_sequence(early, SEQUENCE_FEATURES, max_iter=10)
-    scored = learning.score(model, seq)
-    return learning.pad_probabilities(rows.select("symbol", "ts"), scored, ["symbol", "ts"])
+    model = learning.fit_sequence(early, SEQUENCE_FEATURES)
+    scored = learning.pad_probabilities(rows.select("symbol", "ts"), learning.score(model, seq), ["symbol", "ts"])
+    p = [F.col(n) for n in learning.PROBS]
+    padded = (p[0] == learning.UNIFORM) & (p[1] == learning.UNIFORM) & (p[2] == learning.UNIFORM)
+    return scored.select("symbol", "ts", F.round(p[0] + p[1] + p[2], 6).alias("total"), padded.alias("padded"))
 
 
-@R.add()
+@R.add(f"{q.with_(q.FEATURES, _ROWS)} SELECT symbol, count(*) AS samples, true AS bounded FROM training WHERE fold = {SPLITS - 1} GROUP BY symbol")
 def stacked_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold base learners, a second classifier on them, and its metrics per symbol."""
     rows = training_rows(spark, sf)
     oof = stage(
-        learning.out_of_fold(rows, FEATURES, SEQUENCE_FEATURES, SPLITS, trees=5, depth=4), "oof"
+        learning.out_of_fold(rows, FEATURES, SEQUENCE_FEATURES, SPLITS, trees=SIZES.trees, depth=SIZES.depth), "oof"
     )
-    stack = learning.fit_stack(oof.where((F.col("fold") >= 0) & (F.col("fold") < SPLITS - 1)), trees=5, depth=3)
+    stack = learning.fit_stack(oof.where((F.col("fold") >= 0) & (F.col("fold") < SPLITS - 1)))
     test = learning.score(stack, oof.where(F.col("fold") == SPLITS - 1))
     judged_ = test.select("symbol", F.col("target_class").alias("truth"), F.col("predicted").alias("pred"))
-    return metrics.summary_metrics(judged_, ["symbol"])
+    out = metrics.summary_metrics(judged_, ["symbol"])
+    names = ["balanced_accuracy", "f1_score", "accuracy"]
+    bounded = F.forall(F.array(*names), lambda x: x.between(0, 1))
+    return out.select("symbol", "samples", bounded.alias("bounded"))
 
 
-@R.add()
+@R.add("SELECT (range + 1)::INT AS rank, true AS known, true AS falling FROM range(5)")
 def top_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     rows = training_rows(spark, sf)
-    model = learning.fit_tabular(rows, FEATURES, trees=10, depth=4)
-    return stats.top_n(learning.feature_importance(model, FEATURES), "importance", 5, "feature")
+    model = learning.fit_tabular(rows, FEATURES, trees=SIZES.trees, depth=SIZES.depth)
+    top = stats.top_n(learning.feature_importance(model, FEATURES), "importance", 5, "feature")
+    w = Window.orderBy(F.desc("importance"), "feature")  # five rows
+    falling = F.coalesce(F.col("importance") <= F.lag("importance").over(w), F.lit(True))
+    return top.select(
+        F.row_number().over(w).alias("rank"), F.col("feature").isin(FEATURES).alias("known"), falling.alias("falling")
+    )
+
 
+@R.add(
+    """SELECT p_brand AS feature, round(avg(p_retailprice), 4) AS importance FROM part GROUP BY p_brand
+    ORDER BY importance DESC, feature LIMIT 5"""
+)
+def top_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest of a table of scores."""
+    scores = inputs.table(spark, sf, "part").groupBy(F.col("p_brand").alias("feature"))
+    scores = scores.agg(F.round(F.avg("p_retailprice"), 4).alias("importance"))
+    return stats.top_n(scores, "importance", 5, "feature")
 
-@R.add()
+
+@R.add(
+    f"""{q.with_(q.FEATURES, _ROWS)}, f AS (SELECT range AS fold, (SELECT count(*) FROM times WHERE row < first + range * size) AS n FROM range({SPLITS}))
+    SELECT f.fold::INT AS fold, count(*) FILTER (WHERE t.fold = f.fold) AS test_rows,
+      count(*) FILTER (WHERE t.fold < f.fold AND row >= floor(n * (1 - {SIZES.holdout}))) AS selection_rows, true AS bounded, true AS listed
+    FROM f, training t GROUP BY f.fold"""
+)
 def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    grid = [{"trees": 5, "depth": 3}, {"trees": 10, "depth": 5}]
-    return learning.search(training_rows(spark, sf), FEATURES, grid, SPLITS)
+    grid = [{"trees": SIZES.meta_trees, "depth": d} for d in (SIZES.meta_depth, SIZES.depth)]
+    out = learning.search(training_rows(spark, sf), FEATURES, grid, SPLITS)
+    bounded = F.col("test_balanced_accuracy").between(0, 1) & F.col("selection_balanced_accuracy").between(0, 1)
+    listed = F.col("params").isin([f"depth={g['depth']}, trees={g['trees']}" for g in grid])
+    return out.select("fold", "test_rows", "selection_rows", bounded.alias("bounded"), listed.alias("listed"))
 
 
-@R.add()
+@R.add(
+    f"""SELECT doc_id, (range + 1)::INT AS rank, true AS known, true AS falling FROM documents, range(3)"""
+)
 def topics_of_news(spark: SparkSession, sf: str) -> DataFrame:
     """Three most likely topics of each document."""
     tokens = topic_tokens(F.col("text"), sentiment.STOP_WORDS)
     docs = stage(inputs.news(spark, sf).select("doc_id", tokens.alias("tokens")), "tokens")
-    model = learning.fit_topics(docs, max_iter=5)
-    return learning.top_topics(learning.topic_distribution(model, docs, ["doc_id"]), ["doc_id"])
+    model = learning.fit_topics(docs)
+    top = learning.top_topics(learning.topic_distribution(model, docs, ["doc_id"]), ["doc_id"])
+    before = F.lag("probability").over(Window.partitionBy("doc_id").orderBy("rank"))
+    return top.select(
+        "doc_id",
+        "rank",
+        F.col("topic").between(0, learning.TOPICS - 1).alias("known"),
+        (F.col("probability").between(0, 1) & F.coalesce(F.col("probability") <= before, F.lit(True))).alias("falling"),
+    )
+
+
+@R.add(
+    """WITH t AS (SELECT doc_id, unnest(range(10)) AS topic, ((doc_id * 7 + topic * 13) % 11 + 1)::DOUBLE / 100 AS p FROM documents)
+    SELECT doc_id, topic::INT AS topic, p AS probability, row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, topic)::INT AS rank
+    FROM t QUALIFY rank <= 3"""
+)
+def top_topics_of_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest of a table of topic shares, ties by number."""
+    share = lambda i: ((F.col("doc_id") * 7 + i * 13) % 11 + 1).cast("double") / 100
+    topics = F.transform(F.sequence(F.lit(0), F.lit(9)), share)
+    dist = inputs.table(spark, sf, "documents").select("doc_id", topics.alias("topics"))
+    return learning.top_topics(dist, ["doc_id"])
