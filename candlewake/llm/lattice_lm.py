@@ -74,6 +74,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum(F.col("train").cast("long")).alias("n"))
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest counts, ``most`` at most: as many whole classes of equal log-counts as fit."""
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = words.filter("n > 0").groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
+    least, room = 1 << 20, most
+    for level_, n in sorted(((r.level, r.words) for r in sizes), reverse=True):
+        if n > room:
+            break
+        least, room = level_, room - n
+    return words.filter("n > 0").filter(level >= least)
+
+
 def piece_counts(words: DataFrame, model: bytes) -> dict[int, int]:
     """How often the vocabulary's pieces occur in the words, by piece; at most a row per piece comes back."""
 
@@ -138,7 +150,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     words = stage(
         words.select("word", "n").mapInArrow(scored, "word string, n long, base double, lattice double"), "lm-scored"
     )
-    frequent = words.filter("n > 0").orderBy(F.desc("n"), "word").limit(HEAD).collect()
+    frequent = frequent_words(words, HEAD).collect()
     head = spark.sparkContext.broadcast({r.word.encode(): (r.base, r.lattice) for r in frequent})
     at_end = (1, int(ends > 0), base(ends), end_score / math.log(10))
 
