@@ -54,30 +54,30 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP2 = r"""
 WITH w AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
 ), p AS (
-  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3
-), g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM p),
-c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM g),
-m AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+  SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3
+), g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM p),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS n FROM g),
+m AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w),
 lw AS (
-  SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT rid, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          length(regexp_replace(line, '[^|»›•·]', '', 'g')) AS seps, length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS syms
   FROM l
 ), d AS (
-  SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
+  SELECT rid, count(*) - count(DISTINCT line) AS dup,
          sum(n) FILTER (regexp_matches(line, '[.!?…。！？]["''”’»)\]]*([\x20\x09-\x0D]|$)')
            AND NOT seps >= greatest(2.0, n * 0.25) AND NOT syms >= greatest(2.0, n * 0.3)
            AND NOT (upper(line) = line AND lower(line) <> line AND n >= 4)
            AND NOT (n <= 25 AND regexp_matches(line, '(?i)(javascript|cookies?\b|terms of (use|service)|privacy policy|all rights reserved|copyright|licen[cs]ed under|released under the|lorem ipsum|click here|subscribe|sign up|log ?in\b|share this)'))
          ) AS kept_words
-  FROM lw WHERE n > 0 GROUP BY doc_id
+  FROM lw WHERE n > 0 GROUP BY rid
 ), r AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(d.dup, 0)::BIGINT AS n_dup_lines,
          coalesce(m.n, 0)::BIGINT AS n_repeat_words, coalesce(d.kept_words, 0) AS kept_words
-  FROM w LEFT JOIN d USING (doc_id) LEFT JOIN m USING (doc_id)
+  FROM w LEFT JOIN d USING (rid) LEFT JOIN m USING (rid)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND kept_words >= 0.7 * n_words AS kept
