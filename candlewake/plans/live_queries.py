@@ -75,7 +75,7 @@ def live_daily_limit(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("id"),
         (k % 7 - 3).cast("double").alias("profit"),
     )
-    return live.run_to_table(live.daily_limit(moves), "live-limit", live.LIMIT_OUTPUT)
+    return live.daily_limit(moves)
 
 
 @R.add(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
+from candlewake.operators.timeline import HOUR, asof_join
 from candlewake.session import fresh_path
 
 MINUTE = 60
@@ -51,39 +51,67 @@ def without_repeats(signals: DataFrame, every: str, delay: str) -> DataFrame:
 
 
 LIMIT_OUTPUT = "symbol string, side string, ts timestamp, id long"
-LIMIT_STATE = "day int, losses long"
-
-
-def _take_first(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Accept the first unblocked signal of each day; deals raise or clear the loss count."""
-    day, losses = state.get if state.exists else (-1, 0)
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["ts", "kind", "id"], kind="stable")
-    taken = []
-    for ts, kind, ident, profit in zip(rows["ts"], rows["kind"], rows["id"], rows["profit"], strict=True):
-        if kind == 0:
-            losses = losses + 1 if profit < 0 else 0 if profit > 0 else losses
-        elif losses == 0 and ts.toordinal() != day:
-            day = ts.toordinal()
-            taken.append((key[0], key[1], ts, ident))
-    state.update((int(day), int(losses)))
-    if taken:
-        yield pd.DataFrame(taken, columns=["symbol", "side", "ts", "id"])
-
-
-def daily_limit(moves: DataFrame) -> DataFrame:
-    """Signals that pass the loss block and are the first of their side that day.
-
-    ``moves`` mixes closed deals (kind 0, with profit) and signals (kind 1) with columns
-    symbol, side, ts, kind, id, profit. Rows are ordered inside a micro-batch, so stream
-    and batch agree if rows arrive in time order across micro-batches. The state of a key
-    is two numbers; how much of a key one call sees is set by the source's rate limit.
+LIMIT_STATE = "symbol string, side string, day int, losses long"
+
+
+def limit_each_batch(out: str, state: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for the daily limit: signals that pass the loss block and are
+    the first of their symbol and side that day.
+
+    A batch mixes closed deals (kind 0, with profit) and signals (kind 1) with columns
+    symbol, side, ts, kind, id, profit; deals come before signals of their time. A signal is
+    free if the last deal before it that won or lost was a win, or if there is none and the
+    losses carried from earlier batches are zero. Batches hold what is later in time than the
+    batches before. What is carried is a day and a count for each symbol and side, one
+    folder of ``state`` for each batch, so a batch that is run again replaces its own.
     """
-    return moves.groupBy("symbol", "side").applyInPandasWithState(
-        _take_first, LIMIT_OUTPUT, LIMIT_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    keys = ["symbol", "side"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        spark.createDataFrame([], LIMIT_STATE).write.mode("append").parquet(f"{state}/batch=-1")
+        kept = spark.read.schema(LIMIT_STATE + ", batch long").parquet(state).where(F.col("batch") < batch_id)
+        last = F.max_by(F.struct("day", "losses"), "batch").alias("_s")
+        kept = kept.groupBy(*keys).agg(last).select(*keys, "_s.*")
+        deals = batch.where((F.col("kind") == 0) & (F.col("profit") != 0))
+        signals = batch.where(F.col("kind") == 1).select(*keys, "ts", "id")
+        won = deals.select(*keys, "ts", F.col("id").alias("_id"), (F.col("profit") > 0).alias("_won"))
+        placed = asof_join(signals, won, keys, ["_won"], bucket_us=HOUR, tie=["_id"]).join(kept, keys, "left")
+        free = F.coalesce("_won", F.coalesce("losses", F.lit(0)) == 0)
+        today = F.unix_date(F.to_date("ts"))
+        taken = placed.where(free & ~today.eqNullSafe(F.col("day"))).groupBy(*keys, today.alias("_day"))
+        taken = taken.agg(F.min(F.struct("ts", "id")).alias("_first")).select(*keys, "_first.*")
+        taken.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        taken = spark.read.schema(LIMIT_OUTPUT).parquet(f"{out}/batch={batch_id}")
+
+        at = F.struct("ts", "id")
+        wins = deals.where("profit > 0").groupBy(*keys).agg(F.max(at).alias("_win"))
+        since = F.col("_win").isNull() | (at > F.col("_win"))
+        losses = deals.join(wins, keys, "left").groupBy(*keys).agg(
+            F.count_if((F.col("profit") < 0) & since).alias("_new"), F.max(F.col("_win").isNotNull()).alias("_reset")
+        )
+        days = taken.groupBy(*keys).agg(F.max(today).alias("_taken"))
+        seen = batch.select(*keys).distinct()
+        now = seen.join(kept, keys, "left").join(losses, keys, "left").join(days, keys, "left")
+        carried = F.when(F.coalesce("_reset", F.lit(False)), 0).otherwise(F.coalesce("losses", F.lit(0)))
+        now = now.select(
+            *keys,
+            F.coalesce("_taken", "day").alias("day"),
+            (carried + F.coalesce("_new", F.lit(0))).cast("long").alias("losses"),
+        )
+        now.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        batch.unpersist()
+
+    return run
+
+
+def daily_limit(moves: DataFrame, name: str = "live-limit") -> DataFrame:
+    """Run the daily limit over what a stream holds now; the signals that pass."""
+    spark = moves.sparkSession
+    out = fresh_path(spark, name)
+    run_batches(moves, name, limit_each_batch(out, fresh_path(spark, f"{name}-carried")))
+    return spark.read.schema(LIMIT_OUTPUT).parquet(out).select("symbol", "side", "ts", "id")
 
 
 def live_blackout(

@@ -54,7 +54,7 @@ def test_daily_limit_keeps_state_across_batches(spark):
         [("a", "SELL", ts("14:00"), 1, 5, None), ("a", "SELL", ts("15:00"), 0, 6, 2.0)],
         [("a", "SELL", ts("16:00"), 1, 7, None), ("a", "SELL", ts("17:00"), 1, 8, None)],
     ]
-    out = live.run_to_table(live.daily_limit(feed(spark, parts, MOVE)), "t-limit", live.LIMIT_OUTPUT)
+    out = live.daily_limit(feed(spark, parts, MOVE), "t-limit")
     assert sorted(r["id"] for r in out.collect()) == [1, 7]
 
 
