@@ -34,6 +34,13 @@ SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path in it of a folder as Spark names it: a plain path, ``file:/path`` or a URI."""
+    if path.startswith("file:") or "://" not in path:
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(path)
+
+
 def _uri(url: str | None) -> str:
     return "".join(c if " " < c < "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
 
@@ -142,7 +149,7 @@ def write(pages: DataFrame, **columns: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where, path = _store(folder)
         where.create_dir(path, recursive=True)
         out, name, size, n = None, "", 0, 0
         for batch in batches:
@@ -181,9 +188,7 @@ def read(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
         for batch in batches:
             for archive in batch.to_pylist():
-                where, path = pafs.FileSystem.from_uri(
-                    archive["path"] if "://" in archive["path"] else f"file://{archive['path']}"
-                )
+                where, path = _store(archive["path"])
                 rows, size, n = [], 0, 0
                 with where.open_input_stream(path, compression=None) as file:
                     for head, block in read_records(file):
