@@ -229,16 +229,19 @@ def event_proximity(
     pre_hours: int = 24,
     post_hours: int = 48,
     decay: float = 0.1,
+    bucket_us: int = DAY,
+    salts: int = 1,
 ) -> DataFrame:
     """``tau_pre``, ``tau_post`` and ``weighted_surprise`` of every bar; zero without events.
 
-    Events without a surprise value do not count at all.
+    Events without a surprise value do not count at all. Bars of a symbol are grouped by
+    ``bucket_us``, which ``salts`` splits further where a group is crowded.
     """
     keys = keys or ["symbol"]
     known = events.where(F.col(surprise).isNotNull())
     near = around_events(
         bars, known, keys, pre_hours * HOUR, post_hours * HOUR, weight=surprise,
-        decay_per_hour=decay,
+        decay_per_hour=decay, bucket_us=bucket_us, salts=salts,
     )
     h = float(HOUR)
     return near.select(
