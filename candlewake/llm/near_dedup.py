@@ -5,10 +5,12 @@ Signatures cut into bands give candidate pairs; a pair's signatures are compared
 batches, and the pair is dropped as soon as the posterior chance that its similarity
 reaches the threshold falls below ``MISS``. What survives is verified on the whole sets.
 
-A bucket of m nodes first gives m - 1 pairs, each node with the smallest. Nodes that
-are in one group after that need no further comparison; only buckets that still hold
-several groups give pairs between these. So large groups of copies cost a star each,
-and no candidate link between different groups is left untested.
+A bucket of m nodes gives m - 1 pairs, each node with the smallest. Nodes that are in one
+group after that need no further comparison. Nodes of buckets that still hold several
+groups are compared across groups by their rarest shingles: sets this similar share one
+early in the order of rarity, so early that passages which thousands of unlike
+documents have in common give no pairs. So large groups of copies cost a star, and no
+link between different groups is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from candlewake.llm.common import sized
-from candlewake.session import stage
+from candlewake.session import scratch, stage
 
 SHINGLE = 5
 #: Similarity of linked documents, in hundredths.
@@ -162,6 +164,45 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _across_groups(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (id, comp) of different groups, all that can be similar enough among them.
+
+    With n and m shingles two sets need t / (1 + t) * (n + m) in common. Ordered by how many
+    nodes have a shingle, the first common one must come before too little is left for that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                sets = [shingles(t or b"") for t in part.column(2).to_pylist()]
+                n = np.array([len(s) for s in sets])
+                own = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                rows = np.repeat(np.arange(len(sets)), n)
+                items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+                cells = [part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows))]
+                cells += [pa.array(x) for x in (own[rows], n[rows], items)]
+                yield pa.RecordBatch.from_arrays(cells, ["id", "comp", "own", "n", "item"])
+
+    texts = docs.join(sized(nodes, "near-open"), "id").select("id", "comp", "text").dropDuplicates()
+    items = stage(texts.mapInArrow(run, "id long, comp long, own long, n long, item long"), "near-items")
+    shared = stage(items.groupBy("item").agg(F.count("*").alias("times")).filter("times > 1"), "near-shared")
+    one = Window.partitionBy("id", "own")
+    place = F.row_number().over(one.orderBy("times", "item")) - 1 + F.col("n") - F.count("*").over(one)
+    early = items.join(shared, "item").withColumn("left", F.col("n") - place).drop("times")
+    early = stage(early.filter(100 * F.col("left") >= PERCENT * F.col("n")), "near-early")
+    short = early.filter((100 + PERCENT) * F.col("left") >= 2 * PERCENT * F.col("n"))
+    short = short.select("item", *[F.col(c).alias(f"s_{c}") for c in ("id", "comp", "n", "left")])
+    need = PERCENT * (F.col("n") + F.col("s_n"))
+    pairs = short.join(early, "item").filter(
+        (F.col("s_comp") != F.col("comp"))
+        & (F.col("s_n") <= F.col("n"))
+        & ((100 + PERCENT) * F.col("left") >= need)
+        & ((100 + PERCENT) * F.col("s_left") >= need)
+    )
+    return pairs.select(F.least("id", "s_id").alias("a"), F.greatest("id", "s_id").alias("b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for all ends of ``links`` (a, b): the smallest id that is reachable.
 
@@ -170,19 +211,18 @@ def components(links: DataFrame) -> DataFrame:
     the longest path. Each round is written out, so that plans stay short.
     """
     edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "cc")
+    last = None
     while True:
+        sums = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if sums == last:
+            break
+        last = sums
         ways = edges.union(edges.select("v", "u"))
         low = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        after = stage(small.union(low.toDF("u", "v")).distinct(), "cc")
-        sums = [
-            e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, after)
-        ]
-        edges = after
-        if sums[0] == sums[1]:
-            break
+        edges = stage(small.union(low.toDF("u", "v")).distinct(), "cc")
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
@@ -195,6 +235,11 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     is linked if one of its texts is. A row without a key links nothing; it takes the
     group of an equal text and is kept only if no row with a key has that text.
     """
+    with scratch(docs.sparkSession):
+        return stage(_groups(docs, key, text), "near-groups", keep=True)
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     marks = stage(_sets(rows, sketch=True), "near-marks")
     found = marks.filter("print is not null and id is not null")
@@ -206,17 +251,16 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     least = member.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("m")).filter("m > 1")
     buckets = stage(least.select("bucket", "a"), "near-buckets")
     member = stage(member.join(buckets, "bucket").select("bucket", "id", "a"), "near-members")
-    star = member.filter("id > a").select("a", F.col("id").alias("b")).distinct()
+    star = stage(member.filter("id > a").select("a", F.col("id").alias("b")).distinct(), "near-star")
     texts = rows.filter("id is not null")
     links = stage(_verified(stage(_surviving(star, nodes), "near-alive"), texts), "near-links")
     comps = components(links)
     of = F.coalesce("component", "id").alias("comp")
-    placed = stage(member.join(comps, "id", "left").select("bucket", "id", "a", of), "near-placed")
+    placed = stage(member.join(comps, "id", "left").select("bucket", "id", of), "near-placed")
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    open_ = stage(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "near-open")
-    left, right = open_.toDF("bucket", "a", "ra", "ca"), open_.toDF("bucket", "b", "rb", "cb")
-    rest = left.join(right, "bucket").filter("ca < cb and ra <> a and rb <> b")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mixed = stage(mixed.select("bucket"), "near-mixed")
+    open_ = placed.join(mixed, "bucket", "left_semi").select("id", "comp").distinct()
+    rest = _across_groups(open_, texts).join(star, ["a", "b"], "left_anti")
     more = _verified(stage(_surviving(rest, nodes), "near-alive"), texts)
     every = components(stage(links.union(more), "near-links"))
     placed = nodes.join(every, "id", "left").select("print", F.coalesce("component", "id").alias("component"))

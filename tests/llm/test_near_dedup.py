@@ -70,6 +70,20 @@ def test_chains_copies_and_odd_rows(spark):
     )
 
 
+def test_a_crowd_of_copies_around_an_original(spark):
+    """Copies are near the original, which has no small id, but seldom near each other."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(500, " ".join(base))]
+    for i in range(250):
+        words = list(base)
+        for j in rng.sample(range(80), 8):
+            words[5 * j] = f"c{i}x{j}"
+        rows.append((i if i < 125 else 1000 + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.id: (r.n_shingles, r.component_id) for r in N.groups(docs).collect()} == brute(rows)
+
+
 def test_posterior_bound_follows_the_beta_distribution():
     rng = np.random.default_rng(1)
     for n, least in zip(range(16, 129, 16), N.least_matches(75, 1e-3), strict=True):
