@@ -14,8 +14,9 @@ their bucket, and one position in 70 is in the sample, instead of one in 8.
 3. Of each distinct run of a bucket that has several, the bytes are fetched. What follows
    the sample position is sorted and ranked once, and so is what precedes it, read
    backwards. The windows at one distance are equal where both ranks tie to that depth.
-4. Buckets of more than ``CROWD`` distinct runs are counted window by window instead,
-   which spreads them over all tasks.
+4. Buckets of more than ``CROWD`` distinct runs are cut into cells of some windows each, and
+   these, where they differ but overlap, into windows; both are counted by hash, which
+   spreads them over all tasks.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ REACH = SPAN - GRAM + 1
 PIECE = 1 << 19
 #: Distinct runs of a bucket up to which one task sorts it.
 CROWD = 1000
+#: Neighbouring windows of a run that are counted together in crowded buckets.
+CELL = 12
 #: Runs that a task sorts together, in whole buckets.
 ROWS = 8192
 
@@ -251,23 +254,76 @@ def _cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cells, ["bucket", "id", "run", "alone", "crowded", "part"])
 
 
+def _cells(run: int) -> Iterator[tuple[int, int, int]]:
+    """The windows of a run in cells of ``CELL`` distances: number of the cell, least and largest distance."""
+    most = run & 255
+    least = most - ((run >> 8) & 255)
+    for j in range(least // CELL, most // CELL + 1):
+        yield j, max(least, j * CELL), min(most, j * CELL + CELL - 1)
+
+
+def _list_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of runs, with hashes of their bytes and of the core, the bytes that all windows of a full cell share."""
+    for batch in batches:
+        for at in range(0, len(batch), 2048):
+            part = batch.slice(at, 2048)
+            rows, core, code = [], [], []
+            for b, i, run, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                sample, low = run & 255, run >> 16
+                for j, d0, d1 in _cells(run):
+                    inner = x[sample - j * CELL : sample + SPAN - j * CELL - CELL + 1]
+                    core.append(xxhash.xxh3_64_intdigest(inner, seed=j))
+                    code.append(xxhash.xxh3_64_intdigest(x[sample - d1 : sample - d0 + SPAN], seed=d0 * 256 + d1))
+                    rows.append((b, i, run, j, low + sample - d1, low + sample - d0))
+            cells = [pa.array([r[c] for r in rows], pa.int64()) for c in range(6)]
+            cells += [pa.array(np.array(h, np.uint64).view(np.int64)) for h in (core, code)]
+            yield pa.RecordBatch.from_arrays(cells, ["bucket", "id", "run", "cell", "lo", "hi", "core", "code"])
+
+
 def _list_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the runs of crowded buckets, by hash."""
+    """The windows of the cells asked for, by hash."""
     for batch in batches:
         for at in range(0, len(batch), 2048):
             part = batch.slice(at, 2048)
             bucket, name, low, code = [], [], [], []
-            for b, i, run, x in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                for j in range(((run >> 8) & 255) + 1):
-                    bucket.append(b)
-                    name.append(i)
-                    low.append((run >> 16) + j)
-                    code.append(xxhash.xxh3_64_intdigest(x[j : j + SPAN]))
+            for b, i, run, x, asked in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                sample = run & 255
+                for j, d0, d1 in _cells(run):
+                    for d in range(d0, d1 + 1) if j in asked else ():
+                        bucket.append(b)
+                        name.append(i)
+                        low.append((run >> 16) + sample - d)
+                        code.append(xxhash.xxh3_64_intdigest(x[sample - d : sample - d + SPAN]))
             code = np.array(code, np.uint64).view(np.int64)
             cells = [pa.array(bucket, pa.int64()), pa.array(code), pa.array(name, pa.int64()), pa.array(low, pa.int64())]
             yield pa.RecordBatch.from_arrays(cells, ["bucket", "code", "id", "lo"])
 
 
+def _crowded(parts: DataFrame) -> DataFrame:
+    """Marks of the runs of crowded buckets (``bucket, id, run, part``), which no task needs to hold.
+
+    Cells of equal bytes are repeated as a whole. Cells whose core is met once hold nothing
+    repeated. Of the others, at the edges of what is repeated, each window is counted.
+    """
+    cells = "bucket long, id long, run long, cell long, lo long, hi long, core long, code long"
+    cells = stage(parts.mapInArrow(_list_cells, cells), "repeat-cells")
+    same = cells.groupBy("bucket", "core", "code").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "run", "cell")).alias("one")
+    )
+    same = stage(same, "repeat-same")
+    whole = same.filter("n > 1").select("bucket", "core", "code")
+    marks = cells.join(whole, ["bucket", "core", "code"]).select("id", "lo", "hi")
+    cores = same.groupBy("bucket", "core").agg(F.count("*").alias("codes"), F.min("n").alias("least"))
+    cores = stage(cores.filter("codes > 1 and least = 1").select("bucket", "core"), "repeat-cores")
+    asked = same.join(cores, ["bucket", "core"]).select("bucket", "one.*")
+    asked = asked.groupBy("bucket", "id", "run").agg(F.collect_list("cell").alias("asked"))
+    windows = parts.join(asked, ["bucket", "id", "run"]).select("bucket", "id", "run", "part", "asked")
+    windows = stage(windows.mapInArrow(_list_windows, "bucket long, code long, id long, lo long"), "repeat-windows")
+    twice = windows.groupBy("bucket", "code").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "code")
+    many = windows.join(twice, ["bucket", "code"]).select("id", "lo", F.col("lo").alias("hi"))
+    return marks.union(many)
+
+
 def repeats(rows: DataFrame) -> DataFrame:
     """``id, lo, hi`` for ``rows`` (``id`` long, ``text`` binary): all windows that start from ``lo`` to ``hi`` are repeated.
 
@@ -275,6 +331,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     """
     listed = stage(rows.mapInArrow(_list_runs, "bucket long, content long, id long, run long"), "repeat-runs")
     often = listed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    often = stage(often, "repeat-often")  # a table of its own, so that the join can split a bucket that many rows have
     listed = stage(listed.join(often, "bucket"), "repeat-buckets")
     distinct = listed.groupBy("bucket", "content").agg(
         F.count("*").alias("n"), F.min(F.struct("id", "run")).alias("one")
@@ -294,11 +351,9 @@ def repeats(rows: DataFrame) -> DataFrame:
     parts = stage(parts, "repeat-parts")
     few = parts.filter("not crowded").select("bucket", "id", "run", "part")
     few = few.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets, "id long, lo long, hi long")
-    windows = parts.filter("crowded").select("bucket", "id", "run", "part")
-    windows = windows.mapInArrow(_list_windows, "bucket long, code long, id long, lo long")
-    twice = windows.groupBy("bucket", "code").agg(F.count("*").alias("n")).filter("n > 1").select("bucket", "code")
-    many = windows.join(twice, ["bucket", "code"]).select("id", "lo", F.col("lo").alias("hi"))
-    return marks.union(few).union(many)
+    crowded = parts.filter("crowded").select("bucket", "id", "run", "part")
+    marks = marks.union(few)
+    return marks if crowded.isEmpty() else marks.union(_crowded(crowded))
 
 
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
