@@ -129,7 +129,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
             (~failed & (p["l"]["words_left"] >= (1 - MOST_LOST) * n)).alias("kept"),
         )
 
-    return docs.withColumn("__quality", let(parts, verdict))
+    # Exploding one row to one row: what is made here is not made again for each filter or column above.
+    return docs.select("*", F.explode(F.array(let(parts, verdict))).alias("__quality"))
 
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
