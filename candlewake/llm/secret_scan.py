@@ -42,6 +42,9 @@ _NAMES = "|".join(any_case(n) for n in ("password", "passwd", "secret", "token",
 _VALUE = "[A-Za-z0-9+/_.=-]"
 _ALNUM = "[A-Za-z0-9]"
 _BASE64URL = "[A-Za-z0-9_-]"
+_USER = "[A-Za-z0-9_.!$%^*+~&=-]"
+_PASSWORD = "[A-Za-z0-9_.!$%^*+~&=,;:'()-]"
+_HOST = "[A-Za-z0-9.-]"
 
 #: The kinds of the contract, in its order.
 BASE = (
@@ -58,6 +61,7 @@ MORE = (
     Rule("stripe", f"[sr]k_live_{_ALNUM}", _ALNUM, 24),
     Rule("jwt", rf"eyJ{_BASE64URL}+\.eyJ", "[A-Za-z0-9_.-]", 30),
     Rule("bearer", rf"{any_case('bearer')}\x20+({_VALUE})", _VALUE, 20, 1),
+    Rule("url_login", rf"://{_USER}*:{_PASSWORD}+@{_HOST}", _HOST),
 )
 RULES = BASE + MORE
 
