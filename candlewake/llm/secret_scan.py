@@ -42,6 +42,7 @@ _NAMES = "|".join(any_case(n) for n in ("password", "passwd", "secret", "token",
 _VALUE = "[A-Za-z0-9+/_.=-]"
 _ALNUM = "[A-Za-z0-9]"
 _BASE64URL = "[A-Za-z0-9_-]"
+_KEY = "[A-Z ]*PRIVATE KEY-----"
 _USER = "[A-Za-z0-9_.!$%^*+~&=-]"
 _PASSWORD = "[A-Za-z0-9_.!$%^*+~&=,;:'()-]"
 _HOST = "[A-Za-z0-9.-]"
@@ -54,13 +55,15 @@ BASE = (
 )
 #: Published token formats of common services, and keys inside texts.
 MORE = (
-    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", f"-----BEGIN {_KEY}"),
     Rule("github", f"gh[pousr]_{_ALNUM}", _ALNUM, 40),
     Rule("slack", f"xox[abprs]-{_ALNUM}", "[A-Za-z0-9-]", 15),
     Rule("google", f"AIza{_BASE64URL}", _BASE64URL, 39),
     Rule("stripe", f"[sr]k_live_{_ALNUM}", _ALNUM, 24),
     Rule("jwt", rf"eyJ{_BASE64URL}+\.eyJ", "[A-Za-z0-9_.-]", 30),
     Rule("bearer", rf"{any_case('bearer')}\x20+({_VALUE})", _VALUE, 20, 1),
+    # The whole key up to its END line, as it is or as a string in code; no body holds two dashes in a row.
+    Rule("private_key_block", rf"""-----BEGIN {_KEY}(-?[A-Za-z0-9+/=\x20\x09-\x0D\\:,"'])*-----END {_KEY}"""),
     Rule("url_login", rf"://{_USER}*:{_PASSWORD}+@{_HOST}", _HOST),
 )
 RULES = BASE + MORE
