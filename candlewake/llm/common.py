@@ -42,6 +42,11 @@ def sized(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def row_id(key: str, text: str) -> Column:
+    """A number for a row by its key, which may be null or repeated, and its text; no text counts as an empty one."""
+    return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def crc_bucket(key: str, n: int) -> Column:
     """crc32 of the key as text, modulo ``n``; a null key counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewake.llm.common import let, lower_ascii, sized, words_of
+from candlewake.llm.common import let, lower_ascii, row_id, sized, words_of
 from candlewake.session import stage
 
 SHINGLE = 5
@@ -124,7 +124,12 @@ def contaminated(
 
 
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns as they are."""
-    bad = contaminated(docs, items, key, text, item_key).select(F.col("id").alias("__bad")).distinct()
-    bad = sized(bad, "bench-bad")
-    return docs.join(bad, docs[key].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` that hold no item, all columns as they are.
+
+    Null and repeated keys pool nothing here: each row is judged by its own text, and
+    each text of ``items`` is an item.
+    """
+    rows = docs.withColumn("__row", row_id(key, text))
+    tests = items.select(row_id(item_key, text).alias("__item"), text).distinct()
+    bad = contaminated(rows, tests, "__row", text, "__item").select(F.col("id").alias("__row")).distinct()
+    return rows.join(sized(bad, "bench-bad"), "__row", "left_anti").select(*docs.columns)

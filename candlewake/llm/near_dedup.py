@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from candlewake.llm.common import sized
+from candlewake.llm.common import row_id, sized
 from candlewake.session import scratch, stage
 
 SHINGLE = 5
@@ -272,9 +272,17 @@ def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they are; of rows that repeat a key, one."""
-    kept = groups(docs, key, text).filter("kept and id is not null").select(F.col("id").alias("__id")).distinct()
-    rows = docs.join(kept, docs[key] == kept["__id"], "left_semi")
-    number = Window.partitionBy(key).orderBy(F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    keyed = rows.withColumn("__number", F.row_number().over(number)).filter("__number = 1")
-    return keyed.select(*docs.columns)
+    """Of each group of near-duplicates one row of ``docs``, all columns as they are.
+
+    Rows are told apart by key and text, so that null and repeated keys are no reason to
+    lose a text. The row of the smallest key stays, one without a key only if no row of its
+    group has one. Texts without words are alike only in rows of one key; of equal rows one stays.
+    """
+    rows = docs.withColumn("__row", row_id(key, text))
+    with scratch(docs.sparkSession):
+        comps = groups(rows, "__row", text).select(F.col("id").alias("__row"), "component_id").distinct()
+        named = rows.select("__row", F.col(key).alias("__key")).distinct()
+        rank = F.struct(F.col("__key").isNull(), "__key", "__row")
+        first = named.join(comps, "__row").groupBy("component_id").agg(F.min(rank).alias("first"))
+        kept = stage(first.select(F.col("first.__row")), "near-kept", keep=True)
+    return rows.dropDuplicates(["__row"]).join(kept, "__row", "left_semi").select(*docs.columns)

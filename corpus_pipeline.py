@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays; rows without an id go."""
+    """Of each group of near-duplicates the document of the smallest id stays; one without an id if none has one."""
     return near_dedup.one_of_each(docs)
 
 

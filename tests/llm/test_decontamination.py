@@ -45,3 +45,15 @@ def test_null_keys_and_extra_columns(spark):
     items = spark.createDataFrame([(1, text), (None, text)], "item_id long, text string")
     assert {(r.id, r.item_id) for r in D.contaminated(docs, items).collect()} == {(None, 1), (None, None), (2, 1), (2, None)}
     assert [tuple(r) for r in D.clean(docs, items).collect()] == [(3, "nothing of that", 1)]
+
+
+def test_rows_of_one_key_are_cleaned_one_by_one(spark):
+    item = [f"w{i}" for i in range(40)]
+    parts = [" ".join(item[:22]), " ".join(item[18:])]
+    rows = [(k, t) for k in (None, 1) for t in (*parts, " ".join(item), "nothing of that", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"{x} " + " ".join(item)) for i in (None, 5) for x in ("a", "b c d e f g h")], "item_id long, text string")
+    got = [tuple(r) for r in D.clean(docs, items).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[1] != " ".join(item)), key=str)
+    far = spark.createDataFrame([(None, " ".join(item)), (None, " ".join(f"v{i}" for i in range(90)))], "item_id long, text string")
+    assert D.clean(docs, far).count() == 8

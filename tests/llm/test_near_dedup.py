@@ -70,6 +70,19 @@ def test_chains_copies_and_odd_rows(spark):
     )
 
 
+def test_null_and_repeated_keys_lose_no_text(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [
+        (None, "alone without a key", 1), (None, "another one without a key", 2), (None, None, 3), (None, near, 4),
+        (7, "one text of this key", 5), (7, "quite unlike the other text", 6), (7, near + " x", 7), (9, near, 8),
+        (0, "met twice", 9), (0, "met twice", 9), (None, "no key twice", 10), (None, "no key twice", 10),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    assert sorted(tuple(r)[2] for r in N.one_of_each(docs).collect()) == [1, 2, 3, 5, 6, 7, 9, 10]
+    names = docs.withColumn("doc_id", N.F.concat(N.F.lit("d"), "doc_id"))
+    assert sorted(r.id for r in N.one_of_each(names).collect()) == [1, 2, 3, 5, 6, 7, 9, 10]
+
+
 def test_a_crowd_of_copies_around_an_original(spark):
     """Copies are near the original, which has no small id, but seldom near each other."""
     rng = random.Random(8)
