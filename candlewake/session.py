@@ -6,12 +6,14 @@ import atexit
 import contextlib
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders this process has staged tables in, by application.
 _made: dict[str, set[str]] = {}
-_kept: set[str] = set()
+#: The folders of the open ``scratch`` scopes of this thread, innermost last.
+_scopes: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -38,14 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the process ends."""
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path in the shared folder, removed with its ``scratch`` scope or when the process ends.
+
+    With ``keep`` it belongs to the scope around the innermost one.
+    """
     path = f"{shared_dir(spark)}/candlewake/{name}-{uuid.uuid4().hex}"
     app = spark.sparkContext.applicationId
     if app not in _made:
         _made[app] = set()
         atexit.register(_at_exit, spark)
     _made[app].add(path)
+    scopes = _scopes.get()[:-1] if keep else _scopes.get()
+    if scopes:
+        scopes[-1].add(path)
     return path
 
 
@@ -66,11 +74,17 @@ def _at_exit(spark: SparkSession) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end what was staged inside, but for tables staged with ``keep``."""
-    before = set(_made.get(spark.sparkContext.applicationId, ()))
-    yield
-    inside = _made.get(spark.sparkContext.applicationId, set()) - before
-    discard(spark, *(inside - _kept))
+    """Delete at the end, also after an error, what this thread staged inside.
+
+    Tables staged with ``keep`` pass to the scope around this one.
+    """
+    inside: set[str] = set()
+    token = _scopes.set((*_scopes.get(), inside))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        discard(spark, *inside)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
@@ -80,9 +94,7 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None, keep:
     checkpoint its readers still prune columns.
     """
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    if keep:
-        _kept.add(path)
+    path = fresh_path(spark, name, keep)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
