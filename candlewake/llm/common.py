@@ -42,6 +42,29 @@ def sized(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+#: Parts over which the rows of a frequent key are dealt.
+PARTS = 256
+
+
+def spread_join(
+    rows: DataFrame, lookup: DataFrame, on: list[str], weight: str, total: int, by: Column, how: str = "inner"
+) -> DataFrame:
+    """``rows`` joined to ``lookup`` without ``weight``'s frequent keys falling to one task.
+
+    ``lookup`` is staged and has one row for each key ``on``, which ``weight`` of the ``total`` rows carry.
+    A small one is broadcast. Else keys of over ``total / PARTS`` rows, fewer than ``PARTS`` of them, are
+    dealt over ``PARTS`` copies by the hash ``by``.
+    """
+    if lookup.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup), on, how)
+    heavy = F.col(weight) * PARTS > total
+    hot = F.broadcast(lookup.filter(heavy).select(*on, F.lit(True).alias("__hot")))
+    part = F.when(F.col("__hot"), F.pmod(by, F.lit(PARTS))).otherwise(0).cast("int")
+    dealt = rows.join(hot, on, "left").withColumn("__part", part)
+    copies = F.when(heavy, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(lookup.withColumn("__part", F.explode(copies)), [*on, "__part"], how).drop("__hot", "__part")
+
+
 def row_id(key: str, text: str) -> Column:
     """A number for a row by its key, which may be null or repeated, and its text; no text counts as an empty one."""
     return F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary"))

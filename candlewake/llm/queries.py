@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
+from candlewake.llm import decontamination, exact_dedup, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -183,3 +183,17 @@ def op9_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
+)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+@R.add(_OP13)
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
