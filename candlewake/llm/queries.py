@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, exact_dedup, language_crf, lattice_lm, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
+from candlewake.llm import decontamination, exact_dedup, language_crf, lattice_lm, lexical_search, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -197,3 +197,35 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 @R.add(_OP13)
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), n AS (SELECT rid, doc_id, len(ts) AS n, ts FROM d WHERE len(ts) > 0),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+i AS (
+  SELECT row_number() OVER () AS iid, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), q AS (SELECT iid, item_id, term, count(*) AS times FROM (SELECT iid, item_id, unnest(ts) AS term FROM i) GROUP BY ALL),
+p AS (
+  SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM n)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), f AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, a GROUP BY term, docs),
+s AS (
+  SELECT iid, item_id, rid, doc_id,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN f USING (term) JOIN n USING (rid), a GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@R.add(_OP11)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, items).withColumnRenamed("id", "doc_id")
