@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewake.llm import decontamination, exact_dedup, language_crf, lattice_lm, lexical_search, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
+from candlewake.llm import conversation_trie, decontamination, exact_dedup, language_crf, lattice_lm, lexical_search, line_quality, mixing, near_dedup, quality_classifier, secret_scan, substring_dedup, warc
 from candlewake.llm.common import table
 from candlewake.plans.registry import Registry
 
@@ -229,3 +229,45 @@ FROM s WHERE score > 0 QUALIFY rank <= 20
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return lexical_search.search(docs, items).withColumnRenamed("id", "doc_id")
+
+
+_OP12 = r"""
+WITH RECURSIVE c AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+z AS (
+  SELECT c, 0 AS j, 4294967295::BIGINT AS x FROM c
+  UNION ALL
+  SELECT c, j + 1, CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END
+  FROM (SELECT c, j, CASE WHEN j % 8 = 0 THEN xor(x, ascii(substr(c::VARCHAR, j // 8 + 1, 1))::BIGINT) ELSE x END AS y FROM z WHERE j < 8 * length(c::VARCHAR))
+), t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS key, strlen(coalesce(text, ''))::BIGINT AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), len AS (SELECT c AS b, count(*) AS n FROM t GROUP BY c),
+i AS (
+  SELECT c, h, c - c % 5 AS b, least(h, coalesce(n, 0)) AS k
+  FROM (SELECT c, xor(x, 4294967295::BIGINT) % 9 AS h FROM z WHERE j = 8 * length(c::VARCHAR)) LEFT JOIN len ON b = c - c % 5
+), r AS (
+  SELECT i.c, t.pos AS d, key, size FROM i JOIN t ON t.c = i.b AND t.pos <= i.k
+  UNION ALL SELECT i.c, t.pos - h + k, key, size FROM i JOIN t ON t.c = i.c AND t.pos > h
+), p AS (
+  SELECT c, d, size, string_agg(key, '') OVER (PARTITION BY c ORDER BY d) AS path FROM r
+  UNION ALL SELECT c, 0, 0, '' FROM c
+), n AS (SELECT path, d, min(c) AS m, count(*) AS n, max(size) AS size FROM p GROUP BY path, d),
+u AS (SELECT left(path, 64 * (d - 1)::INT) AS path, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL),
+s AS (
+  SELECT x.path, sum((y.n - 1) * y.size)::BIGINT AS saved, count(*) FILTER (u.k IS NULL) AS leaves
+  FROM n x JOIN n y ON starts_with(y.path, x.path) LEFT JOIN u ON u.path = y.path GROUP BY x.path
+), e AS (
+  SELECT path, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS sha FROM (SELECT c, path FROM p QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY path
+)
+SELECT n.m AS conv_id, n.d::BIGINT AS depth, q.m AS parent_conv_id, n.n AS n_convs, coalesce(u.k, 0) AS n_children, s.leaves AS n_leaves,
+       s.saved AS saved_tokens, coalesce(e.sha, sha256('')) AS ends_sha256
+FROM n JOIN s USING (path) LEFT JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n q ON n.d > 0 AND q.path = left(n.path, 64 * (n.d - 1)::INT)
+"""
+
+
+@R.add(_OP12)
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.col("conv") - F.col("conv") % 5
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"), base, head).drop("ref")
