@@ -26,6 +26,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from candlewake.llm.common import crc_bucket, lower_ascii, words_of
 from candlewake.session import stage
@@ -131,7 +132,6 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
         model = f.read()
     held = crc_bucket(key, FOLDS) == HELD_OUT
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), held.alias("held_out"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
     words = stage(word_counts(rows.select((~F.col("held_out")).alias("train"), "text")), "lm-words")
     ends = rows.filter("not held_out").count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
@@ -154,13 +154,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     head = spark.sparkContext.broadcast({r.word.encode(): (r.base, r.lattice) for r in frequent})
     at_end = (1, int(ends > 0), base(ends), end_score / math.log(10))
 
+    kind = to_arrow_type(rows.schema["id"].dataType)
+
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
                 ids, keys, tokens, hits, bases, lattices = [], [], [], [], [], []
-                for i, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for i, data in zip(part.column("row").to_pylist(), part.column("text").to_pylist(), strict=True):
                     n, k, b, s = at_end
                     for w, times in Counter((data or b"").lower().split()).items():
                         if (found := known.get(w)) is None:
@@ -180,23 +182,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
                 cells = [
                     pa.array(ids, pa.int64()), pa.array(keys, pa.binary()).cast(pa.string()),
                     pa.array(tokens, pa.int64()), pa.array(known_n), pa.array(bases), pa.array(lattices),
+                    pa.concat_arrays([pa.nulls(m, kind), part.column("id").cast(kind)]),
+                    pa.concat_arrays([pa.nulls(m, pa.bool_()), part.column("held_out")]),
                 ]
-                yield pa.RecordBatch.from_arrays(cells, ["row", "word", "tokens", "known", "b", "l"])
+                yield pa.RecordBatch.from_arrays(cells, ["row", "word", "tokens", "known", "b", "l", "id", "held_out"])
 
-    split = rows.select("row", F.col("text").cast("binary")).mapInArrow(
-        parts, "row long, word string, tokens long, known long, b double, l double"
-    )
+    # Row numbers hold only within one run over the documents, so they are given and written once.
+    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", F.col("text").cast("binary"))
+    shape = f"row long, word string, tokens long, known long, b double, l double, id {rows.schema['id'].dataType.simpleString()}, held_out boolean"
+    split = stage(numbered.mapInArrow(parts, shape), "lm-split")
     times = lambda c: F.coalesce(F.col(c) * F.col("tokens"), F.lit(0.0))
     sums = (
         split.join(words, "word", "left")
         .groupBy("row")
         .agg(
+            F.max("id").alias("id"),
+            F.max("held_out").alias("held_out"),
             F.sum("tokens").alias("n_tokens"),
             F.sum(F.col("known") + F.when(F.col("n") > 0, F.col("tokens")).otherwise(0)).alias("n_known"),
             F.sum(F.col("b") + times("base")).alias("base_score"),
             F.sum(F.col("l") + times("lattice")).alias("score"),
         )
     )
-    return rows.select("row", "id", "held_out").join(sums, "row").select(
+    return sums.select(
         "id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )

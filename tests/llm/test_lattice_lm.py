@@ -58,3 +58,39 @@ def test_odd_rows(spark):
     got = L.score(docs).collect()
     assert sorted(r.n_tokens for r in got) == [1, 1, 2, 2, 3, 3]
     assert L.score(docs.limit(0)).collect() == []
+
+
+def test_every_row_comes_back_after_a_shuffle(spark, monkeypatch):
+    """Small partitions that adaptive execution puts together by their own sizes; scores are sums over words."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    asked = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in asked}
+    want = {r.id: r for r in L.score(docs).collect()}
+    words = {r.doc_id: (r.text or "").encode().lower().split() for r in docs.collect()}
+    try:
+        for k, v in asked.items():
+            spark.conf.set(k, v)
+        ways = (docs.repartition("doc_id"), docs.orderBy("doc_id"), docs.join(docs.select("doc_id").distinct(), "doc_id"))
+        for way in ways:
+            got = L.score(way).collect()
+            assert len(got) == len(want)
+            for r in got:
+                assert (r.held_out, r.n_tokens, r.n_known) == (want[r.id].held_out, len(words[r.id]) + 1, want[r.id].n_known)
+                assert r.score == pytest.approx(want[r.id].score) and r.base_score == pytest.approx(want[r.id].base_score)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_text_scores_are_sums_of_word_scores(spark, monkeypatch):
+    """``score`` against the lattice of each token, fitted as the query fits it."""
+    made = []
+    fit = L.lattice_of
+    monkeypatch.setattr(L, "lattice_of", lambda *a: made.append(fit(*a)) or made[-1])
+    rows = [(i, f"some words {i} Übung x{i % 3}" * (i % 4)) for i in range(30)] + [(40, None), (None, "no key")]
+    got = {r.id: r.score for r in L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lattice, end = made[0]
+    for d, t in rows:
+        tokens = [w.decode() for w in (t or "").encode().lower().split()]
+        assert got[d] == pytest.approx((sum(lattice.word(w) for w in tokens) + end) / math.log(10))
