@@ -80,7 +80,7 @@ class _Compiled:
 
 
 @functools.lru_cache(maxsize=8)
-def _compiled(rules: tuple[Rule, ...]) -> _Compiled:
+def compiled_rules(rules: tuple[Rule, ...]) -> _Compiled:
     chars = [bytes(b for b in range(128) if r.tail and re.match(r.tail, chr(b))) for r in rules]
     return _Compiled(
         compile_rules([r.core for r in rules]),
@@ -102,9 +102,11 @@ def _start(back: Automaton, data: bytes, end: int, floor: int) -> int:
     return found
 
 
-def find(text: bytes, rules: tuple[Rule, ...], compiled: _Compiled | None = None) -> list[tuple[int, int, int]]:
-    """(start, end, index of the rule) of the matches in UTF-8 bytes, leftmost and apart for each rule."""
-    compiled = compiled or _compiled(rules)
+def find(text: bytes, rules: tuple[Rule, ...], compiled: _Compiled) -> list[tuple[int, int, int]]:
+    """(start, end, index of the rule) of the matches in UTF-8 bytes, leftmost and apart for each rule.
+
+    ``compiled`` comes from :func:`compiled_rules`; tasks get it from the driver.
+    """
     table, s, accepting = compiled.forward.table, compiled.forward.start, compiled.forward.accepting
     hits = []
     for i, c in enumerate(text.translate(compiled.forward.classes)):
@@ -138,7 +140,7 @@ def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
     Offsets are code points, the end exclusive. A null or empty text has none.
     """
-    compiled = _compiled(rules)
+    compiled = compiled_rules(rules)
 
     @F.arrow_udf(SPANS)
     def scan(texts: pa.Array) -> pa.Array:

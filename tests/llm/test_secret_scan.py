@@ -25,18 +25,18 @@ def test_spans_equal_regular_expressions(seed):
         text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(0, 25)))
         data = text.encode()
         got = {}
-        for a, b, k in S.find(data, S.RULES):
+        for a, b, k in S.find(data, S.RULES, S.compiled_rules(S.RULES)):
             got.setdefault(k, []).append((len(data[:a].decode()), len(data[:b].decode())))
         for k, rule in enumerate(S.RULES):
             assert got.get(k, []) == brute(text, rule), (text, rule.kind)
 
 
 def test_a_short_match_uses_up_its_text():
-    assert S.find(b"password=secret :ABCDEFGHIJKLMNOP", S.BASE) == []
+    assert S.find(b"password=secret :ABCDEFGHIJKLMNOP", S.BASE, S.compiled_rules(S.BASE)) == []
 
 
 def found(text: str) -> set[tuple[str, str]]:
-    return {(S.RULES[k].kind, text[a:b]) for a, b, k in S.find(text.encode(), S.RULES)}
+    return {(S.RULES[k].kind, text[a:b]) for a, b, k in S.find(text.encode(), S.RULES, S.compiled_rules(S.RULES))}
 
 
 def test_passwords_in_urls():
