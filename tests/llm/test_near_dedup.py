@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from candlewake.llm import near_dedup as N
 from candlewake.llm.queries import R
@@ -97,6 +98,56 @@ def test_a_crowd_of_copies_around_an_original(spark):
     assert {r.id: (r.n_shingles, r.component_id) for r in N.groups(docs).collect()} == brute(rows)
 
 
+def edited(n, seed=3):
+    """Texts of 120 words with three edits each: similar, but most pairs are under the threshold."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for j in rng.sample(range(120), 3):
+            words[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [40, 1024])
+def test_a_crowd_under_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(N, "BLOCK", block)
+    sent = {}
+    for n in (200, 400):
+        rows = edited(n)
+        monkeypatch.setattr(N, "_surviving", watched := watch(N._surviving))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = N.groups(docs).collect()
+        assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+        sent[n] = watched.rows
+        monkeypatch.undo()
+        monkeypatch.setattr(N, "BLOCK", block)
+    assert sent[400] <= 3 * sent[200]
+
+
+def watch(fn):
+    def run(pairs, nodes):
+        out = fn(pairs, nodes)
+        run.rows += out.count()
+        return out
+
+    run.rows = 0
+    return run
+
+
+def test_counts_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for size in (1, 5, 60, 3000):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            keep = rng.random(len(a)) < rng.choice([0.7, 0.86, 0.95])
+            b = np.unique(np.concatenate([a[keep], rng.integers(0, 2**64, int((~keep).sum()) // 2, np.uint64)]))
+            if len(b) and N.linked(a, b):
+                assert N.may_link(len(a), N.cell_counts(a), len(b), N.cell_counts(b))
+
+
 def test_posterior_bound_follows_the_beta_distribution():
     rng = np.random.default_rng(1)
     for n, least in zip(range(16, 129, 16), N.least_matches(75, 1e-3), strict=True):
