@@ -21,7 +21,8 @@ def forward_label(
 ) -> DataFrame:
     """Buy, sell or hold by the move over the next ``bars_ahead`` bars, in pips.
 
-    The threshold is fixed, or a multiple of ``atr_14``. Bars without a future drop out.
+    The threshold is fixed, or a multiple of ``atr_14``. ``forward_return`` is the move itself, a
+    difference of prices. Bars without a future drop out.
     """
     keys = keys or ["symbol"]
     b = indexed_blocks(
@@ -42,7 +43,7 @@ def forward_label(
     )
     return (
         out.where(F.col("forward_close").isNotNull())
-        .withColumn("forward_return", F.try_divide("forward_close", "close") - 1)
+        .withColumn("forward_return", F.col("forward_close") - F.col("close"))
         .withColumn("forward_return_pips", move)
         .withColumn("target", target)
         .withColumn("target_class", target_class(F.col("target")))

@@ -84,15 +84,18 @@ def fit_tabular(train: DataFrame, features: list[str], label: str = "target_clas
 
 def fit_boosted(
     train: DataFrame, features: list[str], label: str = "target_class",
-    boosts: int = FULL.boosts, depth: int = FULL.depth, seed: int = 42,
+    boosts: int = FULL.boosts, depth: int = FULL.depth, step: float = 0.1, sample: float = 1.0, seed: int = 42,
 ) -> PipelineModel:
-    """Boosted trees, one class against the others, beside the forest."""
+    """Boosted trees, one class against the others, beside the forest; ``step`` is the learning rate."""
     complete = train.dropna(subset=[*features, label])
     weighted = complete.withColumn("_weight", class_weight(F.col(label)))
-    one = GBTClassifier(maxIter=boosts, maxDepth=depth, seed=seed, featuresCol="_features", labelCol=label)
+    one = GBTClassifier(
+        maxIter=boosts, maxDepth=depth, stepSize=step, subsamplingRate=sample, seed=seed,
+        featuresCol="_features", labelCol=label,
+    )
     every = OneVsRest(
         classifier=one, featuresCol="_features", labelCol=label, weightCol="_weight",
-        rawPredictionCol="_raw", predictionCol="_prediction",
+        predictionCol="_prediction",
     )
     assemble = VectorAssembler(inputCols=features, outputCol="_features")
     return Pipeline(stages=[assemble, every]).fit(weighted)
@@ -138,7 +141,7 @@ def score(model: PipelineModel, df: DataFrame, prefix: str = "") -> DataFrame:
     if "_probability" in out.columns:
         p = vector_to_array("_probability")
     else:  # one against the others: the margins as chances of their own, made to add up
-        own = F.transform(vector_to_array("_raw"), lambda m: 1 / (1 + F.exp(-2 * m)))
+        own = F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m)))
         p = F.transform(own, lambda x: x / F.aggregate(own, F.lit(0.0), lambda a, v: a + v))
     scored = out.select(
         *df.columns,

@@ -395,7 +395,7 @@ def feature_column_selection(spark: SparkSession, sf: str) -> DataFrame:
 
 # Labels, cuts, sequences -------------------------------------------------------------
 
-_LABELLED = f"""lab AS (SELECT symbol, ts, close, forward_close, forward_close / close - 1 AS forward_return,
+_LABELLED = f"""lab AS (SELECT symbol, ts, close, forward_close, forward_close - close AS forward_return,
   (forward_close - close) * (CASE WHEN symbol LIKE '%JPY%' THEN 100.0 ELSE 10000.0 END) AS pips, lim
   FROM (SELECT *, lead(close, 6) OVER (PARTITION BY symbol ORDER BY ts) AS forward_close, {{lim}} AS lim FROM {{src}})
   WHERE forward_close IS NOT NULL),

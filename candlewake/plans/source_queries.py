@@ -32,6 +32,23 @@ def bar_table_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "timeframe", "ts", *bar_source.OHLCV)
 
 
+_SNAPSHOTS = ["1994-01-01", "1996-01-01", "1998-01-01"]
+
+
+@R.add(
+    f"""{q.with_(q.BARS)} SELECT symbol, '1D' AS timeframe, ts, open, high, low, close, volume, '{_SNAPSHOTS[-1]}' AS snapshot_date
+    FROM bars WHERE ts < TIMESTAMP '{_SNAPSHOTS[-1]}'"""
+)
+def bar_table_newest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Three snapshots of what was known by then; the newest is read back."""
+    path = fresh_path(spark, "snapshots")
+    known = F.filter(F.array(*[F.lit(d) for d in _SNAPSHOTS]), lambda d: F.col("ts") < d.cast("timestamp"))
+    bars = inputs.bars(spark, sf).withColumn("timeframe", F.lit("1D"))
+    bars.withColumn("snapshot_date", F.explode(known)).write.partitionBy("snapshot_date", "timeframe").parquet(path)
+    out = bar_source.read_bars(spark, path, "1D", snapshot="latest")
+    return out.select("symbol", "timeframe", "ts", *bar_source.OHLCV, "snapshot_date")
+
+
 @R.add(
     f"""{q.with_(q.BARS)} SELECT symbol, '1D' AS timeframe, ts, open, high, low, close, volume FROM bars"""
 )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
-from candlewake.operators import folds, labels, learning, metrics, sentiment, stats
+from candlewake.operators import folds, labels, learning, metrics, sentiment, stats, trees
 from candlewake.operators import indicators as ind
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
@@ -212,9 +212,40 @@ def _checked(df: DataFrame, *more: str) -> DataFrame:
 
 @R.add(f"{q.with_(q.FEATURES, _ROWS)} SELECT symbol, ts, fold, 1.0::DOUBLE AS total, true AS likeliest FROM training")
 def tabular_model_scores(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training_rows(spark, sf)
-    model = learning.fit_tabular(rows.where(F.col("fold") < SPLITS - 1), FEATURES, trees=SIZES.trees, depth=SIZES.depth)
-    return _checked(learning.score(model, rows), "fold")
+    """What :func:`tabular_model_probabilities` must fulfil."""
+    return _checked(tabular_model_probabilities(spark, sf), "fold")
+
+
+def _early_nodes(spark: SparkSession, sf: str, boosted: bool) -> DataFrame:
+    """The trees fitted on all folds but the last, as a node table."""
+    early = training_rows(spark, sf).where(F.col("fold") < SPLITS - 1)
+    if boosted:
+        return trees.nodes(learning.fit_boosted(early, FEATURES, boosts=SIZES.boosts, depth=SIZES.meta_depth))
+    return trees.nodes(learning.fit_tabular(early, FEATURES, trees=SIZES.trees, depth=SIZES.depth))
+
+
+def _probabilities(spark: SparkSession, sf: str, boosted: bool) -> DataFrame:
+    rows = training_rows(spark, sf).select("symbol", "ts", "fold", "target_class", *FEATURES)
+    scored = trees.score(_early_nodes(spark, sf, boosted), rows, FEATURES, learning.PROBS)
+    return scored.select("symbol", "ts", "fold", "target_class", *learning.PROBS, "predicted")
+
+
+@R.add()
+def tabular_model_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Class chances of every row, worked out from the exported nodes of the forest."""
+    return _probabilities(spark, sf, boosted=False)
+
+
+@R.add()
+def tabular_model_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted forest as rows."""
+    return _early_nodes(spark, sf, boosted=False)
+
+
+@R.add()
+def boosted_model_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Class chances from the margins of boosted trees, one class against the others."""
+    return _probabilities(spark, sf, boosted=True)
 
 
 @R.add(
@@ -235,25 +266,46 @@ def sequence_model_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(f"{q.with_(q.FEATURES, _ROWS)} SELECT symbol, count(*) AS samples, true AS bounded FROM training WHERE fold = {SPLITS - 1} GROUP BY symbol")
 def stacked_model_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Out-of-fold base learners, a second classifier on them, and its metrics per symbol."""
-    rows = training_rows(spark, sf)
-    oof = stage(
-        learning.out_of_fold(rows, FEATURES, SEQUENCE_FEATURES, SPLITS, trees=SIZES.trees, depth=SIZES.depth), "oof"
-    )
-    stack = learning.fit_stack(oof.where((F.col("fold") >= 0) & (F.col("fold") < SPLITS - 1)))
-    test = learning.score(stack, oof.where(F.col("fold") == SPLITS - 1))
-    judged_ = test.select("symbol", F.col("target_class").alias("truth"), F.col("predicted").alias("pred"))
-    out = metrics.summary_metrics(judged_, ["symbol"])
+    """What :func:`stacked_model_metric_values` must fulfil."""
+    out = stacked_model_metric_values(spark, sf)
     names = ["balanced_accuracy", "f1_score", "accuracy"]
     bounded = F.forall(F.array(*names), lambda x: x.between(0, 1))
     return out.select("symbol", "samples", bounded.alias("bounded"))
 
 
+@R.add()
+def stacked_model_probabilities(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold chances of both base learners for every row, and those of the second classifier on the last fold."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _stacked:
+        rows = training_rows(spark, sf)
+        oof = stage(
+            learning.out_of_fold(rows, FEATURES, SEQUENCE_FEATURES, SPLITS, trees=SIZES.trees, depth=SIZES.depth), "oof"
+        )
+        stack = learning.fit_stack(oof.where((F.col("fold") >= 0) & (F.col("fold") < SPLITS - 1)))
+        test = oof.select("symbol", "ts", "fold", "target_class", *learning.META)
+        last = F.col("fold") == SPLITS - 1
+        scored = trees.score(trees.nodes(stack), test.where(last), learning.META, learning.PROBS)
+        none = {n: F.lit(None).cast("double") for n in learning.PROBS} | {"predicted": F.lit(None).cast("int")}
+        _stacked[known] = stage(scored.unionByName(test.where(~last).withColumns(none)), "stacked")
+    return _stacked[known]
+
+
+_stacked: dict[tuple[str, str], DataFrame] = {}
+
+
+@R.add()
+def stacked_model_metric_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the stack by symbol, from its predictions on the last fold."""
+    test = stacked_model_probabilities(spark, sf).where(F.col("predicted").isNotNull())
+    judged_ = test.select("symbol", F.col("target_class").alias("truth"), F.col("predicted").alias("pred"))
+    return metrics.summary_metrics(judged_, ["symbol"])
+
+
 @R.add("SELECT (range + 1)::INT AS rank, true AS known, true AS falling FROM range(5)")
 def top_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    rows = training_rows(spark, sf)
-    model = learning.fit_tabular(rows, FEATURES, trees=SIZES.trees, depth=SIZES.depth)
-    top = stats.top_n(learning.feature_importance(model, FEATURES), "importance", 5, "feature")
+    """What the five largest of :func:`feature_importances` must fulfil."""
+    top = stats.top_n(feature_importances(spark, sf), "importance", 5, "feature")
     w = Window.orderBy(F.desc("importance"), "feature")  # five rows
     falling = F.coalesce(F.col("importance") <= F.lag("importance").over(w), F.lit(True))
     return top.select(
@@ -261,6 +313,13 @@ def top_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@R.add()
+def feature_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Gains of the exported nodes, added up by feature."""
+    model = learning.fit_tabular(training_rows(spark, sf), FEATURES, trees=SIZES.trees, depth=SIZES.depth)
+    return trees.importance(trees.nodes(model))
+
+
 @R.add(
     """SELECT p_brand AS feature, round(avg(p_retailprice), 4) AS importance FROM part GROUP BY p_brand
     ORDER BY importance DESC, feature LIMIT 5"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,9 @@ def read_bars(
 ) -> DataFrame:
     """Bars from a table partitioned by timeframe and symbol.
 
-    ``snapshot='latest'`` keeps the newest ``snapshot_date`` partition. Filters reach the
-    partition columns, so other partitions are not listed for reading. A symbol asked for
-    without any bars is an error.
+    ``snapshot='latest'`` keeps the newest ``snapshot_date`` partition, which the names of the folders
+    tell. Filters reach the partition columns, so other partitions are not listed for reading. A
+    symbol asked for without any bars is an error.
     """
     schema = BAR if snapshot is None else BAR + ", snapshot_date string"
     df = spark.read.schema(schema).parquet(path)
@@ -33,13 +35,29 @@ def read_bars(
     if symbols:
         df = df.where(F.col("symbol").isin(*symbols))
     if snapshot == "latest":
-        newest = df.select(F.max("snapshot_date")).first()[0]
-        df = df.where(F.col("snapshot_date") == newest)
+        df = df.where(F.col("snapshot_date") == newest_snapshot(spark, path, timeframe, symbols))
     elif snapshot:
         df = df.where(F.col("snapshot_date") == snapshot)
     return require_symbols(df, symbols) if symbols else df
 
 
+def newest_snapshot(
+    spark: SparkSession, path: str, timeframe: str | None = None, symbols: list[str] | None = None
+) -> str | None:
+    """The largest ``snapshot_date`` among the partition folders of ``path``, wherever it stands among them."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    newest = None
+    for above in ("", "/*", "/*/*"):
+        for found in files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}{above}/snapshot_date=*")) or ():
+            of = dict(unquote(x).split("=", 1) for x in found.getPath().toString().split("/") if "=" in x)
+            wanted = of.get("timeframe") in (None, timeframe or of.get("timeframe"))
+            wanted &= not symbols or of.get("symbol") is None or of["symbol"] in symbols
+            if wanted and (newest is None or of["snapshot_date"] > newest):
+                newest = of["snapshot_date"]
+    return newest
+
+
 def require_symbols(bars: DataFrame, symbols: list[str]) -> DataFrame:
     """Fail if a configured symbol has no bars; the check reads one row per symbol."""
     found = {
