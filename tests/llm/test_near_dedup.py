@@ -115,7 +115,7 @@ def edited(n, seed=3):
 def test_a_crowd_under_the_threshold(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
     sent = {}
-    for n in (200, 400):
+    for n in (100, 200):
         rows = edited(n)
         monkeypatch.setattr(N, "_surviving", watched := watch(N._surviving))
         docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -124,7 +124,7 @@ def test_a_crowd_under_the_threshold(spark, monkeypatch, block):
         sent[n] = watched.rows
         monkeypatch.undo()
         monkeypatch.setattr(N, "BLOCK", block)
-    assert sent[400] <= 3 * sent[200]
+    assert sent[200] <= 3 * sent[100]
 
 
 def watch(fn):
