@@ -61,13 +61,10 @@ isl AS (SELECT *, sum((kind = 0 AND profit > 0)::INT) OVER w AS island FROM move
 cnt AS (SELECT *, sum((kind = 0 AND profit < 0)::INT) OVER (PARTITION BY symbol, side, island ORDER BY ts, kind, id) AS losses FROM isl)"""
 
 
-@R.add(
-    f"""WITH {q.TICKS}, {_MOVES} SELECT symbol, side, ts, id FROM cnt WHERE kind = 1 AND losses = 0
-    QUALIFY row_number() OVER (PARTITION BY symbol, side, ts::DATE ORDER BY ts, id) = 1"""
-)
-def live_daily_limit(spark: SparkSession, sf: str) -> DataFrame:
+def _moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Deals and signals of the tick stream."""
     k = F.col("k")
-    moves = tick_stream(spark, sf).select(
+    return tick_stream(spark, sf).select(
         "symbol",
         F.when(k % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         "ts",
@@ -75,7 +72,24 @@ def live_daily_limit(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").alias("id"),
         (k % 7 - 3).cast("double").alias("profit"),
     )
-    return live.daily_limit(moves)
+
+
+@R.add(
+    f"""WITH {q.TICKS}, {_MOVES} SELECT symbol, side, ts, id FROM cnt WHERE kind = 1 AND losses = 0
+    QUALIFY row_number() OVER (PARTITION BY symbol, side, ts::DATE ORDER BY ts, id) = 1"""
+)
+def live_daily_limit(spark: SparkSession, sf: str) -> DataFrame:
+    return live.daily_limit(_moves(spark, sf))
+
+
+@R.add(
+    f"""WITH {q.TICKS}, {_MOVES}, passed AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS passed FROM moves)
+    SELECT symbol, side, ts, id FROM cnt, passed WHERE kind = 1 AND losses = 0 AND ts < passed
+    QUALIFY row_number() OVER (PARTITION BY symbol, side, ts::DATE ORDER BY ts, id) = 1"""
+)
+def live_daily_limit_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily limit with its state in the operator; signals the watermark has passed."""
+    return live.run_to_table(live.stateful_limit(_moves(spark, sf), "1 hour"), "live-limit-state")
 
 
 @R.add(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import LongType, StructField, StructType
 
 from candlewake.operators.timeline import HOUR, asof_join
@@ -114,6 +115,50 @@ def daily_limit(moves: DataFrame, name: str = "live-limit") -> DataFrame:
     return spark.read.schema(LIMIT_OUTPUT).parquet(out).select("symbol", "side", "ts", "id")
 
 
+CARRIED = "day int, losses long, us array<long>, kind array<int>, id array<long>, profit array<double>"
+
+
+def stateful_limit(moves: DataFrame, delay: str) -> DataFrame:
+    """The daily limit as a stateful operator: rows may come out of order by up to ``delay``.
+
+    A symbol and side keeps its last day and its losses, and the rows the watermark has not
+    passed; those are worked off in order of time as soon as it has. So a batch reads its own
+    rows and one state for each symbol and side, however many batches there were. Signals at
+    the end of a stream come out when later rows move the watermark beyond them.
+    """
+
+    def run(
+        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        day, losses, *waiting = state.get if state.exists else (None, 0, [], [], [], [])
+        rows = list(zip(*waiting, strict=True))
+        for part in parts:
+            rows += part[["us", "kind", "id", "profit"]].itertuples(index=False, name=None)
+        passed = state.getCurrentWatermarkMs() * 1000
+        taken = []
+        for us, kind, id_, profit in sorted((r for r in rows if r[0] < passed), key=lambda r: r[:3]):
+            today = us // 86_400_000_000
+            if kind == 0:
+                losses = 0 if profit > 0 else losses + (profit < 0)
+            elif losses == 0 and today != day:
+                taken.append((us, id_))
+                day = today
+        rows = [r for r in rows if r[0] >= passed]
+        state.update((day, int(losses), *([r[k] for r in rows] for k in range(4))))
+        if rows:
+            state.setTimeoutTimestamp(min(r[0] for r in rows) // 1000 + 1)
+        yield pd.DataFrame({"symbol": key[0], "side": key[1], "us": [t[0] for t in taken], "id": [t[1] for t in taken]})
+
+    named = moves.withWatermark("ts", delay).select(
+        "symbol", "side", "ts", F.unix_micros("ts").alias("us"), F.col("kind").cast("int"), F.col("id").cast("long"),
+        F.coalesce(F.col("profit").cast("double"), F.lit(0.0)).alias("profit"),
+    )
+    kept = named.groupBy("symbol", "side").applyInPandasWithState(
+        run, "symbol string, side string, us long, id long", CARRIED, "append", "EventTimeTimeout"
+    )
+    return kept.select("symbol", "side", F.timestamp_micros("us").alias("ts"), "id")
+
+
 def live_blackout(
     signals: DataFrame, events: DataFrame, before_min: int = 30, after_min: int = 30
 ) -> DataFrame:

@@ -58,6 +58,21 @@ def test_daily_limit_keeps_state_across_batches(spark):
     assert sorted(r["id"] for r in out.collect()) == [1, 7]
 
 
+def test_limit_by_state_takes_rows_out_of_order(spark):
+    """Deals that arrive after later signals still block them; the day turns at midnight."""
+    later = lambda text: pd.Timestamp(f"2024-01-02 {text}").to_pydatetime()
+    parts = [
+        [("a", "BUY", ts("10:20"), 1, 2, None), ("b", "BUY", ts("10:00"), 1, 20, None)],
+        [("a", "BUY", ts("10:10"), 0, 1, -1.0), ("a", "BUY", ts("10:40"), 0, 3, 2.0)],
+        [("a", "BUY", ts("10:50"), 1, 5, None), ("a", "BUY", ts("10:45"), 1, 4, None), ("b", "BUY", ts("10:00"), 0, 19, 0.0)],
+        [("a", "BUY", ts("23:50"), 1, 6, None), ("a", "BUY", later("00:05"), 1, 7, None), ("b", "SELL", later("00:06"), 1, 21, None)],
+        [("a", "BUY", later("00:01"), 0, 8, -3.0), ("a", "BUY", later("00:30"), 0, 9, 1.0), ("a", "BUY", later("00:40"), 1, 10, None)],
+        [("c", "BUY", later("09:00"), 1, 30, None)],
+    ]
+    out = live.run_to_table(live.stateful_limit(feed(spark, parts, MOVE), "1 hour"), "t-state")
+    assert sorted((r["symbol"], r["side"], r["id"]) for r in out.collect()) == [("a", "BUY", 4), ("a", "BUY", 10), ("b", "BUY", 20), ("b", "SELL", 21)]
+
+
 def test_repeats_in_a_bar_are_dropped_across_batches(spark):
     schema = "symbol string, side string, ts timestamp"
     parts = [[("a", "BUY", ts("00:01"))], [("a", "BUY", ts("00:03")), ("a", "BUY", ts("00:06"))]]
