@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewake.operators import indicators as ind
-from candlewake.operators import labels, quality, stats, timeline, trading
+from candlewake.operators import carry, labels, quality, scan, stats, timeline, trading
 from candlewake.operators.blocks import with_row_index
 from candlewake.operators.resample import first_per, resample
 from candlewake.plans import features as jobs
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
+from candlewake.session import stage
 
 R = Registry()
 PRICES = ["open", "high", "low", "close"]
@@ -567,3 +568,20 @@ def symbol_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 def row_positions(spark: SparkSession, sf: str) -> DataFrame:
     b = inputs.bars(spark, sf).select("symbol", "ts")
     return with_row_index(b, ["symbol"], ["ts"], F.to_date("ts"), idx="row")
+
+
+@R.add(
+    f"""{q.with_(q.TICKS)}, numbered AS MATERIALIZED (SELECT symbol, event_id, price,
+      row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) - 1 AS i FROM ticks),
+    run AS (SELECT symbol, i, price AS a, price AS b FROM numbered WHERE i = 0
+      UNION ALL SELECT n.symbol, n.i, r.a + 2.0::DOUBLE / 501 * (n.price - r.a), r.b + 2.0::DOUBLE / 10001 * (n.price - r.b)
+      FROM run r JOIN numbered n ON n.symbol = r.symbol AND n.i = r.i + 1)
+    SELECT n.symbol, event_id, {q.r('a', 6)} AS ema_500, {q.r('b', 6)} AS ema_10000 FROM numbered n JOIN run USING (symbol, i)"""
+)
+def long_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Exponential averages of ticks over spans longer than a cell of rows, carried exactly."""
+    ticks = inputs.ticks(spark, sf).select("symbol", "ts", "event_id", "price")
+    numbered = stage(with_row_index(ticks, ["symbol"], ["ts", "event_id"], F.to_date("ts")), "numbered")
+    spans = [scan.ema_unseeded("ema_500", "price", 500), scan.ema_unseeded("ema_10000", "price", 10_000)]
+    out = carry.running(numbered, ["symbol"], spans)
+    return rounded(out.select("symbol", "event_id", "ema_500", "ema_10000"), ["ema_500", "ema_10000"], 6)

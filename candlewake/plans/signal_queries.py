@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewake.functions import gates, risk, scoring
 from candlewake.operators import indicators as ind
-from candlewake.operators import metrics, portfolio, trading
+from candlewake.operators import metrics, performance, portfolio, trading
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
@@ -506,3 +506,31 @@ def stop_and_target_levels(spark: SparkSession, sf: str) -> DataFrame:
         "symbol", "ts", "side", entry.alias("entry"), sl.alias("stop_loss"), tp.alias("take_profit")
     )
     return rounded(out, ["entry", "stop_loss", "take_profit"], 6)
+
+
+# Performance of closed deals -----------------------------------------------------------
+
+_CURVE = f"""summed AS (SELECT *, sum(profit) OVER (PARTITION BY symbol ORDER BY {_ORDER}) AS equity FROM positions),
+curve AS (SELECT *, greatest(0.0, max(equity) OVER (PARTITION BY symbol ORDER BY {_ORDER})) AS peak FROM summed)"""
+
+
+@R.add(f"{q.with_(q.POSITIONS, _CURVE)} SELECT ticket, symbol, equity, peak::DOUBLE AS peak, (peak - equity)::DOUBLE AS drawdown FROM curve")
+def equity_curve(spark: SparkSession, sf: str) -> DataFrame:
+    """Running profit, its peak and the fall from it, for each closed deal."""
+    curve = performance.equity_curve(inputs.positions(spark, sf), ["symbol"], order=["close_ts", "ticket"])
+    return curve.select("ticket", "symbol", "equity", "peak", "drawdown")
+
+
+@R.add(
+    f"""{q.with_(q.POSITIONS, _CURVE)}, days AS (SELECT symbol, close_ts::DATE AS day, sum(profit) AS p FROM positions GROUP BY ALL),
+    ratios AS (SELECT symbol, avg(p) / nullif(stddev_samp(p), 0) * sqrt(252) AS sharpe,
+      sum(p) * 365.25 / nullif(datediff('day', min(day), max(day)), 0) AS yearly FROM days GROUP BY symbol),
+    totals AS (SELECT symbol, count(*) AS deals, count(*) FILTER (WHERE profit > 0) AS won, count(*) FILTER (WHERE profit < 0) AS lost, sum(profit) AS profit,
+      sum(greatest(profit, 0)) / nullif(sum(greatest(-profit, 0)), 0) AS profit_factor, max(peak - equity)::DOUBLE AS max_drawdown FROM curve GROUP BY symbol)
+    SELECT symbol, deals, won, lost, profit, {q.r('profit_factor', 6)} AS profit_factor, max_drawdown, {q.r('sharpe', 6)} AS sharpe,
+      {q.r('yearly / nullif(max_drawdown, 0)', 6)} AS calmar FROM totals JOIN ratios USING (symbol)"""
+)
+def trade_performance(spark: SparkSession, sf: str) -> DataFrame:
+    """Profit factor, greatest drawdown, Sharpe and Calmar ratio of each symbol."""
+    out = performance.trade_metrics(inputs.positions(spark, sf), ["symbol"], order=["close_ts", "ticket"])
+    return rounded(out, ["profit_factor", "sharpe", "calmar"], 6)
