@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewake.operators import indicators as ind
+from candlewake.operators import scan
+from candlewake.operators.blocks import Blocks
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
 from candlewake.session import configure, fresh_path, stage
 from candlewake.streaming import live
+from candlewake.streaming.carried import Scoring, carried_scores
 
 R = Registry()
 
@@ -127,3 +130,41 @@ def live_scoring(spark: SparkSession, sf: str) -> DataFrame:
     live.run_batches(arriving, "live-scores", live.score_each_batch(history, rsi_and_atr, out, fresh_path(spark, "live-known")))
     scored = spark.read.schema("symbol string, ts timestamp, rsi double, atr_14 double").parquet(out)
     return rounded(rounded(scored.select("symbol", "ts", "rsi", "atr_14"), ["rsi"]), ["atr_14"], 6)
+
+
+def _frames(b: Blocks) -> Blocks:
+    """What the recursions read, and the average of a band."""
+    b = ind.with_moves(b)
+    return b.add_sql({"bb_middle": ind.since(ind.BB_PERIOD - 1, f"avg(close) {b.over_last(ind.BB_PERIOD)}")})
+
+
+LIVE = Scoring(
+    inputs=_frames,
+    recursions=[
+        scan.wilder("_avg_gain", "_gain", ind.RSI_PERIOD),
+        scan.wilder("_avg_loss", "_loss", ind.RSI_PERIOD),
+        scan.wilder("atr_14", "_tr", ind.ATR_PERIOD),
+        scan.ema("ema_200", "close", 200),
+    ],
+    outputs={"rsi": ind.RSI, "atr_14": "atr_14", "ema_200": "ema_200", "bb_middle": "bb_middle"},
+    frame=ind.BB_PERIOD,
+)
+
+
+@R.add(
+    f"""{q.with_(q.HOURS, q.smoothed('hours'))} SELECT symbol, ts, {q.r('rsi')} AS rsi, {q.r('atr_14', 6)} AS atr_14, {q.r('ema_200')} AS ema_200,
+      {q.r(q.from_row(19, f'avg(close) OVER {q.frame(20)}'), 6)} AS bb_middle
+    FROM feat0 QUALIFY ts >= TIMESTAMP '2024-01-25'"""
+)
+def live_scoring_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    """Bars from 25 January on arrive two days at a time; each batch reads its own bars and the
+    state of the one before."""
+    hours = stage(inputs.hours(spark, sf), "hours")
+    live_ = carried_scores(spark, LIVE, hours.schema, "live-carried")
+    live_.begin(hours.where("ts < '2024-01-25'"))
+    path, checkpoint = fresh_path(spark, "arriving"), fresh_path(spark, "arriving-state")
+    for first, end in (("2024-01-25", "2024-01-27"), ("2024-01-27", "2024-01-29"), ("2024-01-29", "9999-01-01")):
+        hours.where((F.col("ts") >= first) & (F.col("ts") < end)).write.mode("append").parquet(path)
+        live.run_batches(spark.readStream.schema(hours.schema).parquet(path), "live-carried", live_, checkpoint)
+    scored = live_.scores(spark, "symbol string, ts timestamp, rsi double, atr_14 double, ema_200 double, bb_middle double")
+    return rounded(rounded(scored, ["rsi", "ema_200"]), ["atr_14", "bb_middle"], 6)

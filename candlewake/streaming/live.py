@@ -237,10 +237,13 @@ def run_to_table(stream: DataFrame, name: str, schema: str | None = None) -> Dat
     return spark.read.schema(schema or stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, name: str, each: Callable[[DataFrame, int], None]) -> None:
+def run_batches(
+    stream: DataFrame, name: str, each: Callable[[DataFrame, int], None], checkpoint: str | None = None
+) -> None:
+    """Run over what is there now; with the ``checkpoint`` of an earlier run, over what came since."""
     query = (
         stream.writeStream.foreachBatch(each)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, f"{name}-state"))
+        .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, f"{name}-state"))
         .trigger(availableNow=True)
         .start()
     )

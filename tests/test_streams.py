@@ -3,9 +3,10 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from candlewake.operators import indicators as ind
+from candlewake.operators import indicators as ind, scan
 from candlewake.session import fresh_path
 from candlewake.streaming import live
+from candlewake.streaming.carried import Scoring, carried_scores
 from tests.helpers import random_bars, same
 
 
@@ -126,3 +127,58 @@ def test_repeats_in_a_bar_longer_than_the_delay_are_dropped(spark):
     parts = [[("a", "BUY", ts("00:01"))], [("a", "BUY", ts("00:20"))], [("a", "BUY", ts("00:40"))], [("a", "BUY", ts("00:59"))]]
     out = live.without_repeats(feed(spark, parts, "symbol string, side string, ts timestamp"), "1 hour", "5 minutes")
     assert live.run_to_table(out, "t-repeat-long").count() == 1
+
+
+def _carried(spark, bars, name):
+    scoring = Scoring(
+        inputs=lambda b: (m := ind.with_moves(b)).add_sql({"mean_5": ind.since(4, f"avg(close) {m.over_last(5)}")}),
+        recursions=[scan.wilder("atr_14", "_tr", 14), scan.ema("ema_300", "close", 300)],
+        outputs={"atr_14": "atr_14", "ema_300": "ema_300", "mean_5": "mean_5"},
+        frame=5,
+    )
+    return carried_scores(spark, scoring, spark.createDataFrame(bars).schema, name)
+
+
+CARRIED_SCORES = "symbol string, ts timestamp, atr_14 double, ema_300 double, mean_5 double"
+
+
+def test_carried_state_gives_the_scores_of_one_batch(spark):
+    """Cuts inside the warm-up, a batch of one bar, a symbol that pauses, one that comes late, batches run twice."""
+    bars = random_bars(600, ["a", "b", "c"])
+    times = bars.ts.sort_values().unique()
+    bars = bars[~((bars.symbol == "b") & (bars.ts >= times[330]) & (bars.ts < times[480]))]
+    bars = bars[~((bars.symbol == "c") & (bars.ts < times[331]))]
+    whole, parts = _carried(spark, bars, "t-whole"), _carried(spark, bars, "t-parts")
+    whole.begin(spark.createDataFrame(bars).limit(0))
+    whole(spark.createDataFrame(bars), 0)
+    cuts = [times[i] for i in (7, 9, 330, 331, 480)]
+    parts.begin(spark.createDataFrame(bars[bars.ts < cuts[0]]))
+    for i, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], None])):
+        part = spark.createDataFrame(bars[(bars.ts >= lo) & ((bars.ts < hi) if hi is not None else True)])
+        parts(part, i)
+        if i in (0, 3):
+            parts(part, i)
+    want = whole.scores(spark, CARRIED_SCORES).where(F.col("ts") >= F.lit(cuts[0])).orderBy("symbol", "ts").toPandas()
+    got = parts.scores(spark, CARRIED_SCORES).orderBy("symbol", "ts").toPandas()
+    assert len(got) == len(want) == len(bars[bars.ts >= cuts[0]])
+    b = ind.smoothed(ind.with_moves(ind.feature_blocks(spark.createDataFrame(bars))), {"atr_14"})
+    blocked = b.close().where(F.col("ts") >= F.lit(cuts[0])).orderBy("symbol", "ts").toPandas()
+    for n in ("atr_14", "ema_300", "mean_5"):
+        same(got[n], want[n])
+    same(got["atr_14"], blocked["atr_14"])
+    # The state holds a row for each symbol and as many bars as the frame needs.
+    assert spark.read.parquet(f"{parts.ends}/batch=4").count() == 3
+    assert spark.read.parquet(f"{parts.tail}/batch=4").count() == 15
+
+
+def test_carried_state_sets_late_and_repeated_bars_aside(spark):
+    bars = random_bars(40, ["a"])
+    live_ = _carried(spark, bars, "t-late")
+    live_.begin(spark.createDataFrame(bars[:30]))
+    rows = spark.createDataFrame(bars[25:35])
+    nameless = rows.limit(1).withColumn("symbol", F.lit(None).cast("string"))
+    live_(rows.unionByName(rows).unionByName(nameless), 0)
+    live_(rows.limit(0), 1)
+    live_(spark.createDataFrame(bars[35:]), 2)
+    assert live_.scores(spark, CARRIED_SCORES).count() == 10
+    assert spark.read.schema(live_.bars).parquet(live_.late).count() == 6
