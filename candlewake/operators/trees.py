@@ -22,9 +22,12 @@ from candlewake.session import fresh_path
 WALK_ROWS = 512
 
 
-def nodes(model: PipelineModel) -> DataFrame:
-    """The node table of a pipeline of an assembler and a tree ensemble, read from the saved model."""
-    spark = SparkSession.getActiveSession()
+def nodes(model: PipelineModel, spark: SparkSession | None = None) -> DataFrame:
+    """The node table of a pipeline of an assembler and a tree ensemble, read from the saved model.
+
+    A thread without a session of its own names one.
+    """
+    spark = spark or SparkSession.getActiveSession()
     path = fresh_path(spark, "trees")
     fitted = model.stages[-1]
     fitted.write().save(path)
