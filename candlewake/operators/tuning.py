@@ -67,15 +67,15 @@ def draw(trials: int, ranges: dict[str, tuple[str, float, float]] = RANGES, seed
 def fit(train: DataFrame, features: list[str], params: Params, label: str = "target_class", seed: int = SEED) -> PipelineModel:
     """Boosted trees, one class against the others, on the complete rows of ``train``.
 
-    ``colsample`` is drawn for each split, ``gamma`` is the least gain of a split, and
-    ``min_child_weight`` counts rows. ``reg_alpha`` and ``reg_lambda`` act on the exported
-    leaves (:func:`shrunk`).
+    ``colsample`` is drawn for each split. ``gamma`` is the least gain of a split, added up over
+    all rows (the learner takes it for each row), and ``min_child_weight`` counts rows.
+    ``reg_alpha`` and ``reg_lambda`` act on the exported leaves (:func:`shrunk`).
     """
     weighted = train.dropna(subset=[*features, label]).withColumn("_weight", class_weight(F.col(label)))
     one = GBTClassifier(
         stepSize=params["learning_rate"], maxDepth=int(params["max_depth"]), maxIter=int(params["n_estimators"]),
         subsamplingRate=params["subsample"], featureSubsetStrategy=str(params["colsample"]),
-        minInstancesPerNode=int(params["min_child_weight"]), minInfoGain=params["gamma"],
+        minInstancesPerNode=int(params["min_child_weight"]), minInfoGain=params["gamma"] / max(1, weighted.count()),
         seed=seed, featuresCol="_features", labelCol=label,
     )
     every = OneVsRest(classifier=one, featuresCol="_features", labelCol=label, weightCol="_weight", predictionCol="_prediction")

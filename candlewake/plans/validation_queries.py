@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
-from candlewake.operators import folds, labels, learning, metrics, sentiment, stats, trees
+from candlewake.operators import folds, labels, learning, metrics, sentiment, stats, trees, tuning
 from candlewake.operators import indicators as ind
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
@@ -345,6 +345,44 @@ def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("fold", "test_rows", "selection_rows", bounded.alias("bounded"), listed.alias("listed"))
 
 
+#: Trials of a search, and its ranges: few and low trees, so that it ends within minutes on one machine.
+TRIALS = 4
+SEARCHED = tuning.RANGES | {"n_estimators": ("int", 4, 10), "max_depth": ("int", 3, 5)}
+
+
+def _drawn(name: str) -> str:
+    kind, low, high = SEARCHED[name]
+    u = f"(('0x' || substr(md5('{tuning.SEED}:' || trial || ':{name}'), 1, 12))::BIGINT / {2**48}::DOUBLE)"
+    if kind == "int":
+        return f"({int(low)} + floor({u} * {int(high) - int(low) + 1}))::INT AS {name}"
+    if kind == "log":
+        return f"round(exp(ln({low}::DOUBLE) + {u} * (ln({high}::DOUBLE) - ln({low}::DOUBLE))), 9) AS {name}"
+    return f"round({low}::DOUBLE + {u} * {high - low}::DOUBLE, 9) AS {name}"
+
+
+_trials: dict[tuple[str, str], DataFrame] = {}
+
+
+@R.add()
+def hyperparameter_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Every trial of a search by folds, its parameters and scores, and whether it was kept."""
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _trials:
+        rows = training_rows(spark, sf).select("fold", "target_class", *FEATURES)
+        _trials[known] = tuning.halving(rows, FEATURES, tuning.draw(TRIALS, SEARCHED), SPLITS)
+    return _trials[known]
+
+
+@R.add(
+    f"""{q.with_(q.FEATURES, _ROWS)}, drawn AS (SELECT range::INT AS trial, {', '.join(_drawn(n) for n in SEARCHED)} FROM (SELECT range, range AS trial FROM range({TRIALS})))
+    SELECT drawn.*, (SELECT count(*) FROM training WHERE fold = 0) AS samples FROM drawn"""
+)
+def hyperparameter_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """The first round of the search: what was drawn, and how many rows judged it."""
+    first = hyperparameter_trials(spark, sf).where("round = 0")
+    return rounded(first.select("trial", *SEARCHED, "samples"), [n for n, r in SEARCHED.items() if r[0] != "int"], 9)
+
+
 @R.add(
     f"""SELECT doc_id, (range + 1)::INT AS rank, true AS known, true AS falling FROM documents, range(3)"""
 )
