@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
-from candlewake.operators import events, sentiment, timeline
+from candlewake.operators import events, positioning, sentiment, timeline
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
@@ -288,3 +288,40 @@ def sentiment_differential(spark: SparkSession, sf: str) -> DataFrame:
 def topic_tokens_of_news(spark: SparkSession, sf: str) -> DataFrame:
     n = inputs.news(spark, sf)
     return n.select("doc_id", F.array_join(topic_tokens(F.col("text"), sentiment.STOP_WORDS), " ").alias("tokens"))
+
+
+# Positioning reports -------------------------------------------------------------------
+
+_REPORTS = f"""reports AS (SELECT {q.pair_of('o_custkey')} AS symbol, o_orderdate AS ts, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 97 ELSE 0 END)::DOUBLE AS long,
+    sum(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey % 89 ELSE 0 END)::DOUBLE AS short, sum(o_orderkey % 101)::DOUBLE AS open_interest FROM orders GROUP BY ALL),
+net AS (SELECT *, datediff('day', DATE '1970-01-01', ts::DATE) AS d, CASE WHEN open_interest <> 0 THEN (long - short) / open_interest END AS net_position FROM reports),
+ranged AS (SELECT *, min(net_position) OVER w AS low, max(net_position) OVER w AS high FROM net
+  WINDOW w AS (PARTITION BY symbol ORDER BY d RANGE BETWEEN (d % 7 + {7 * (positioning.WEEKS - 1)}) PRECEDING AND CURRENT ROW)),
+placed AS (SELECT symbol, ts, net_position, (net_position - low) / nullif(high - low, 0) AS position_index FROM ranged)"""
+
+
+def _placed_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports from the orders of a day, with their index."""
+    key = F.col("o_orderkey")
+    reports = inputs.table(spark, sf, "orders").groupBy(inputs.pair_of("o_custkey").alias("symbol"), F.col("o_orderdate").alias("ts")).agg(
+        F.sum(F.when(key % 2 == 0, key % 97).otherwise(0)).cast("double").alias("long"),
+        F.sum(F.when(key % 2 == 1, key % 89).otherwise(0)).cast("double").alias("short"),
+        F.sum(key % 101).cast("double").alias("open_interest"),
+    )
+    return positioning.positioning(reports, ["symbol"])
+
+
+@R.add(f"{q.with_(_REPORTS)} SELECT symbol, ts, {q.r('net_position', 6)} AS net_position, {q.r('position_index', 6)} AS position_index FROM placed")
+def positioning_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Net position and its place in the range of 156 weeks."""
+    return rounded(_placed_reports(spark, sf).select("symbol", "ts", *positioning.COLUMNS), positioning.COLUMNS, 6)
+
+
+@R.add(
+    f"""{q.with_(q.BARS, _REPORTS)} SELECT b.symbol, b.ts, close, {q.r('net_position', 6)} AS net_position, {q.r('position_index', 6)} AS position_index
+    FROM bars b ASOF LEFT JOIN placed p ON b.symbol = p.symbol AND b.ts >= p.ts"""
+)
+def positioning_joined_to_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily bars with the latest report at or before them."""
+    bars = inputs.bars(spark, sf).select("symbol", "ts", "close")
+    return rounded(positioning.positioning_on_bars(bars, _placed_reports(spark, sf), ["symbol"]), positioning.COLUMNS, 6)
