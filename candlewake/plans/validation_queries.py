@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
-from candlewake.operators import folds, labels, learning, metrics, sentiment, stats, trees, tuning
+from candlewake.operators import folds, labels, learning, metrics, sentiment, stats, topics, trees, tuning
 from candlewake.operators import indicators as ind
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
@@ -412,3 +412,99 @@ def top_topics_of_scores(spark: SparkSession, sf: str) -> DataFrame:
     topics = F.transform(F.sequence(F.lit(0), F.lit(9)), share)
     dist = inputs.table(spark, sf, "documents").select("doc_id", topics.alias("topics"))
     return learning.top_topics(dist, ["doc_id"])
+
+
+# Topics as tables. The twin repeats the whole fit: the first weights come from digests, and no step is random.
+
+#: Rounds over all documents.
+TOPIC_ROUNDS = 10
+_K = learning.TOPICS
+
+
+def _digamma(x: str) -> str:
+    tail = " - ".join(f"1 / ({x} + {i})" for i in range(6))
+    y = f"({x} + 6)"
+    return f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y}**2) + 1 / (120 * {y}**4) - 1 / (252 * {y}**6) - {tail})"
+
+
+def _listed(cell: str) -> str:
+    return "[" + ", ".join(cell.format(k=k, i=k + 1) for k in range(_K)) + "]"
+
+
+def _topic_rounds() -> str:
+    tokens = f"""list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-zA-Z\\s]', '', 'g'), '\\s+'),
+        lambda t: length(t) > 3 AND NOT list_contains({sentiment.STOP_WORDS}, t))"""
+    first = f"{1 / _K}::DOUBLE - ln((('0x' || substr(md5('{learning.TOPIC_SEED}:{{k}}:' || word), 1, 12))::BIGINT + 0.5::DOUBLE) / {2**48}::DOUBLE)"
+    parts = [
+        f"""tc AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS n FROM (SELECT doc_id, unnest({tokens}) AS word FROM news) GROUP BY ALL),
+vocab AS (SELECT word FROM tc GROUP BY word HAVING count(*) >= {learning.TOPIC_MIN_DOCS} AND count(*) <= {learning.TOPIC_MAX_SHARE} * (SELECT count(*) FROM news)),
+kc AS MATERIALIZED (SELECT * FROM tc JOIN vocab USING (word)),
+lam0 AS MATERIALIZED (SELECT word, {_listed(first)} AS l FROM vocab)"""
+    ]
+    up = f"list_transform(g, lambda x: exp({_digamma('x')})) AS e"
+    for r in range(TOPIC_ROUNDS + 1):
+        chance = f"exp({_digamma('l[{i}]')} - {_digamma('t[{i}]')})"
+        parts.append(
+            f"""tot{r} AS MATERIALIZED (SELECT {_listed('sum(l[{i}])')} AS t FROM lam{r}),
+cw{r} AS MATERIALIZED (SELECT doc_id, word, n, w FROM kc JOIN (SELECT word, {_listed(chance)} AS w FROM lam{r}, tot{r}) USING (word)),
+s{r}_0 AS MATERIALIZED (SELECT *, {up} FROM (SELECT doc_id, {_listed(f'{1 / _K}::DOUBLE + sum(n) / {_K}')} AS g FROM cw{r} GROUP BY doc_id))"""
+        )
+        for s in range(topics.STEPS):
+            parts.append(
+                f"""s{r}_{s + 1} AS MATERIALIZED (SELECT *, {up} FROM (SELECT doc_id, {_listed(f'{1 / _K}::DOUBLE + sum(n * e[{{i}}] * w[{{i}}] / d)')} AS g
+  FROM (SELECT c.*, e, list_inner_product(e, w) AS d FROM cw{r} c JOIN s{r}_{s} USING (doc_id)) GROUP BY doc_id))"""
+            )
+        if r < TOPIC_ROUNDS:
+            parts.append(
+                f"""lam{r + 1} AS MATERIALIZED (SELECT word, {_listed(f'{1 / _K}::DOUBLE + sum(n * e[{{i}}] * w[{{i}}] / d)')} AS l
+  FROM (SELECT c.*, e, list_inner_product(e, w) AS d FROM cw{r} c JOIN s{r}_{topics.STEPS} USING (doc_id)) GROUP BY word)"""
+            )
+    return ",\n".join(parts)
+
+
+_TOPIC_ROUNDS = _topic_rounds()
+_topic_model: dict[tuple[str, str], DataFrame] = {}
+
+
+def _topic_docs(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = topic_tokens(F.col("text"), sentiment.STOP_WORDS)
+    return inputs.news(spark, sf).select("doc_id", tokens.alias("tokens"))
+
+
+def _topic_weights(spark: SparkSession, sf: str) -> DataFrame:
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _topic_model:
+        _topic_model[known] = topics.fit(_topic_docs(spark, sf), "doc_id", rounds=TOPIC_ROUNDS)
+    return _topic_model[known]
+
+
+@R.add(
+    f"""{q.with_(q.NEWS, _TOPIC_ROUNDS)} SELECT (k - 1)::INT AS topic, word, {q.r('l[k] / t[k]', 7)} AS weight
+    FROM lam{TOPIC_ROUNDS}, tot{TOPIC_ROUNDS}, range(1, {_K + 1}) r(k)"""
+)
+def topic_word_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The chance of every word of the vocabulary in every topic."""
+    return rounded(topics.word_chances(_topic_weights(spark, sf)), ["weight"], 7)
+
+
+@R.add(
+    f"""{q.with_(q.NEWS, _TOPIC_ROUNDS)} SELECT doc_id, (k - 1)::INT AS topic, {q.r(f'coalesce(g[k] / list_sum(g), {1 / _K})', 5)} AS share
+    FROM news LEFT JOIN s{TOPIC_ROUNDS}_{topics.STEPS} USING (doc_id), range(1, {_K + 1}) r(k)"""
+)
+def topic_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of every topic in every document."""
+    found = topics.shares(_topic_docs(spark, sf), _topic_weights(spark, sf), "doc_id")
+    out = found.select("doc_id", F.posexplode("topics").alias("topic", "share"))
+    return rounded(out, ["share"], 5)
+
+
+@R.add(
+    f"""{q.with_(q.NEWS, _TOPIC_ROUNDS)} SELECT doc_id, topic, probability, row_number() OVER (PARTITION BY doc_id ORDER BY probability DESC, topic)::INT AS rank
+    FROM (SELECT doc_id, (k - 1)::INT AS topic, {q.r(f'coalesce(g[k] / list_sum(g), {1 / _K})', 5)} AS probability
+      FROM news LEFT JOIN s{TOPIC_ROUNDS}_{topics.STEPS} USING (doc_id), range(1, {_K + 1}) r(k)) QUALIFY rank <= 3"""
+)
+def top_topics_of_news(spark: SparkSession, sf: str) -> DataFrame:
+    """The three largest topics of every document, of shares to five digits, ties by number."""
+    found = topics.shares(_topic_docs(spark, sf), _topic_weights(spark, sf), "doc_id")
+    digits = F.transform("topics", lambda x: F.round(x, 5))
+    return learning.top_topics(found.select("doc_id", digits.alias("topics")), ["doc_id"])
