@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewake.functions.text import topic_tokens
-from candlewake.operators import events, positioning, sentiment, timeline
+from candlewake.operators import events, positioning, sentiment, timeline, wordmodel
 from candlewake.plans import inputs
 from candlewake.plans import sqltext as q
 from candlewake.plans.registry import Registry, rounded
@@ -290,6 +290,84 @@ def topic_tokens_of_news(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("doc_id", F.array_join(topic_tokens(F.col("text"), sentiment.STOP_WORDS), " ").alias("tokens"))
 
 
+# Learned text scorer ------------------------------------------------------------------
+# The label toxic stands in for bad news. Every fifth labelled document is held out.
+
+
+def _word_rounds() -> str:
+    w = f"""(SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda t: t <> '') AS w FROM news)"""
+    negated = f"list_has_any(w[greatest(i - {wordmodel.REACH}, 1):i - 1], {_words(wordmodel.NEGATIONS)})"
+    parts = [
+        f"""wl AS MATERIALIZED (SELECT doc_id, 1 - toxic AS y FROM labels WHERE toxic IS NOT NULL AND doc_id % 5 <> 0 AND doc_id IN (SELECT doc_id FROM news)),
+wt AS MATERIALIZED (SELECT DISTINCT doc_id, (('0x' || substr(md5(t), 1, 8))::BIGINT % {wordmodel.SLOTS})::INT AS slot
+  FROM (SELECT doc_id, unnest(list_transform(w, lambda t, i: CASE WHEN i > 1 AND {negated} THEN 'not_' || t ELSE t END)) AS t FROM {w})),
+wc AS (SELECT doc_id, y, CASE WHEN y = 1 THEN n / 2 / greatest(1, ones) ELSE n / 2 / greatest(1, n - ones) END AS c
+  FROM wl, (SELECT count(*)::DOUBLE AS n, sum(y)::DOUBLE AS ones FROM wl)),
+wr AS MATERIALIZED (SELECT * FROM wt JOIN wc USING (doc_id) WHERE slot IN (SELECT slot FROM wt JOIN wl USING (doc_id) GROUP BY slot HAVING count(*) >= {wordmodel.LEAST_DOCS})),
+w0 AS MATERIALIZED (SELECT slot, sum(c) / 4 + {wordmodel.PENALTY}::DOUBLE AS curve, 0.0::DOUBLE AS weight FROM wr GROUP BY slot)"""
+    ]
+    for i in range(wordmodel.ROUNDS):
+        parts.append(
+            f"""r{i} AS MATERIALIZED (SELECT doc_id, any_value(c * (y - 1 / (1 + exp(-m / sqrt(n))))) / any_value(sqrt(n)) AS r FROM wc JOIN
+  (SELECT doc_id, sum(weight) AS m, count(*) AS n FROM wr JOIN w{i} USING (slot) GROUP BY doc_id) USING (doc_id) GROUP BY doc_id),
+w{i + 1} AS MATERIALIZED (SELECT slot, curve, weight + (g - {wordmodel.PENALTY}::DOUBLE * weight) / curve AS weight
+  FROM w{i} JOIN (SELECT slot, sum(r) AS g FROM wr JOIN r{i} USING (doc_id) GROUP BY slot) USING (slot))"""
+        )
+    return ",\n".join(parts)
+
+
+_WORD_ROUNDS = _word_rounds()
+_CHANCES = f"""chances AS (SELECT doc_id, 1 / (1 + exp(-sum(weight) / sqrt(count(*)))) AS p FROM wt JOIN w{wordmodel.ROUNDS} USING (slot) GROUP BY doc_id)"""
+_word_weights: dict[tuple[str, str], DataFrame] = {}
+
+
+def _fitted_words(spark: SparkSession, sf: str) -> DataFrame:
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _word_weights:
+        marks = inputs.table(spark, sf, "labels").where("doc_id % 5 <> 0").select("doc_id", (F.col("toxic") == 0).alias("positive"))
+        _word_weights[known] = wordmodel.fit(inputs.news(spark, sf).join(marks, "doc_id"), "doc_id")
+    return _word_weights[known]
+
+
+@R.add(f"{q.with_(q.NEWS, _WORD_ROUNDS)} SELECT slot, {q.r('weight', 6)} AS weight FROM w{wordmodel.ROUNDS}")
+def learned_word_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The fitted weights of hashed words, marked where a negation is near."""
+    return rounded(_fitted_words(spark, sf), ["weight"], 6)
+
+
+_PLACED = f"""SELECT doc_id, CASE WHEN blank THEN 'neutral' WHEN p > 0.5 THEN 'positive' WHEN p <= 0.5 THEN 'negative' ELSE label END AS lab,
+  CASE WHEN p IS NULL THEN score ELSE greatest(p, 1 - p) END AS sc, blank FROM articles LEFT JOIN chances USING (doc_id)"""
+
+
+@R.add(
+    f"""{q.with_(q.NEWS, ARTICLES, _WORD_ROUNDS, _CHANCES)} SELECT doc_id, {', '.join(f"{q.r(n, 6)} AS {n}" for n in ('positive', 'negative', 'neutral'))},
+      {q.r('positive - negative', 6)} AS polarity FROM (SELECT doc_id,
+      {', '.join(f"CASE WHEN blank THEN {1.0 if n == 'neutral' else 0.0} WHEN lab = '{n}' THEN sc ELSE (1 - sc) / 2 END::DOUBLE AS {n}" for n in ('positive', 'negative', 'neutral'))}
+      FROM ({_PLACED}))"""
+)
+def learned_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentiment of every document by the fitted words, by the word list where none is known."""
+    out = wordmodel.learned_sentiment(inputs.news(spark, sf), _fitted_words(spark, sf), "doc_id")
+    return rounded(out.select("doc_id", *sentiment.PARTS), sentiment.PARTS, 6)
+
+
+@R.add(
+    f"""{q.with_(q.NEWS, _WORD_ROUNDS, _CHANCES)} SELECT toxic = 0 AS positive, doc_id % 5 = 0 AS held_out, count(*) AS documents,
+      count(*) FILTER (WHERE (p > 0.5) = (toxic = 0)) AS right, {q.r('avg(p)', 6)} AS mean_chance
+    FROM labels JOIN chances USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL"""
+)
+def learned_sentiment_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How many labelled documents are placed right, fitted and held-out ones apart."""
+    marks = inputs.table(spark, sf, "labels").where("toxic IS NOT NULL").select("doc_id", (F.col("toxic") == 0).alias("positive"))
+    rows = marks.join(wordmodel.chances(inputs.news(spark, sf), _fitted_words(spark, sf), "doc_id"), "doc_id")
+    out = rows.groupBy("positive", (F.col("doc_id") % 5 == 0).alias("held_out")).agg(
+        F.count("*").alias("documents"),
+        F.count_if((F.col("chance") > 0.5) == F.col("positive")).alias("right"),
+        F.avg("chance").alias("mean_chance"),
+    )
+    return rounded(out, ["mean_chance"], 6)
+
+
 # Positioning reports -------------------------------------------------------------------
 
 _REPORTS = f"""reports AS (SELECT {q.pair_of('o_custkey')} AS symbol, o_orderdate AS ts, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 97 ELSE 0 END)::DOUBLE AS long,
