@@ -2,25 +2,35 @@
 
 Latent Dirichlet allocation by variational expectation and maximisation over all documents.
 The vocabulary, the weights and the counts are tables; the driver sees one sum for each topic.
-A round joins the counts to the word weights, brings a document's words together once, takes a
-fixed number of steps on its topic shares there, and sums the expected counts by word.
+Documents are dealt to groups, and each group numbers its own words. A round sends every group
+the weights of its words once, however many of its documents hold them, takes a fixed number
+of steps on the topic shares there, and sums the expected counts of the groups by word.
 """
 
 from __future__ import annotations
 
-import functools
-import operator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from candlewake.operators.learning import FULL, TOPIC_MAX_SHARE, TOPIC_MIN_DOCS, TOPIC_SEED, TOPICS
 from candlewake.session import scratch, stage
 
 #: Steps on a document's shares in each round, from equal shares.
 STEPS = 5
-#: Copies of a word's weights over which the documents that hold it are dealt.
+#: Least number of groups that the documents are dealt to: copies of a word's weights in a round.
 COPIES = 16
+#: Words of a group's documents, with repeats; a task holds one group. More words make more groups.
+GROUP_WORDS = 1 << 23
+#: Counts that a task works on at a time, and words whose documents it counts at a time.
+CELLS, SLICE = 1 << 15, 1 << 20
+
+PART, GROUP, AT, N, WORD, PLACE, DOCS, LOOSE = "_part", "_group", "_at", "_n", "_word", "_place", "_docs", "_loose"
 
 
 def digamma(x: str) -> str:
@@ -33,29 +43,93 @@ def digamma(x: str) -> str:
     return f"ln({y}) - 0.5D / {y} - (1D / 12 - (1D / 120 - 1D / (252D * {y} * {y})) / ({y} * {y})) / ({y} * {y}) - {tail}"
 
 
-def word_counts(docs: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``key, word, n`` for each word of a document; null arrays and null or empty words count as none."""
-    words = docs.select(key, F.explode(tokens).alias("word")).where("word <> ''")
-    return words.groupBy(key, "word").agg(F.count("*").alias("n"))
-
-
-def vocabulary(counts: DataFrame, docs: int, least: float = TOPIC_MIN_DOCS, share: float = TOPIC_MAX_SHARE) -> DataFrame:
+def _dealt(key: str, tokens: str, groups: int) -> Column:
+    """The group of a document; rows without a key count for the vocabulary only and go anywhere."""
+    return F.pmod(F.when(F.col(key).isNull(), F.xxhash64(tokens)).otherwise(F.xxhash64(key)), F.lit(groups)).cast("int")
+
+
+def _slices(codes: np.ndarray, lens: np.ndarray) -> Iterator[slice]:
+    """Rows of about ``SLICE`` words; rows of one document, which are neighbours, stay together."""
+    at = (np.cumsum(lens) - lens) // SLICE
+    new = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    cuts = new[np.append(True, at[new][1:] != at[new][:-1])]
+    for a, b in zip(cuts, np.append(cuts[1:], len(codes)), strict=True):
+        yield slice(int(a), int(b))
+
+
+def _tallies(group: pa.Table, key: str, tokens: str, names: list[str]) -> pa.Table:
+    """One group: a row for each document with a key, and a row for each word."""
+    group = group.combine_chunks()
+    coded = pc.dictionary_encode(group.column(key)).combine_chunks()
+    codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(codes, kind="stable")
+    codes, texts = codes[order], group.column(tokens).combine_chunks()
+    if np.any(order[1:] < order[:-1]):
+        texts = texts.take(pa.array(order))
+    lens = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = texts.flatten().dictionary_encode()
+    words, place = flat.dictionary, flat.indices.to_numpy(zero_copy_only=False)
+    size, docs, loose = len(words), np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+    ends, held, ats, ns, sizes = np.cumsum(lens), [], [], [], []
+    for rows in _slices(codes, lens) if len(codes) else ():
+        cells = place[ends[rows.start] - lens[rows.start] : ends[rows.stop - 1]]
+        pairs, counts = np.unique(np.repeat(codes[rows], lens[rows]) * max(size, 1) + cells, return_counts=True)
+        keyed = pairs >= 0
+        loose[np.mod(pairs[~keyed], max(size, 1))] = 1
+        owner, at = np.divmod(pairs[keyed], max(size, 1))
+        docs += np.bincount(at, minlength=size).astype(np.int32)
+        own, many = np.unique(owner, return_counts=True)
+        held.append(own), sizes.append(many), ats.append(at.astype(np.int32)), ns.append(counts[keyed].astype(np.int32))
+    own = np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)
+    cuts = pa.array(np.append(0, np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))), pa.int32())
+    listed = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([*x, np.zeros(0, np.int32)]), pa.int32())) for x in (ats, ns)]
+    part = group.column(PART)[0].as_py()
+    keys = coded.dictionary.take(pa.array(own))
+    ints = lambda x: pa.array(x, pa.int32())
+    by_doc = {PART: ints(np.full(len(own), part)), key: keys, AT: listed[0], N: listed[1]}
+    by_word = {PART: ints(np.full(size, part)), WORD: words, PLACE: ints(np.arange(size)), DOCS: ints(docs), LOOSE: ints(loose)}
+    types = {**{n: c.type for n, c in by_doc.items()}, **{n: c.type for n, c in by_word.items()}}
+    whole = [pa.table({n: t.get(n, pa.nulls(len(t[PART]), types[n])) for n in names}) for t in (by_doc, by_word)]
+    return pa.concat_tables(whole)
+
+
+def _tallied(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame, int]:
+    """Documents ``_part, key, _at, _n``, words ``_part, _word, _place, _docs, _loose``, and the number of rows.
+
+    ``_at`` has the places of a document's words in the list of its group. Rows of one key
+    count as one document. Null arrays and null or empty words count as none.
+    """
+    words = F.filter(F.coalesce(F.col(tokens), F.array().cast("array<string>")), lambda w: w != "")
+    rows = stage(docs.select(key, words.alias(tokens)), "topic-words")
+    n, total = rows.agg(F.count("*"), F.sum(F.size(tokens))).first()
+    groups = max(COPIES, -(-(total or 0) // GROUP_WORDS))
+    ints = {c: T.IntegerType() for c in (PLACE, DOCS, LOOSE)}
+    listed = T.ArrayType(T.IntegerType())
+    kinds = {PART: T.IntegerType(), key: docs.schema[key].dataType, AT: listed, N: listed, WORD: T.StringType(), **ints}
+    schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()])
+    names = list(kinds)
+
+    def run(group: pa.Table) -> pa.Table:
+        return _tallies(group, key, tokens, names)
+
+    dealt = rows.withColumn(PART, _dealt(key, tokens, groups))
+    both = stage(dealt.groupBy(PART).applyInArrow(run, schema), "topic-counts")
+    by_doc = both.where(F.col(AT).isNotNull()).select(PART, key, AT, N)
+    by_word = both.where(F.col(WORD).isNotNull()).select(PART, WORD, PLACE, DOCS, LOOSE)
+    return by_doc, by_word, n
+
+
+def vocabulary(words: DataFrame, docs: int, least: float = TOPIC_MIN_DOCS, share: float = TOPIC_MAX_SHARE) -> DataFrame:
     """Words in at least ``least`` and at most the ``share`` of all documents, without a cap on their number."""
-    held = counts.groupBy("word").agg(F.count("*").alias("docs"))
+    # All rows without a key are one document.
+    held = words.groupBy(F.col(WORD).alias("word")).agg((F.sum(DOCS) + F.max(LOOSE)).alias("docs"))
     return held.where((F.col("docs") >= least) & (F.col("docs") <= share * docs))
 
 
-def _dealt(key: str) -> Column:
-    return F.pmod(F.hash(key), F.lit(COPIES)).alias("part")
-
-
-def _copied(words: DataFrame) -> DataFrame:
-    return words.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
-
-
-def known_counts(counts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    """The counts of the vocabulary's words, each with the copy of the word that its document meets."""
-    return counts.withColumn("part", _dealt(key)).join(_copied(words.select("word")), ["word", "part"])
+def _places(by_word: DataFrame, words: DataFrame) -> DataFrame:
+    """``word, _group, _place`` of the vocabulary's words in every group that holds them."""
+    held = by_word.where(F.col(DOCS) > 0).select(F.col(WORD).alias("word"), F.col(PART).alias(GROUP), PLACE)
+    return held.join(words.select("word"), "word")
 
 
 def first_weights(words: DataFrame, topics: int, seed: int = TOPIC_SEED) -> DataFrame:
@@ -74,42 +148,88 @@ def _rising(names: list[str], to: str) -> str:
     return f"transform(array({', '.join(names)}), x -> exp({digamma('x')})) AS {to}"
 
 
-def _with_chances(counts: DataFrame, weights: DataFrame, key: str, topics: int) -> DataFrame:
-    """Counts with ``w0, w1, ..``, brought together by document.
-
-    These are the exponentials of the expected log chances of the word in each topic.
-    """
+def _chances(weights: DataFrame, topics: int) -> DataFrame:
+    """``word, w0, w1, ..``: the exponentials of the expected log chances of the word in each topic."""
     every = range(topics)
     totals = weights.selectExpr(*[f"sum(l{k})" for k in every]).first()  # one number for each topic
     sums = [f"{float(t or 1.0)!r}D" for t in totals]
     cells = weights.selectExpr("word", _rising([f"l{k}" for k in every], "_w"), _rising(sums, "_t"))
-    chance = cells.selectExpr("word", *[f"_w[{k}] / _t[{k}] AS w{k}" for k in every])
-    return counts.join(_copied(chance), ["word", "part"]).repartition(key)
-
-
-def _expected(rows: DataFrame, held: DataFrame, key: str, by: str, topics: int) -> DataFrame:
-    """``by, g0, g1, ..``: the prior and the expected words of each topic, by document or by word.
-
-    ``held`` has ``key, e0, e1, ..``; both sides are in place by document already.
-    """
-    every = range(topics)
-    part = rows.join(held, key).selectExpr("*", f"n / ({' + '.join(f'e{k} * w{k}' for k in every)}) AS _n")
-    return part.groupBy(by).agg(*[F.expr(f"{1 / topics!r}D + sum(_n * e{k} * w{k}) AS g{k}") for k in every])
-
-
-def _raised(state: DataFrame, key: str, topics: int) -> DataFrame:
+    return cells.selectExpr("word", *[f"_w[{k}] / _t[{k}] AS w{k}" for k in every])
+
+
+def _raised(x: np.ndarray) -> np.ndarray:
+    """The exponentials of the digammas of ``x``, by the formula of :func:`digamma`."""
+    y = x + 6
+    out = np.log(y) - 0.5 / y - (1 / 12 - (1 / 120 - 1 / (252 * y * y)) / (y * y)) / (y * y)
+    for i in range(6):
+        out -= 1 / (x + i)
+    return np.exp(out)
+
+
+def _group_steps(docs: pa.Table, words: pa.Table, topics: int, steps: int) -> Iterator[tuple]:
+    """Rows, shares, and places with their expected counts, of one group, some documents at a time."""
+    place = words.column(PLACE).to_numpy().astype(np.int64)
+    w = np.zeros((int(place.max()) + 1 if len(place) else 0, topics))
+    known = np.zeros(len(w) + 1, bool)
+    known[place] = True
+    for k in range(topics):
+        w[place, k] = words.column(f"w{k}").to_numpy()
+    for batch in docs.select([AT, N]).to_batches():
+        at, n = (batch.column(c).flatten().to_numpy() for c in (AT, N))
+        many = pc.list_value_length(batch.column(AT)).to_numpy(zero_copy_only=False)
+        yield from _batch_steps(at, n, many, w, known, topics, steps)
+
+
+def _batch_steps(
+    at: np.ndarray, n: np.ndarray, many: np.ndarray, w: np.ndarray, known: np.ndarray, topics: int, steps: int
+) -> Iterator[tuple]:
+    keep = known[np.minimum(at, len(known) - 1)]
+    if not keep.any():
+        return
+    owner = np.repeat(np.arange(len(many)), many)[keep]
+    at, n = at[keep], n[keep].astype(np.float64)
+    rows, starts = np.unique(owner, return_index=True)
+    ends = np.append(starts[1:], len(at))
+    first = np.flatnonzero(np.diff(starts // CELLS, prepend=-1))
+    for a, b in zip(first, np.append(first[1:], len(rows)), strict=True):
+        lo, hi = starts[a], ends[b - 1]
+        begins, lens = starts[a:b] - lo, ends[a:b] - starts[a:b]
+        mine, count = w[at[lo:hi]], n[lo:hi]
+        g = np.repeat((1 / topics + np.add.reduceat(count, begins) / topics)[:, None], topics, 1)
+        for _ in range(steps):
+            e = _raised(g)
+            share = count / np.einsum("ij,ij->i", np.repeat(e, lens, 0), mine)
+            g = 1 / topics + e * np.add.reduceat(share[:, None] * mine, begins)
+        yield rows[a:b], g, at[lo:hi], mine, count, lens
+
+
+def _expected(group: Iterator[tuple], size: int, topics: int) -> np.ndarray:
+    """The expected counts of a group's words in each topic."""
+    out = np.zeros((size, topics))
+    for _, g, at, w, count, lens in group:
+        cells = np.repeat(_raised(g), lens, 0) * w
+        cells *= (count / cells.sum(1))[:, None]
+        order = np.argsort(at, kind="stable")
+        place = at[order]
+        new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        out[place[new]] += np.add.reduceat(cells[order], new)
+    return out
+
+
+def _summed(docs: DataFrame, places: DataFrame, weights: DataFrame, topics: int, steps: int) -> DataFrame:
+    """The next weights ``word, l0, l1, ..``: the prior and the expected counts of all groups."""
     every = range(topics)
-    cells = state.select(key, F.expr(_rising([f"g{k}" for k in every], "_e")))
-    return cells.select(key, *[F.expr(f"_e[{k}] AS e{k}") for k in every])
 
+    def run(held: pa.Table, words: pa.Table) -> pa.Table:
+        place = words.column(PLACE).to_numpy().astype(np.int64)
+        size = int(place.max()) + 1 if len(place) else 0
+        found = _expected(_group_steps(held, words, topics, steps), size, topics)[place]
+        return pa.table({"word": words.column("word"), **{f"g{k}": pa.array(found[:, k]) for k in every}})
 
-def _steps(rows: DataFrame, key: str, topics: int, steps: int) -> DataFrame:
-    """``key, g0, g1, ..`` after ``steps`` from equal shares, all on one exchange by document."""
-    even = f"{1 / topics!r}D + sum(n) / {topics}"
-    state = rows.groupBy(key).agg(*[F.expr(f"{even} AS g{k}") for k in range(topics)])
-    for _ in range(steps):
-        state = _expected(rows, _raised(state, key, topics), key, key, topics)
-    return state
+    near = places.join(_chances(weights, topics), "word").groupBy(GROUP)
+    schema = "word string, " + ", ".join(f"g{k} double" for k in every)
+    parts = docs.groupBy(PART).cogroup(near).applyInArrow(run, schema)
+    return parts.groupBy("word").agg(*[F.expr(f"{1 / topics!r}D + sum(g{k}) AS l{k}") for k in every])
 
 
 def fit(
@@ -123,14 +243,12 @@ def fit(
     """
     spark = docs.sparkSession
     with scratch(spark):
-        counts = stage(word_counts(docs, key, tokens), "topic-words")
-        words = stage(vocabulary(counts, docs.count(), least, share), "topic-vocabulary")
-        known = stage(known_counts(counts, words, key), "topic-counts")
+        by_doc, by_word, n = _tallied(docs, key, tokens)
+        words = stage(vocabulary(by_word, n, least, share), "topic-vocabulary")
+        places = stage(_places(by_word, words), "topic-places")
         weights = stage(first_weights(words, topics, seed), "topic-weights", keep=rounds == 0)
         for i in range(rounds):
-            rows = _with_chances(known, weights, key, topics)
-            held = _raised(_steps(rows, key, topics, steps), key, topics)
-            new = _expected(rows, held, key, "word", topics).withColumnsRenamed({f"g{k}": f"l{k}" for k in range(topics)})
+            new = _summed(by_doc, places, weights, topics, steps)
             weights = stage(new, "topic-weights", keep=i == rounds - 1)
     return weights
 
@@ -152,11 +270,26 @@ def shares(docs: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens"
     Shares are equal where a document has no known word or no key. Documents of one key count as one.
     """
     topics = len(weights.columns) - 1
-    known = known_counts(word_counts(docs, key, tokens), weights, key)
-    one = _steps(_with_chances(known, weights, key, topics), key, topics, steps)
-    cols = [F.col(f"g{k}") for k in range(topics)]
-    total = functools.reduce(operator.add, cols)
-    found = one.select(F.col(key).alias("_key"), F.array(*[c / total for c in cols]).alias("topics"))
+    kind = docs.schema[key].dataType
+
+    def run(held: pa.Table, words: pa.Table) -> pa.Table:
+        held = held.combine_chunks()
+        parts, at, shift = [], [], 0
+        for batch in held.to_batches():
+            for rows, g, *_ in _group_steps(pa.Table.from_batches([batch]), words, topics, steps):
+                at.append(rows + shift)
+                parts.append(g / g.sum(1, keepdims=True))
+            shift += len(batch)
+        found = np.concatenate([*parts, np.zeros((0, topics))])
+        cuts = pa.array(np.arange(len(found) + 1) * topics, pa.int32())
+        keys = held.column(key).take(pa.array(np.concatenate([*at, np.zeros(0, np.int64)])))
+        return pa.table({"_key": keys, "topics": pa.ListArray.from_arrays(cuts, pa.array(found.ravel()))})
+
+    with scratch(docs.sparkSession):
+        by_doc, by_word, _ = _tallied(docs, key, tokens)
+        near = _places(by_word, weights).join(_chances(weights, topics), "word").groupBy(GROUP)
+        schema = T.StructType([T.StructField("_key", kind), T.StructField("topics", T.ArrayType(T.DoubleType()))])
+        found = stage(by_doc.groupBy(PART).cogroup(near).applyInArrow(run, schema), "topic-shares", keep=True)
     same = docs[key].eqNullSafe(found["_key"])
     even = F.array(*[F.lit(1.0 / topics)] * topics)
     return docs.join(found, same, "left").select(docs[key], F.coalesce("topics", even).alias("topics"))

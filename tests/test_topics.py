@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import math
 
 import numpy as np
@@ -107,3 +109,45 @@ def test_no_documents_and_no_known_words(spark):
         weights = topics.fit(docs, "id", topics=2, rounds=1, least=2)
         assert weights.count() == 0 and topics.word_chances(weights).count() == 0
         assert [r["topics"] for r in topics.shares(docs, weights, "id").collect()] == [[0.5, 0.5]] * len(rows)
+
+
+def test_a_round_is_a_short_plan_and_sends_a_word_once_for_each_group(spark, monkeypatch):
+    plans, write = [], topics.stage
+
+    def watched(df, name, **how):
+        if name == "topic-weights":
+            with contextlib.redirect_stdout(io.StringIO()) as out:
+                df.explain()
+            plans.append(out.getvalue())
+        return write(df, name, **how)
+
+    monkeypatch.setattr(topics, "stage", watched)
+    docs = spark.createDataFrame(documents(), "id long, tokens array<string>")
+    topics.fit(docs, "id", rounds=1, least=2, share=0.6)
+    assert len(plans[-1]) < 20_000
+    monkeypatch.setattr(topics, "COPIES", 3)
+    for n in (200, 400):
+        many = spark.createDataFrame(documents(n), "id long, tokens array<string>")
+        _, words, rows = topics._tallied(many, "id", "tokens")
+        kept = topics.vocabulary(words, rows, 2, 0.6)
+        assert topics._places(words, kept).count() == 3 * kept.count() == 3 * 6
+
+
+@pytest.mark.parametrize("size", [1, 50])
+def test_groups_and_slices_do_not_matter(spark, fitted, monkeypatch, size):
+    """Rows of one key are one document, and rows without a key count once in the vocabulary."""
+    rows = [*documents(), (0, ["gold", "wheat"]), (None, ["gold", "odd"]), (None, ["odd"]), (200, ["odd"]), (201, ["lone"])]
+    merged = {}
+    for i, ws in rows:
+        merged.setdefault(i, []).extend(ws or [])
+    monkeypatch.setattr(topics, "GROUP_WORDS", size)
+    monkeypatch.setattr(topics, "SLICE", size)
+    monkeypatch.setattr(topics, "CELLS", size)
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>")
+    held = topics.vocabulary(topics._tallied(docs, "id", "tokens")[1], len(rows), 2, 0.6)
+    assert {r["word"]: r["docs"] for r in held.collect()}["odd"] == 2
+    got = topics.shares(docs, fitted[1], "id").collect()
+    want = topics.shares(spark.createDataFrame(list(merged.items()), docs.schema), fitted[1], "id").collect()
+    want = {r["id"]: r["topics"] for r in want}
+    assert len(got) == len(rows) and all(np.allclose(r["topics"], want[r["id"]], atol=1e-12) for r in got)
+    assert want[None] == [0.5, 0.5]
