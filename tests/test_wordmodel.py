@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import io
 import re
 
 import numpy as np
@@ -109,3 +111,32 @@ def test_no_labels(spark, fitted):
     assert wordmodel.learned_sentiment(docs.limit(0), weights, "id").count() == 0
     by = {r["id"]: r["polarity"] for r in wordmodel.learned_sentiment(docs, weights, "id").collect()}
     assert by[103] > 0 > by[None]
+
+
+def test_words_are_exchanged_once_and_rounds_leave_documents_in_place(fitted, monkeypatch):
+    docs, weights = fitted
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        wordmodel.chances(docs, weights, "id").explain()
+    assert out.getvalue().count("Exchange hashpartitioning") == 1
+    sent, pull = [], wordmodel._pull
+
+    def watched(rows, *rest):
+        sent.append(rows.count())
+        return pull(rows, *rest)
+
+    monkeypatch.setattr(wordmodel, "_pull", watched)
+    wordmodel.fit(docs, "id", rounds=2, least=3)
+    assert sent == [60, 60]  # one row for each labelled document with a word
+
+
+def test_repeated_and_missing_keys(spark, fitted):
+    """A row of a key that comes twice weighs twice; rows without a key are one document of the word counts."""
+    rows = [(i, t, y) for i, t, y in documents(20) if y is not None]
+    twice = spark.createDataFrame([*rows, *rows], fitted[0].schema)
+    a = {r["slot"]: r["weight"] for r in wordmodel.fit(twice, "id", rounds=1, least=3, penalty=0.0).collect()}
+    b = {r["slot"]: r["weight"] for r in wordmodel.fit(spark.createDataFrame(rows, fitted[0].schema), "id", rounds=1, least=3, penalty=0.0).collect()}
+    assert a.keys() == b.keys() and all(abs(a[j] - b[j] / np.sqrt(2)) < 1e-9 for j in a)
+    none = [(None, "lonely calm", True), (None, "lonely other", True), (500, "lonely", False)]
+    got = {r["slot"] for r in wordmodel.fit(spark.createDataFrame([*rows, *none], fitted[0].schema), "id", rounds=1, least=2).collect()}
+    assert slots("lonely") <= got and not slots("other") & got
+    assert wordmodel.fit(spark.createDataFrame(none[:2], fitted[0].schema), "id", rounds=1, least=1).count() == 0
