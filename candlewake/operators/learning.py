@@ -11,13 +11,13 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, MinMaxScaler, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewake.operators import online_topics
 from candlewake.operators.labels import sequences, time_series_folds
 from candlewake.operators.metrics import summary_metrics
 from candlewake.schema import CLASS_BUY, CLASS_HOLD, CLASS_SELL
@@ -270,25 +270,18 @@ def search(
 def fit_topics(
     docs: DataFrame, tokens: str = "tokens", topics: int = TOPICS, max_iter: int = FULL.topic_iterations,
     words: int = FULL.topic_words,
-) -> PipelineModel:
+) -> online_topics.TopicModel:
     """Topic model on token arrays; rare and too common words are left out.
 
     Every iteration takes all documents. The ``words`` most frequent words count.
     """
-    return Pipeline(
-        stages=[
-            CountVectorizer(
-                inputCol=tokens, outputCol="_counts", minDF=TOPIC_MIN_DOCS, maxDF=TOPIC_MAX_SHARE,
-                vocabSize=words,
-            ),
-            LDA(k=topics, seed=TOPIC_SEED, maxIter=max_iter, featuresCol="_counts",
-                optimizer="online", subsamplingRate=1.0, topicDistributionCol="_topics"),
-        ]
-    ).fit(docs)
+    return online_topics.fit(docs, tokens, topics, max_iter, words, TOPIC_MIN_DOCS, TOPIC_MAX_SHARE, TOPIC_SEED)
 
 
-def topic_distribution(model: PipelineModel, docs: DataFrame, keys: list[str]) -> DataFrame:
-    return model.transform(docs).select(*keys, vector_to_array("_topics").alias("topics"))
+def topic_distribution(
+    model: online_topics.TopicModel, docs: DataFrame, keys: list[str], tokens: str = "tokens"
+) -> DataFrame:
+    return online_topics.distribution(model, docs, keys, tokens)
 
 
 def top_topics(dist: DataFrame, keys: list[str], n: int = 3) -> DataFrame:
