@@ -86,7 +86,7 @@ def at_rest(cells: np.ndarray, counts: np.ndarray, prior: np.ndarray, rest: floa
         two = _step(cells, counts, one, prior)
         way, bend = one - g, two - 2 * one + g
         leap = np.sqrt((way**2).sum(1, keepdims=True) / np.maximum((bend**2).sum(1, keepdims=True), 1e-300))
-        leap = np.clip(leap, 1.0, 4.0**cycle if cycle < LEAPS else 1.0)
+        leap = np.clip(leap, 1.0, 4.0 ** (cycle + 1) if cycle < LEAPS else 1.0)
         ahead = np.maximum(g + 2 * leap * way + leap**2 * bend, prior)
         g = np.where(leap > 1, ahead, two)
         out[live[moving]] = two[moving]
@@ -155,12 +155,14 @@ def _count(texts: pa.Array, words: pa.Array) -> tuple[pa.Array, pa.Array]:
     owner, size = np.repeat(np.arange(len(lens)), lens), max(len(words), 1)
     cells, n = np.unique((owner * size + place)[place >= 0], return_counts=True)
     owner, place = np.divmod(cells, size)
-    cuts = pa.array(np.searchsorted(owner, np.arange(len(lens) + 1)), pa.int32())
-    return tuple(pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (place, n))
+    cuts = pa.py_buffer((4 * np.searchsorted(owner, np.arange(len(lens) + 1))).astype(np.int32))
+    return tuple(
+        pa.Array.from_buffers(pa.binary(), len(lens), [None, cuts, pa.py_buffer(x.astype(np.int32))]) for x in (place, n)
+    )
 
 
 def counted(docs: DataFrame, words: list[str], keys: list[str], tokens: str) -> DataFrame:
-    """``keys, _at, _n`` of every row: numbers and counts of its known words."""
+    """``keys, _at, _n`` of every row: numbers and counts of its known words, 4 bytes each."""
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +172,14 @@ def counted(docs: DataFrame, words: list[str], keys: list[str], tokens: str) ->
             at, n = _count(batch.column(tokens), known)
             yield pa.RecordBatch.from_pydict({**kept, AT: at, N: n})
 
-    listed = T.ArrayType(T.IntegerType())
-    schema = T.StructType([*[docs.schema[k] for k in keys], T.StructField(AT, listed), T.StructField(N, listed)])
+    packed = [T.StructField(c, T.BinaryType()) for c in (AT, N)]
+    schema = T.StructType([*[docs.schema[k] for k in keys], *packed])
     return docs.select(*keys, tokens).mapInArrow(run, schema)
 
 
 def _lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, n = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (AT, N))
-    return at, n, pc.list_value_length(batch.column(AT)).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, n = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32) for c in (AT, N))
+    return at, n, pc.binary_length(batch.column(AT)).to_numpy(zero_copy_only=False).astype(np.int64) // 4
 
 
 def _summed(counts: DataFrame, chances: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -212,7 +214,7 @@ def _summed(counts: DataFrame, chances: np.ndarray, prior: np.ndarray) -> tuple[
 
 def chances(weights: np.ndarray) -> np.ndarray:
     """The exponentials of the expected log chances of the words in each topic."""
-    return np.exp(digamma(weights) - digamma(weights.sum(0)))
+    return np.exp(digamma(weights) - digamma(weights.sum(0))) if len(weights) else weights
 
 
 def next_prior(prior: np.ndarray, logs: np.ndarray, docs: int, rate: float) -> np.ndarray:
