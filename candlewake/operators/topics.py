@@ -27,22 +27,12 @@ STEPS = 5
 COPIES = 16
 #: Words of a group's documents, with repeats; a task holds one group. More words make more groups.
 GROUP_WORDS = 1 << 23
-#: Counts that a task works on at a time, and words whose documents it counts at a time.
-CELLS, SLICE = 1 << 15, 1 << 20
+#: Counts that take their steps together, and words whose documents (or counts whose sums) a task works out at a time.
+CELLS, SLICE = 1 << 13, 1 << 20
 
 PART, GROUP, AT, N, WORD, PLACE, DOCS, LOOSE = "_part", "_group", "_at", "_n", "_word", "_place", "_docs", "_loose"
 
 
-def digamma(x: str) -> str:
-    """SQL for the derivative of the log of the gamma function at x > 0, to 3e-9.
-
-    Six recurrences, then the asymptotic series. Texts build faster than trees of columns here.
-    """
-    y = f"({x} + 6)"
-    tail = " - ".join(f"1D / ({x} + {i})" for i in range(6))
-    return f"ln({y}) - 0.5D / {y} - (1D / 12 - (1D / 120 - 1D / (252D * {y} * {y})) / ({y} * {y})) / ({y} * {y}) - {tail}"
-
-
 def _dealt(key: str, tokens: str, groups: int) -> Column:
     """The group of a document; rows without a key count for the vocabulary only and go anywhere."""
     return F.pmod(F.when(F.col(key).isNull(), F.xxhash64(tokens)).otherwise(F.xxhash64(key)), F.lit(groups)).cast("int")
@@ -93,7 +83,7 @@ def _tallies(group: pa.Table, key: str, tokens: str, names: list[str]) -> pa.Tab
     return pa.concat_tables(whole)
 
 
-def _tallied(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame, int]:
+def _tallied(docs: DataFrame, key: str, tokens: str, keep: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Documents ``_part, key, _at, _n``, words ``_part, _word, _place, _docs, _loose``, and the number of rows.
 
     ``_at`` has the places of a document's words in the list of its group. Rows of one key
@@ -113,12 +103,18 @@ def _tallied(docs: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFra
         return _tallies(group, key, tokens, names)
 
     dealt = rows.withColumn(PART, _dealt(key, tokens, groups))
-    both = stage(dealt.groupBy(PART).applyInArrow(run, schema), "topic-counts")
+    both = stage(dealt.groupBy(PART).applyInArrow(run, schema), "topic-counts", keep=keep)
     by_doc = both.where(F.col(AT).isNotNull()).select(PART, key, AT, N)
     by_word = both.where(F.col(WORD).isNotNull()).select(PART, WORD, PLACE, DOCS, LOOSE)
     return by_doc, by_word, n
 
 
+def counted(docs: DataFrame, key: str, tokens: str = "tokens") -> tuple[DataFrame, DataFrame, int]:
+    """The counts of ``docs`` for ``fit`` and ``shares``, which then read the texts once between them."""
+    with scratch(docs.sparkSession):
+        return _tallied(docs, key, tokens, keep=True)
+
+
 def vocabulary(words: DataFrame, docs: int, least: float = TOPIC_MIN_DOCS, share: float = TOPIC_MAX_SHARE) -> DataFrame:
     """Words in at least ``least`` and at most the ``share`` of all documents, without a cap on their number."""
     # All rows without a key are one document.
@@ -143,22 +139,13 @@ def first_weights(words: DataFrame, topics: int, seed: int = TOPIC_SEED) -> Data
     return words.select("word", *[drawn(k) for k in range(topics)])
 
 
-def _rising(names: list[str], to: str) -> str:
-    """SQL for the exponentials of the digammas of ``names``, as an array."""
-    return f"transform(array({', '.join(names)}), x -> exp({digamma('x')})) AS {to}"
-
-
-def _chances(weights: DataFrame, topics: int) -> DataFrame:
-    """``word, w0, w1, ..``: the exponentials of the expected log chances of the word in each topic."""
-    every = range(topics)
-    totals = weights.selectExpr(*[f"sum(l{k})" for k in every]).first()  # one number for each topic
-    sums = [f"{float(t or 1.0)!r}D" for t in totals]
-    cells = weights.selectExpr("word", _rising([f"l{k}" for k in every], "_w"), _rising(sums, "_t"))
-    return cells.selectExpr("word", *[f"_w[{k}] / _t[{k}] AS w{k}" for k in every])
+def _totals(weights: DataFrame, topics: int) -> np.ndarray:
+    found = weights.selectExpr(*[f"sum(l{k})" for k in range(topics)]).first()  # one number for each topic
+    return np.array([float(t or 1.0) for t in found])
 
 
 def _raised(x: np.ndarray) -> np.ndarray:
-    """The exponentials of the digammas of ``x``, by the formula of :func:`digamma`."""
+    """The exponentials of the digammas of ``x > 0``, to 3e-9: six recurrences, then the asymptotic series."""
     y = x + 6
     out = np.log(y) - 0.5 / y - (1 / 12 - (1 / 120 - 1 / (252 * y * y)) / (y * y)) / (y * y)
     for i in range(6):
@@ -166,67 +153,103 @@ def _raised(x: np.ndarray) -> np.ndarray:
     return np.exp(out)
 
 
-def _group_steps(docs: pa.Table, words: pa.Table, topics: int, steps: int) -> Iterator[tuple]:
-    """Rows, shares, and places with their expected counts, of one group, some documents at a time."""
+def _chances(words: pa.Table, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By place, the exponentials of the expected log chances of a group's words in each topic, and which words are known."""
     place = words.column(PLACE).to_numpy().astype(np.int64)
-    w = np.zeros((int(place.max()) + 1 if len(place) else 0, topics))
-    known = np.zeros(len(w) + 1, bool)
+    size = int(place.max()) + 1 if len(place) else 0
+    w, known = np.zeros((size, len(totals))), np.zeros(size + 1, bool)
     known[place] = True
-    for k in range(topics):
-        w[place, k] = words.column(f"w{k}").to_numpy()
+    found = np.empty((len(place), len(totals)))
+    for k in range(len(totals)):
+        found[:, k] = words.column(f"l{k}").to_numpy()
+    w[place] = _raised(found) / _raised(totals)
+    return w, known
+
+
+def _group_steps(docs: pa.Table, w: np.ndarray, known: np.ndarray, steps: int) -> Iterator[tuple]:
+    """Rows with known words, their gammas, and the lengths, places, counts and chances of their words, some documents at a time.
+
+    Rows count from the start of ``docs``.
+    """
+    shift = 0
     for batch in docs.select([AT, N]).to_batches():
         at, n = (batch.column(c).flatten().to_numpy() for c in (AT, N))
         many = pc.list_value_length(batch.column(AT)).to_numpy(zero_copy_only=False)
-        yield from _batch_steps(at, n, many, w, known, topics, steps)
+        for rows, *rest in _batch_steps(at, n, many, w, known, steps):
+            yield rows + shift, *rest
+        shift += len(batch)
+
+
+def _blocks(lens: np.ndarray) -> Iterator[slice]:
+    """Neighbours among ascending lengths that fill ``CELLS`` together; the longest are alone."""
+    a = 0
+    while a < len(lens):
+        most = lens[min(a + max(1, CELLS // lens[a]), len(lens)) - 1]
+        b = min(a + max(1, CELLS // most), len(lens))
+        yield slice(a, b)
+        a = b
 
 
 def _batch_steps(
-    at: np.ndarray, n: np.ndarray, many: np.ndarray, w: np.ndarray, known: np.ndarray, topics: int, steps: int
+    at: np.ndarray, n: np.ndarray, many: np.ndarray, w: np.ndarray, known: np.ndarray, steps: int
 ) -> Iterator[tuple]:
+    """Documents of about one length take their steps together, each row filled up with words that count zero times."""
+    topics = w.shape[1]
     keep = known[np.minimum(at, len(known) - 1)]
     if not keep.any():
         return
     owner = np.repeat(np.arange(len(many)), many)[keep]
-    at, n = at[keep], n[keep].astype(np.float64)
+    at, n = at[keep].astype(np.int64), n[keep].astype(np.float64)
     rows, starts = np.unique(owner, return_index=True)
-    ends = np.append(starts[1:], len(at))
-    first = np.flatnonzero(np.diff(starts // CELLS, prepend=-1))
-    for a, b in zip(first, np.append(first[1:], len(rows)), strict=True):
-        lo, hi = starts[a], ends[b - 1]
-        begins, lens = starts[a:b] - lo, ends[a:b] - starts[a:b]
-        mine, count = w[at[lo:hi]], n[lo:hi]
-        g = np.repeat((1 / topics + np.add.reduceat(count, begins) / topics)[:, None], topics, 1)
+    lens = np.diff(starts, append=len(at))
+    order = np.argsort(lens, kind="stable")
+    rows, starts, lens = rows[order], starts[order], lens[order]
+    for some in _blocks(lens):
+        span = np.arange(lens[some][-1])
+        held = span < lens[some, None]
+        cells = np.where(held, starts[some, None] + span, starts[some, None])
+        place, count = at[cells], np.where(held, n[cells], 0.0)
+        mine = w[place]
+        g = np.repeat((1 / topics + count.sum(1) / topics)[:, None], topics, 1)
         for _ in range(steps):
             e = _raised(g)
-            share = count / np.einsum("ij,ij->i", np.repeat(e, lens, 0), mine)
-            g = 1 / topics + e * np.add.reduceat(share[:, None] * mine, begins)
-        yield rows[a:b], g, at[lo:hi], mine, count, lens
+            share = count / np.matmul(mine, e[:, :, None])[:, :, 0]
+            g = 1 / topics + e * np.matmul(share[:, None, :], mine)[:, 0]
+        yield rows[some], g, lens[some], place[held], count, mine, held
 
 
-def _expected(group: Iterator[tuple], size: int, topics: int) -> np.ndarray:
+def _expected(docs: pa.Table, w: np.ndarray, known: np.ndarray, steps: int) -> np.ndarray:
     """The expected counts of a group's words in each topic."""
-    out = np.zeros((size, topics))
-    for _, g, at, w, count, lens in group:
-        cells = np.repeat(_raised(g), lens, 0) * w
-        cells *= (count / cells.sum(1))[:, None]
-        order = np.argsort(at, kind="stable")
-        place = at[order]
-        new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        out[place[new]] += np.add.reduceat(cells[order], new)
-    return out
+    out, waiting, cells = np.zeros(w.shape), [], 0
+
+    def take() -> None:
+        place, share, owner, e = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for k in range(w.shape[1]):
+            out[:, k] += np.bincount(place, share * np.repeat(np.ascontiguousarray(e[:, k]), owner), len(w))
+        waiting.clear()
+
+    for _, g, lens, place, count, mine, held in _group_steps(docs, w, known, steps):
+        e = _raised(g)
+        share = (count / np.matmul(mine, e[:, :, None])[:, :, 0])[held]
+        waiting.append((place, share, lens, e))
+        cells += len(place)
+        if cells >= SLICE:
+            take()
+            cells = 0
+    if waiting:
+        take()
+    return out * w
 
 
 def _summed(docs: DataFrame, places: DataFrame, weights: DataFrame, topics: int, steps: int) -> DataFrame:
     """The next weights ``word, l0, l1, ..``: the prior and the expected counts of all groups."""
-    every = range(topics)
+    every, totals = range(topics), _totals(weights, topics)
 
     def run(held: pa.Table, words: pa.Table) -> pa.Table:
-        place = words.column(PLACE).to_numpy().astype(np.int64)
-        size = int(place.max()) + 1 if len(place) else 0
-        found = _expected(_group_steps(held, words, topics, steps), size, topics)[place]
+        found = _expected(held, *_chances(words, totals), steps)[words.column(PLACE).to_numpy()]
         return pa.table({"word": words.column("word"), **{f"g{k}": pa.array(found[:, k]) for k in every}})
 
-    near = places.join(_chances(weights, topics), "word").groupBy(GROUP)
+    near = places.join(weights, "word").groupBy(GROUP)
     schema = "word string, " + ", ".join(f"g{k} double" for k in every)
     parts = docs.groupBy(PART).cogroup(near).applyInArrow(run, schema)
     return parts.groupBy("word").agg(*[F.expr(f"{1 / topics!r}D + sum(g{k}) AS l{k}") for k in every])
@@ -235,15 +258,17 @@ def _summed(docs: DataFrame, places: DataFrame, weights: DataFrame, topics: int,
 def fit(
     docs: DataFrame, key: str, tokens: str = "tokens", topics: int = TOPICS, rounds: int = FULL.topic_iterations,
     steps: int = STEPS, least: float = TOPIC_MIN_DOCS, share: float = TOPIC_MAX_SHARE, seed: int = TOPIC_SEED,
+    counts: tuple[DataFrame, DataFrame, int] | None = None,
 ) -> DataFrame:
     """Word weights ``word, l0, l1, ..`` after ``rounds`` over all documents, each document of its own ``key``.
 
     Each round's weights are written, so a lost executor repeats one round at most. No
-    documents, or none with a word of the vocabulary, give an empty table.
+    documents, or none with a word of the vocabulary, give an empty table. ``counts`` are the
+    documents' ``counted``, where these are at hand.
     """
     spark = docs.sparkSession
     with scratch(spark):
-        by_doc, by_word, n = _tallied(docs, key, tokens)
+        by_doc, by_word, n = counts or _tallied(docs, key, tokens)
         words = stage(vocabulary(by_word, n, least, share), "topic-vocabulary")
         places = stage(_places(by_word, words), "topic-places")
         weights = stage(first_weights(words, topics, seed), "topic-weights", keep=rounds == 0)
@@ -264,30 +289,31 @@ def word_chances(weights: DataFrame) -> DataFrame:
     return weights.select("word", F.inline(F.array(*cells))).select("topic", "word", "weight")
 
 
-def shares(docs: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens", steps: int = STEPS) -> DataFrame:
+def shares(
+    docs: DataFrame, weights: DataFrame, key: str, tokens: str = "tokens", steps: int = STEPS,
+    counts: tuple[DataFrame, DataFrame, int] | None = None,
+) -> DataFrame:
     """``key, topics``: the share of each topic in every document.
 
     Shares are equal where a document has no known word or no key. Documents of one key count as one.
+    ``counts`` as for ``fit``.
     """
     topics = len(weights.columns) - 1
-    kind = docs.schema[key].dataType
+    totals, kind = _totals(weights, topics), docs.schema[key].dataType
 
     def run(held: pa.Table, words: pa.Table) -> pa.Table:
-        held = held.combine_chunks()
-        parts, at, shift = [], [], 0
-        for batch in held.to_batches():
-            for rows, g, *_ in _group_steps(pa.Table.from_batches([batch]), words, topics, steps):
-                at.append(rows + shift)
-                parts.append(g / g.sum(1, keepdims=True))
-            shift += len(batch)
+        parts, at = [], []
+        for rows, g, *_ in _group_steps(held, *_chances(words, totals), steps):
+            at.append(rows)
+            parts.append(g / g.sum(1, keepdims=True))
         found = np.concatenate([*parts, np.zeros((0, topics))])
         cuts = pa.array(np.arange(len(found) + 1) * topics, pa.int32())
-        keys = held.column(key).take(pa.array(np.concatenate([*at, np.zeros(0, np.int64)])))
+        keys = held.column(key).combine_chunks().take(pa.array(np.concatenate([*at, np.zeros(0, np.int64)])))
         return pa.table({"_key": keys, "topics": pa.ListArray.from_arrays(cuts, pa.array(found.ravel()))})
 
     with scratch(docs.sparkSession):
-        by_doc, by_word, _ = _tallied(docs, key, tokens)
-        near = _places(by_word, weights).join(_chances(weights, topics), "word").groupBy(GROUP)
+        by_doc, by_word, _ = counts or _tallied(docs, key, tokens)
+        near = _places(by_word, weights).join(weights, "word").groupBy(GROUP)
         schema = T.StructType([T.StructField("_key", kind), T.StructField("topics", T.ArrayType(T.DoubleType()))])
         found = stage(by_doc.groupBy(PART).cogroup(near).applyInArrow(run, schema), "topic-shares", keep=True)
     same = docs[key].eqNullSafe(found["_key"])

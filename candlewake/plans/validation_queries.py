@@ -463,6 +463,7 @@ s{r}_0 AS MATERIALIZED (SELECT *, {up} FROM (SELECT doc_id, {_listed(f'{1 / _K}:
 
 
 _TOPIC_ROUNDS = _topic_rounds()
+_topic_counts: dict[tuple[str, str], tuple[DataFrame, DataFrame, int]] = {}
 _topic_model: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -471,13 +472,26 @@ def _topic_docs(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.news(spark, sf).select("doc_id", tokens.alias("tokens"))
 
 
+def _topic_counted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    known = (spark.sparkContext.applicationId, sf)
+    if known not in _topic_counts:
+        _topic_counts[known] = topics.counted(_topic_docs(spark, sf), "doc_id")
+    return _topic_counts[known]
+
+
 def _topic_weights(spark: SparkSession, sf: str) -> DataFrame:
     known = (spark.sparkContext.applicationId, sf)
     if known not in _topic_model:
-        _topic_model[known] = topics.fit(_topic_docs(spark, sf), "doc_id", rounds=TOPIC_ROUNDS)
+        docs, counts = _topic_docs(spark, sf), _topic_counted(spark, sf)
+        _topic_model[known] = topics.fit(docs, "doc_id", rounds=TOPIC_ROUNDS, counts=counts)
     return _topic_model[known]
 
 
+def _topic_shares(spark: SparkSession, sf: str) -> DataFrame:
+    docs, counts = _topic_docs(spark, sf), _topic_counted(spark, sf)
+    return topics.shares(docs, _topic_weights(spark, sf), "doc_id", counts=counts)
+
+
 @R.add(
     f"""{q.with_(q.NEWS, _TOPIC_ROUNDS)} SELECT (k - 1)::INT AS topic, word, {q.r('l[k] / t[k]', 7)} AS weight
     FROM lam{TOPIC_ROUNDS}, tot{TOPIC_ROUNDS}, range(1, {_K + 1}) r(k)"""
@@ -493,7 +507,7 @@ def topic_word_weights(spark: SparkSession, sf: str) -> DataFrame:
 )
 def topic_shares(spark: SparkSession, sf: str) -> DataFrame:
     """The share of every topic in every document."""
-    found = topics.shares(_topic_docs(spark, sf), _topic_weights(spark, sf), "doc_id")
+    found = _topic_shares(spark, sf)
     out = found.select("doc_id", F.posexplode("topics").alias("topic", "share"))
     return rounded(out, ["share"], 5)
 

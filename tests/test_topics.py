@@ -6,11 +6,15 @@ import contextlib
 import hashlib
 import io
 import math
+import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from candlewake.operators import topics
+from candlewake.functions.text import topic_tokens
+from candlewake.operators import sentiment, topics
+from candlewake.plans import validation_queries
 
 WORDS = {"metal": ["gold", "silver", "copper"], "grain": ["wheat", "maize", "barley"]}
 
@@ -151,3 +155,52 @@ def test_groups_and_slices_do_not_matter(spark, fitted, monkeypatch, size):
     want = {r["id"]: r["topics"] for r in want}
     assert len(got) == len(rows) and all(np.allclose(r["topics"], want[r["id"]], atol=1e-12) for r in got)
     assert want[None] == [0.5, 0.5]
+
+
+def news(spark, tmp_path):
+    texts = [" ".join(words) + " Gold, gold! wheat-42 common" for _, words in documents()[:24]]
+    rows = [*enumerate(texts), (24, None), (25, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), [i for i, _ in rows]
+
+
+@pytest.mark.parametrize("query", ["topic_shares"])
+def test_a_query_of_shares_reads_and_counts_the_texts_once(spark, tmp_path, monkeypatch, query):
+    staged, write = [], topics.stage
+    monkeypatch.setattr(topics, "stage", lambda df, name, **how: staged.append(name) or write(df, name, **how))
+    monkeypatch.setattr(validation_queries, "TOPIC_ROUNDS", 1)
+    sf, ids = news(spark, tmp_path)
+    got = getattr(validation_queries, query)(spark, sf).collect()
+    assert staged.count("topic-words") == staged.count("topic-counts") == 1
+    assert {r["doc_id"] for r in got} == set(ids)
+
+
+def test_counts_at_hand_give_the_same_shares(spark, fitted):
+    docs, weights = fitted
+    counts = topics.counted(docs, "id")
+    again = topics.fit(docs, "id", topics=2, rounds=6, least=2, share=0.6, seed=3, counts=counts)
+    a, b = ({r["word"]: r["l0"] for r in t.collect()} for t in (weights, again))
+    assert a.keys() == b.keys() and all(abs(a[w] - b[w]) < 1e-9 for w in a)
+    a, b = ({r["id"]: r["topics"] for r in topics.shares(docs, weights, "id", **c).collect()} for c in ({}, {"counts": counts}))
+    assert a.keys() == b.keys() and all(np.allclose(a[i], b[i], atol=1e-12) for i in a)
+
+
+def test_tokens_are_runs_of_ascii_letters(spark):
+    texts = [
+        "Don\'t STOP", "caf\u00e9s na\u00efve", "a\tbcde\x0bfghi\x0cjklm\rnopq\n", "x\u00a0yzab", "\u212aelvin \u0130stanbul", "wheat-42 these",
+        "two  spaces", "", None, "\U0001f600gold", "\u2028line\u2028break", "A" * 3 + " " + "B" * 4,
+    ]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = [r[0] for r in docs.select(topic_tokens(F.col("text"), sentiment.STOP_WORDS)).collect()]
+    keep = set(string.ascii_lowercase + " \t\n\x0b\x0c\r")
+    words = lambda t: "".join(c for c in t.lower() if c in keep).split()
+    want = [None if t is None else [w for w in words(t) if len(w) > 3 and w not in sentiment.STOP_WORDS] for t in texts]
+    assert got == want
+
+
+@pytest.mark.parametrize("lens", [[1], [1, 1, 1], [1, 2, 3, 50], [5] * 100 + [7], [3, 100_000, 100_001]])
+def test_blocks_hold_every_document_once(monkeypatch, lens):
+    monkeypatch.setattr(topics, "CELLS", 40)
+    found = list(topics._blocks(np.array(lens)))
+    assert [i for b in found for i in range(b.start, b.stop)] == list(range(len(lens)))
+    assert all(b.stop - b.start == 1 or (b.stop - b.start) * lens[b.stop - 1] <= 40 for b in found)
