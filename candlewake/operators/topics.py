@@ -200,16 +200,18 @@ def _batch_steps(
         return
     owner = np.repeat(np.arange(len(many)), many)[keep]
     at, n = at[keep].astype(np.int64), n[keep].astype(np.float64)
-    rows, starts = np.unique(owner, return_index=True)
-    lens = np.diff(starts, append=len(at))
+    lens = np.bincount(owner, minlength=len(many))
+    rows = np.flatnonzero(lens)
+    lens = lens[rows]
+    starts = np.cumsum(lens) - lens
     order = np.argsort(lens, kind="stable")
     rows, starts, lens = rows[order], starts[order], lens[order]
     for some in _blocks(lens):
         span = np.arange(lens[some][-1])
         held = span < lens[some, None]
         cells = np.where(held, starts[some, None] + span, starts[some, None])
-        place, count = at[cells], np.where(held, n[cells], 0.0)
-        mine = w[place]
+        place, count = at.take(cells), n.take(cells) * held
+        mine = w.take(place, 0)
         g = np.repeat((1 / topics + count.sum(1) / topics)[:, None], topics, 1)
         for _ in range(steps):
             e = _raised(g)

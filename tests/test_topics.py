@@ -164,7 +164,7 @@ def news(spark, tmp_path):
     return str(tmp_path), [i for i, _ in rows]
 
 
-@pytest.mark.parametrize("query", ["topic_shares"])
+@pytest.mark.parametrize("query", ["topic_shares", "top_topics_of_news"])
 def test_a_query_of_shares_reads_and_counts_the_texts_once(spark, tmp_path, monkeypatch, query):
     staged, write = [], topics.stage
     monkeypatch.setattr(topics, "stage", lambda df, name, **how: staged.append(name) or write(df, name, **how))
